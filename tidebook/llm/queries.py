@@ -5,10 +5,12 @@ Each query runs its operator with production parameters over its whole table.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import mixing, sharding
+from tidebook.llm import bpe, mixing, quality, sharding, simhash
+from tidebook.llm.cluster import cut
 
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
 
@@ -17,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
+    return bpe.digests(both, "doc_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(quality.with_statistics(table(spark, sf_dir, "documents"), "text", "doc_id"))
+    model = quality.learn(rows, table(spark, sf_dir, "labels"), statistics_of=rows)
+    out = quality.scored_statistics(rows, model)
+    return out.select("doc_id", quality.apart(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -26,6 +45,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_bpe": op3_bpe,
+    "op5_quality": op5_quality,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
 }
