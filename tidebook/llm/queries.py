@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, embedding, mixing, quality, sharding, simhash, topk
+from tidebook.llm import bpe, embedding, mixing, quality, sharding, simhash, substring, topk
 from tidebook.llm.cluster import cut
 
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -29,6 +29,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(both, "doc_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(quality.with_statistics(table(spark, sf_dir, "documents"), "text", "doc_id"))
     model = quality.learn(rows, table(spark, sf_dir, "labels"), statistics_of=rows)
@@ -55,6 +61,7 @@ def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
+    "op4_substring": op4_substring,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
@@ -83,6 +90,23 @@ WITH d AS (
 )"""
 
 ORACLES = {
+    "op4_substring": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS i, w FROM d WHERE len(w) >= 20
+), k AS (
+  SELECT doc_id, i, sha256(list_aggregate(w[i:i + 19], 'string_agg', ' ')) AS h FROM p
+), r AS (
+  SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM r
+), gone AS (
+  SELECT doc_id, list(i) AS lost FROM g GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(lost), 0)::BIGINT AS n_removed,
+  sha256(coalesce(list_aggregate(CASE WHEN lost IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(lost, i)) END, 'string_agg', ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
