@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, embedding, mixing, quality, sharding, simhash, substring, topk
+from tidebook.llm import bpe, embedding, mixing, pitman_yor, quality, sharding, simhash, substring, topk
 from tidebook.llm.cluster import cut
 
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
@@ -58,6 +58,11 @@ def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman_yor.scores(table(spark, sf_dir, "documents"), ~quality.apart(F.col("doc_id"), 7, 2))
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
@@ -67,6 +72,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_embedding": op9_embedding,
+    "op10_lm": op10_lm,
 }
 
 MIXING_SQL = r"""
