@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, embedding, mixing, pitman_yor, quality, sharding, simhash, substring, topk
+from tidebook.llm import bpe, embedding, mixing, pii, pitman_yor, quality, sharding, simhash, substring, topk
 from tidebook.llm.cluster import cut
 
+#: For these queries only; a real key comes from the caller's own secrets.
+PII_KEY = b"registered query"
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
 
 
@@ -23,6 +25,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
@@ -65,6 +71,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
     "op4_substring": op4_substring,
     "op5_quality": op5_quality,
