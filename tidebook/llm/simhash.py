@@ -90,6 +90,27 @@ def coset_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p[order], np.cumsum(upto[:, -1]) - upto[:, -1], upto
 
 
+def lanes(features: np.ndarray, doc: np.ndarray, docs: int, count: int) -> np.ndarray:
+    """(docs, count) 64-bit numbers: a bit is set if over half of the document's features have it in their hash."""
+    n = np.bincount(doc, minlength=docs)
+    out = np.zeros((docs, count), np.uint64)
+    # runs of up to 255 features of one document, for eight counters of 8 bits in a number
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    at = np.unique(np.concatenate([np.flatnonzero((np.arange(len(features)) - first[doc]) % 255 == 0), np.zeros(0, np.int64)]))
+    if not len(at):
+        return out
+    for lane in range(count):
+        octets = X.mix(features + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8)
+        bits = np.zeros((docs, 64), bool)
+        for j in range(8):
+            sums = np.add.reduceat(_LANES[octets[:, j]], at).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            whole = np.zeros((docs, 8), np.int64)
+            np.add.at(whole, doc[at], sums)
+            bits[:, 8 * j : 8 * j + 8] = whole * 2 > n[:, None]
+        out[:, lane] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def syndrome(x: np.ndarray) -> np.ndarray:
     s = x.copy()
     for bit in range(LENGTH - 1, CHECKS - 1, -1):
@@ -136,6 +157,13 @@ def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "simhash
     return docs.mapInArrow(run, schema)
 
 
+def eights(numbers: np.ndarray) -> pa.Array:
+    """Each row of 64-bit numbers as binary."""
+    numbers = np.ascontiguousarray(numbers).reshape(len(numbers), -1)
+    width = 8 * numbers.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.arange(0, len(numbers) * width + 1, width, dtype=np.int32)), pa.py_buffer(numbers)])
+
+
 def linked(distinct: DataFrame, threshold: int = 2, most: int = GROUP) -> DataFrame:
     """distinct(f long) -> links(a, b) that join any two fingerprints which differ in ``threshold`` bits or fewer.
 
@@ -150,17 +178,29 @@ def linked(distinct: DataFrame, threshold: int = 2, most: int = GROUP) -> DataFr
             f = batch.column("f").to_numpy()
             for i in range(0, len(f), 4000):
                 index, anchor = anchors(f[i : i + 4000].view(np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(f[i + index])], names=["anchor", "f"])
+                found = f[i + index]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(found), eights(found)], names=["anchor", "id", "bits"])
+
+    return forest(distinct.mapInArrow(spread, "anchor long, id long, bits binary"), threshold, most)
+
+
+def forest(rows: DataFrame, threshold: int, most: int = GROUP) -> DataFrame:
+    """rows(anchor long, id long, bits binary) -> links(a, b): rows that share an anchor and differ in few bits.
 
-    rows = in_bounded_groups(distinct.mapInArrow(spread, "anchor long, f long"), ["anchor"], "f", most)
+    Each group of rows gives a spanning forest of these links. Rows of a common anchor are compared chunk by chunk.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_bounded_groups(rows, ["anchor"], "id", most)
     rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of their group; a group may lie in several batches."""
         held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= 200_000:
+            count += len(batch)
+            if count >= 200_000:
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
                 last = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
@@ -168,35 +208,39 @@ def linked(distinct: DataFrame, threshold: int = 2, most: int = GROUP) -> DataFr
                 if stop:
                     yield within(rows.slice(0, stop))
                 held = [rows.slice(stop)]
-        if rows := [r for b in held if len(b) for r in [b]]:
-            yield within(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+                count = len(rows) - stop
+        if count:
+            yield within(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     def within(rows: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, part, f, chunk = (rows.column(c).to_numpy() for c in ("anchor", "part", "f", "chunk"))
-        new = np.ones(len(f), bool)
+        anchor, part, ids, chunk = (rows.column(c).to_numpy() for c in ("anchor", "part", "id", "chunk"))
+        data, _ = X.buffer(rows.column("bits"))
+        bits = data.view(np.uint64).reshape(len(ids), -1)
+        new = np.ones(len(ids), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
         group = np.cumsum(new) - 1
         size = np.bincount(group)
         end = np.cumsum(size)[group]
         # a group of two chunks compares across them only
         both = (part >> 31) != (part & (1 << 31) - 1)
-        values, item = np.unique(f, return_inverse=True)
-        forest = Forest(len(values))
-        bits = f.view(np.uint64)
+        values, item = np.unique(ids, return_inverse=True)
+        trees = Forest(len(values))
         here = np.flatnonzero(size[group] > 1)
         for step in range(1, int(size.max())):
             here = here[here + step < end[here]]
             if not len(here):
                 break
-            near = np.bitwise_count(bits[here] ^ bits[here + step]) <= threshold
-            a, b = here[near], here[near] + step
-            across = ~both[a] | (chunk[a] != chunk[b])
-            forest.link(item[a[across]], item[b[across]])
-        root = forest.roots()
+            a = here[~both[here] | (chunk[here] != chunk[here + step])]
+            apart = np.zeros(len(a), np.int64)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[a, k] ^ bits[a + step, k])
+            a = a[apart <= threshold]
+            trees.link(item[a], item[a + step])
+        root = trees.roots()
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(values[tied]), pa.array(values[root[tied]])], names=["a", "b"])
 
-    return rows.select("anchor", "part", "f", "chunk").mapInArrow(compare, "a long, b long")
+    return rows.select("anchor", "part", "id", "bits", "chunk").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
@@ -214,3 +258,100 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lowest = first.groupBy("root").agg(F.min("low").alias("component_id"))
     of = first.select(F.col("f").alias("_f"), "root").join(lowest, "root").drop("root")
     return rows.join(of, F.col("f") == F.col("_f")).select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Tables of the similarity search: bits that the Golay code covers, bits that must agree, bits apart within a table.
+TABLES, AGREE, APART = 12, 10, 1
+#: Lanes of 64 bits of the fingerprint that decides, and bits of it that may differ at Jaccard similarity 0.8: the
+#: angle between such sets is acos(1.6 / 1.8), 0.1515 of the bits, and the slack passes nine of ten pairs at 0.8 itself.
+DECIDE, DIFFER = 4, 46
+
+
+def signatures(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, decide, keys): a hash of the word sequence, the fingerprint of shingles, and a row of keys' bits.
+
+    ``decide`` covers all runs of ``shingle`` words (the whole sequence if there are fewer), repeats included;
+    ``keys`` the distinct words, which a changed word moves less. A-Z count as a-z. No words: zeros.
+    """
+    data, offsets = X.buffer(texts)
+    starts, ends, first = X.words(data, offsets)
+    docs, size = len(offsets) - 1, np.diff(first)
+    h = X.hash_spans(data, starts, ends, True)
+    doc = np.repeat(np.arange(docs), size)
+    place = np.arange(len(h)) - first[doc]
+    base = 0xD1342543DE82EF95
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * X.powers(base, int(size.max(initial=1)))[place], dtype=np.uint64)))
+    sequence = X.mix(prefix[first[1:]] - prefix[first[:-1]] + size.astype(np.uint64))
+    run = np.minimum(shingle, size)[doc]
+    runs = h.copy()
+    for k in range(1, shingle):
+        more = np.flatnonzero((run > k) & (place + k < size[doc]))
+        runs[more] += h[more + k] * X.powers(base, shingle)[k]
+    whole = place + run <= size[doc]
+    decide = lanes(X.mix(runs[whole]), doc[whole], docs, DECIDE)
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    keys = lanes(h[order][new], doc[order][new], docs, -(-TABLES * (LENGTH + AGREE) // 64))
+    return sequence, decide, keys
+
+
+def table_anchors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, anchor): for each row and table the Golay code words within covering radius plus APART, and the agreeing bits."""
+    patterns, first, upto = coset_table()
+    bits = np.unpackbits(keys.view(np.uint8).reshape(len(keys), -1), axis=1, bitorder="little")
+    weights = 1 << np.arange(LENGTH, dtype=np.int64)
+    index, anchor = [], []
+    for t in range(TABLES):
+        at = t * (LENGTH + AGREE)
+        x = bits[:, at : at + LENGTH].astype(np.int64) @ weights
+        rest = bits[:, at + LENGTH : at + LENGTH + AGREE].astype(np.int64) @ weights[:AGREE]
+        s = syndrome(x)
+        count = upto[s, RADIUS + APART]
+        who = np.repeat(np.arange(len(x)), count)
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        index.append(who)
+        anchor.append(((x[who] ^ patterns[first[s][who] + k]) << AGREE | rest[who]) * TABLES + t)
+    return np.concatenate(index), np.concatenate(anchor)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = GROUP) -> DataFrame:
+    """docs, all columns, with one document of each group of near-duplicates: the one of smallest doc_id.
+
+    Near-duplicates are linked texts and what links reach: equal word sequences (A-Z as a-z), and texts whose
+    fingerprints of 5-word shingles show a similarity of 0.8 or more. Candidates share an anchor of one of the tables
+    over fingerprints of their distinct words; a pair that differs in 2 % of its words shares one with probability
+    0.98. Each group of candidates gives a spanning forest, never its pairs.
+
+    Texts without words, nulls too, are one group. Repeated rows and rows of equal id and text count once. A null
+    doc_id is the largest. An empty table gives no rows. Working columns begin with an underscore and two letters.
+    """
+    keyed = docs.withColumn("_sk", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    plain = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), "_sk")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.pieces(batches, "text", PIECE):
+            sequence, decide, keys = signatures(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_sk"), pa.array(sequence.view(np.int64)), eights(decide), eights(keys)], names=["doc_id", "_sk", "id", "bits", "keys"])
+
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    signed = cut(plain.mapInArrow(sign, f"doc_id {kind}, _sk string, id long, bits binary, keys binary"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a sequence of words once, with its first document
+    first = cut(signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sk")).alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                batch = whole.slice(i, 2000)
+                data, _ = X.buffer(batch.column("keys"))
+                index, anchor = table_anchors(data.view(np.uint64).reshape(len(batch), -1))
+                took = batch.take(pa.array(index))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), took.column("id"), took.column("bits")], names=["anchor", "id", "bits"])
+
+    spreaded = first.select("id", "bits", "keys").repartition(parts).mapInArrow(spread, "anchor long, id long, bits binary")
+    groups = components(cut(forest(spreaded, DIFFER, most)))
+    first = first.join(groups, first.id == groups.node, "left").withColumn("root", F.coalesce("component", "id"))
+    kept = first.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("_sd"), F.col("low._sk").alias("_st"))
+    out = keyed.join(kept, keyed[doc_id].eqNullSafe(kept["_sd"]) & (keyed["_sk"] == kept["_st"]), "left_semi")
+    return out.dropDuplicates([doc_id, "_sk"]).drop("_sk")
