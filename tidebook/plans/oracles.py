@@ -157,6 +157,42 @@ SELECT order_id AS id, epoch_us(ts) AS timestamp_us, event_no, price::DOUBLE AS
     WHEN ag AND NOT rested AND gone AND filled THEN 'market' WHEN ag AND NOT rested AND gone AND NOT filled THEN 'flashed-limit' WHEN ag AND (rested OR NOT gone) THEN 'market-limit' WHEN rested THEN 'resting-limit' ELSE 'unknown' END AS type,
   round(10000 * (CASE WHEN side = 'b' THEN price - bp ELSE ap - price END)::DOUBLE / ap::DOUBLE, 2) AS aggressiveness_bps, initial FROM k"""
 
+FILLS = "fills AS (SELECT *, seq AS event FROM l3 WHERE fill > 0)"
+
+
+def mids(seconds: int, venues: int = 1, where: str = "TRUE") -> str:
+    """mid: the last mid price of each grid cell, by exchange."""
+    return f"""{chain(venues=venues)}, {levels()}, tk AS (
+  SELECT DISTINCT exchange, ts FROM chg WHERE {where}
+), bs AS (
+  SELECT t.exchange, t.ts, max(price) FILTER (side = 'b') AS bp, min(price) FILTER (side = 's') AS ap
+  FROM tk t JOIN lv ON lv.exchange = t.exchange AND lv.ts <= t.ts AND (lv.until IS NULL OR lv.until > t.ts) AND lv.volume > 0 GROUP BY ALL
+), bq AS (
+  SELECT b.exchange, b.ts, b.bp, x.volume AS bv, b.ap, y.volume AS av FROM bs b
+  LEFT JOIN lv x ON x.exchange = b.exchange AND x.side = 'b' AND x.price = b.bp AND x.ts <= b.ts AND (x.until IS NULL OR x.until > b.ts)
+  LEFT JOIN lv y ON y.exchange = b.exchange AND y.side = 's' AND y.price = b.ap AND y.ts <= b.ts AND (y.until IS NULL OR y.until > b.ts)
+), sx AS (
+  SELECT * FROM bq QUALIFY row_number() OVER (PARTITION BY exchange ORDER BY ts) = 1 OR (bp, bv, ap, av) IS DISTINCT FROM lag((bp, bv, ap, av)) OVER (PARTITION BY exchange ORDER BY ts)
+), mid AS (
+  SELECT exchange, {grid("ts", seconds)} AS cell, arg_max((bp + ap)::DOUBLE / 2, ts) AS mid FROM sx WHERE bp IS NOT NULL AND ap IS NOT NULL GROUP BY ALL
+)"""
+
+
+PLACED = f"""WITH {chain()}, {levels()}, {BEST}, dl AS (
+  SELECT ts, side, price, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM chg
+), pl AS (
+  SELECT dl.ts, {side("dl.side")} AS side, dl.price, delta, CASE WHEN dl.side = 'b' THEN q.ap - dl.price ELSE dl.price - q.bp END AS distance FROM dl ASOF LEFT JOIN spread q ON dl.ts > q.ts
+), placed AS (
+  SELECT *, CASE WHEN delta < 0 THEN 'cancellation' WHEN distance <= 0 THEN 'marketable' ELSE 'placement' END AS kind FROM pl WHERE delta <> 0
+)"""
+
+
+def tail(values: str, column: str) -> str:
+    return f"""st AS (SELECT stddev_samp({column}) AS sigma, count(*) AS n FROM {values}), tl AS (
+  SELECT {column} / sigma AS x, n, sigma, row_number() OVER (ORDER BY {column} DESC) AS rk FROM {values}, st WHERE {column} / sigma >= 1
+)"""
+
+
 ORACLES = {
     "level3_chain": f"WITH {chain()} SELECT epoch_us(ts) AS ts_us, order_id, event_no, side, price::DOUBLE AS price, amount::DOUBLE AS amount, fill::DOUBLE AS fill, epoch_us(next_ts) AS next_ts_us, next_event_no, status, epoch_us(price_ts) AS price_ts_us, price_event_no FROM l3",
     "depth_changes": f"WITH {chain()}, {levels()} {CHANGES} chg",
@@ -206,7 +242,7 @@ SELECT order_id, side, price::DOUBLE AS price, amount::DOUBLE AS amount, liquidi
 )
 SELECT epoch_us(cell) AS ts_us, side, bucket::DOUBLE AS price, sum(volume)::DOUBLE AS volume FROM v GROUP BY ALL HAVING true""",
     "depth_signed_changes": f"WITH {LINE} SELECT epoch_us(ts) AS ts_us, side, price::DOUBLE AS price, volume::DOUBLE AS volume, (volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0))::DOUBLE AS delta FROM u",
-    "chain_id": f"""WITH {LINE}, d AS (SELECT *, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM u WHERE ts < TIMESTAMP '2020-04-01'), o AS (
+    "chain_id": f"""WITH {LINE}, d AS (SELECT *, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM u WHERE ts < TIMESTAMP '1995-03-01'), o AS (
   SELECT *, row_number() OVER (ORDER BY ts, side, CASE WHEN side = 'ask' THEN price ELSE -price END) AS n FROM d WHERE delta <> 0
 ), f AS (SELECT side, abs(delta) AS z, min(n) AS n FROM o GROUP BY ALL), i AS (SELECT side, z, row_number() OVER (ORDER BY n)::INT AS chain_id FROM f)
 SELECT epoch_us(ts) AS ts_us, o.side, price::DOUBLE AS price, delta::DOUBLE AS delta, chain_id FROM o JOIN i ON o.side = i.side AND abs(o.delta) = i.z""",
@@ -221,4 +257,79 @@ SELECT epoch_us(ts) AS ts_us, b AS bid_price, a AS ask_price FROM z WHERE n = 1
     "trades": f"WITH {chain()}, {PAIR} SELECT epoch_us(ts) AS timestamp_us, price::DOUBLE AS price, amount::DOUBLE AS volume, CASE taker_side WHEN 'b' THEN 'buy' ELSE 'sell' END AS direction, maker, taker, event_id AS exchange_trade_id FROM trade WHERE ts BETWEEN {START} AND {END}",
     "market_orders": f"""WITH {chain()}, {PAIR} SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS timestamp_us, taker, CASE taker_side WHEN 'b' THEN 'buy' ELSE 'sell' END AS direction, sum(amount)::DOUBLE AS volume, count(DISTINCT price) AS levels,
   round(sum(amount::DOUBLE * price::DOUBLE) / sum(amount)::DOUBLE, 4) AS mean_price FROM trade WHERE ts BETWEEN {START} AND {END} GROUP BY ALL""",
+    "crossed_books": f"""WITH {chain(crossed=True)}, {levels()}, {BEST}, c AS (SELECT ts, coalesce(bp > ap, false) AS x FROM spread), i AS (
+  SELECT ts FROM c QUALIFY x AND NOT coalesce(lag(x) OVER (ORDER BY ts), false)
+)
+SELECT (SELECT epoch_us(max(ts)) FROM spread s WHERE s.ts < i.ts) AS previous_uncrossed_us, epoch_us(ts) AS first_crossed_us, (SELECT epoch_us(min(ts)) FROM c WHERE c.ts > i.ts AND NOT x) AS next_uncrossed_us FROM i""",
+    "match_exact_fill": f"""WITH {chain()}, {FILLS}, t AS (SELECT seq AS trade, epoch_us(ts) - (seq % 4) * 400000 AS u, price, fill, side FROM fills), j AS (
+  SELECT trade, event, row_number() OVER (PARTITION BY trade ORDER BY ts, event) AS r, row_number() OVER (PARTITION BY event ORDER BY u, trade) AS q
+  FROM t JOIN fills e ON e.price = t.price AND e.fill = t.fill AND e.side = t.side AND epoch_us(e.ts) BETWEEN u AND u + 1000000
+)
+SELECT trade, event FROM j WHERE r = 1 AND q = 1""",
+    "match_sum_of_fill": f"""WITH {chain()}, {FILLS}, t AS (
+  SELECT seq * 2 + k AS trade, epoch_us(ts) - 500000 + k * 300000 AS u, price, side, CASE WHEN k = 0 THEN floor(fill / 2) ELSE fill - floor(fill / 2) END AS amount FROM fills, range(2) r(k) WHERE fill >= 2
+), g AS (
+  SELECT a.trade AS x, b.trade AS y, b.u, a.price, a.side, a.amount + b.amount AS amount FROM t a JOIN t b ON a.price = b.price AND a.side = b.side AND a.trade < b.trade AND b.u - a.u BETWEEN 0 AND 1000000
+), j AS (
+  SELECT event, x, y, ts, row_number() OVER (PARTITION BY x ORDER BY ts, x, y, event) AS r, row_number() OVER (PARTITION BY y ORDER BY ts, x, y, event) AS q
+  FROM g JOIN fills e ON e.price = g.price AND e.side = g.side AND e.fill = g.amount AND epoch_us(ts) BETWEEN u AND u + 1000000
+)
+SELECT event, x AS first_trade, 2 AS members FROM j WHERE r = 1 AND q = 1""",
+    "dup_order_events": f"WITH {chain()} SELECT order_id, epoch_us(date_trunc('day', ts)::TIMESTAMP) AS ts_us, count(*) AS copies FROM raw GROUP BY ALL HAVING count(*) > 1",
+    "invalid_chains": f"""WITH {chain()}, k AS (SELECT * FROM l3 WHERE seq % 17 <> 0)
+SELECT order_id, epoch_us(ts) AS ts_us, event_no, 'no next event' AS problem FROM k WHERE next_ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k n WHERE n.order_id = k.order_id AND n.ts = k.next_ts AND n.event_no = k.next_event_no)
+UNION ALL SELECT order_id, epoch_us(ts), event_no, 'no previous event' FROM k WHERE event_no > 1 AND NOT EXISTS (SELECT 1 FROM k n WHERE n.order_id = k.order_id AND n.next_ts = k.ts AND n.next_event_no = k.event_no)""",
+    "eternal_orders": f"WITH {chain()} SELECT order_id, epoch_us(ts) AS ts_us, event_no FROM l3 WHERE status = 'open' AND (SELECT epoch_us(max(ts)) FROM l3) - epoch_us(ts) > 86400000000",
+    "merge_episodes": f"""WITH {chain()}, h AS (
+  SELECT seq, order_id, deleted, ts, date_trunc('day', ts) AS dy, epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP) AS o FROM raw
+), x AS (
+  SELECT *, o >= 3600000000 AND o < 32400000000 AND dy >= TIMESTAMP '2024-01-02' AND dy < TIMESTAMP '2024-01-30' AS hit FROM h
+), a AS (
+  SELECT *, lead(seq) OVER w IS NOT NULL AS again FROM x WHERE hit WINDOW w AS (PARTITION BY order_id, dy ORDER BY ts, seq)
+), m AS (
+  SELECT a.seq, coalesce((SELECT min(b.ts) FROM a b WHERE b.order_id = a.order_id AND b.dy = a.dy AND b.deleted AND b.again AND (b.ts, b.seq) >= (a.ts, a.seq)), dy + INTERVAL 9 HOUR) AS t FROM a
+)
+SELECT raw.seq, raw.order_id, epoch_us(coalesce(m.t, raw.ts)::TIMESTAMP) AS ts_us FROM raw LEFT JOIN m USING (seq)""",
+    "missing_fill_backprop": f"""WITH {chain()}, z AS (
+  SELECT * REPLACE (CASE WHEN seq % 3 <> 0 THEN fill END AS fill) FROM l3
+), mt AS (
+  SELECT DISTINCT order_id, event_no FROM z WHERE fill IS NULL AND event_no > 1 AND NOT deleted AND seq % 2 = 1
+), q AS (
+  SELECT z.*, mt.order_id IS NOT NULL AS has, CASE WHEN fill IS NULL AND z.event_no > 1 AND mt.order_id IS NOT NULL THEN 2 ELSE 0 END AS lost FROM z LEFT JOIN mt ON mt.order_id = z.order_id AND mt.event_no = z.event_no
+)
+SELECT seq, (amount + coalesce((SELECT sum(lost) FROM q l WHERE l.order_id = q.order_id AND l.segment = q.segment AND l.event_no > q.event_no), 0))::DOUBLE AS amount, CASE WHEN fill IS NULL AND has THEN 2 ELSE fill END::DOUBLE AS fill FROM q""",
+    "session_eras": f"""WITH {chain()}, g AS (SELECT ts, seq, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, seq)) <= 900000000 THEN 0 ELSE 1 END AS n FROM raw), i AS (SELECT *, sum(n) OVER (ORDER BY ts, seq) AS k FROM g)
+SELECT epoch_us(min(ts)) AS era_us, count(*) AS events, epoch_us(max(ts)) AS last_ts_us FROM i GROUP BY k""",
+    "late_reassign": f"WITH {chain(eras=ERAS)} SELECT epoch_us(era) AS era_us, count(*) AS events, count(DISTINCT order_id) AS orders FROM raw GROUP BY era",
+    "reincarnation_numbering": f"WITH {chain()} SELECT order_id, segment::BIGINT AS segment, max(event_no) AS events FROM l3 GROUP BY ALL",
+    "order_book_diff": f"""WITH {chain()}, a AS (SELECT order_id, price, CASE WHEN side = 'b' THEN amount ELSE -amount END AS v FROM l3 WHERE NOT deleted AND ts <= {START} AND (next_ts IS NULL OR next_ts > {START})),
+b AS (SELECT order_id, price, CASE WHEN side = 'b' THEN amount ELSE -amount END AS v FROM l3 WHERE NOT deleted AND ts <= {MIDDLE} AND (next_ts IS NULL OR next_ts > {MIDDLE}))
+SELECT order_id, coalesce(b.price, 0)::DOUBLE AS price, coalesce(b.v, sign(a.v))::DOUBLE AS amount FROM a FULL JOIN b USING (order_id) WHERE (a.price, a.v) IS DISTINCT FROM (b.price, b.v)""",
+    "asof_last_spread": f"WITH {chain()}, {levels()}, {BEST}, {PAIR} SELECT event_id AS exchange_trade_id, bp::DOUBLE AS best_bid_price, ap::DOUBLE AS best_ask_price FROM trade ASOF LEFT JOIN spread ON trade.ts > spread.ts",
+    "power_law_volume": f"""WITH {chain()}, {PAIR}, b AS (SELECT sum(amount)::DOUBLE AS v FROM trade GROUP BY {grid("ts", 900)}), {tail("b", "v")}
+SELECT max(n) AS n, count(*) AS tail, round(max(sigma), 6) AS sigma, round(-regr_slope(ln(rk / n), ln(x)), 6) AS exponent FROM tl""",
+    "power_law_returns": f"""WITH {mids(900)}, r0 AS (SELECT cell, ln(mid) - lag(ln(mid)) OVER (ORDER BY cell) AS r FROM mid), p AS (SELECT cell, r, abs(r) * abs(lag(r) OVER (ORDER BY cell)) AS p FROM r0), v AS (
+  SELECT r, count(p) OVER w AS c, sum(p) OVER w AS s FROM p WINDOW w AS (ORDER BY cell ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)
+), b AS (SELECT abs(r) AS v FROM v WHERE c = 2 AND s > 0 AND abs(r) > 0), {tail("b", "v")}
+SELECT max(n) AS n, count(*) AS tail, round(-regr_slope(ln(rk / n), ln(x)), 5) AS exponent FROM tl""",
+    "lead_lag_corr": f"""WITH {mids(3600, 3)}, ends AS (SELECT min(cell) AS a, max(cell) AS b FROM mid), g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM ends), f AS (
+  SELECT t, (SELECT arg_max(mid, cell) FROM mid WHERE exchange = 'venue0' AND cell <= t) AS x, (SELECT arg_max(mid, cell) FROM mid WHERE exchange = 'venue1' AND cell <= t) AS y FROM g
+), c AS (
+  SELECT row_number() OVER (ORDER BY t) AS n, log10(x) - lag(log10(x)) OVER (ORDER BY t) AS x, log10(y) - lag(log10(y)) OVER (ORDER BY t) AS y FROM f
+)
+SELECT k::INT AS lag, round(corr(a.x, b.y), 6) AS correlation FROM range(-5, 6) r(k) LEFT JOIN c a ON true JOIN c b ON b.n = a.n - k GROUP BY k""",
+    "jump_test": f"""WITH {mids(600)}, r0 AS (SELECT cell, ln(mid) - lag(ln(mid)) OVER (ORDER BY cell) AS r FROM mid), p AS (SELECT cell, r, abs(r) * abs(lag(r) OVER (ORDER BY cell)) AS p FROM r0), v AS (
+  SELECT cell, r, count(p) OVER w AS c, sum(p) OVER w / 28 AS s FROM p WINDOW w AS (ORDER BY cell ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)
+)
+SELECT epoch_us(cell) AS ts_us, round(r, 9) AS log_return, round(abs(r) / sqrt(s), 5) AS statistic FROM v WHERE c = 28 AND s > 0""",
+    "range_by_interval": f"WITH {mids(600)} SELECT epoch_us(date_trunc('day', cell)::TIMESTAMP) AS cell_us, round(ln(max(mid)) - ln(min(mid)), 9) AS log_range FROM mid GROUP BY ALL",
+    "takers_levels": f"""WITH {chain()}, {PAIR}, o AS (SELECT date_trunc('day', ts) AS t, taker, taker_side, sum(amount) AS volume, count(DISTINCT price) AS levels FROM trade WHERE ts BETWEEN {START} AND {END} GROUP BY ALL)
+SELECT levels, count(*) AS orders, sum(volume)::DOUBLE AS volume FROM o GROUP BY levels""",
+    "limit_placements": f"{PLACED} SELECT epoch_us(ts) AS ts_us, side, price::DOUBLE AS price, delta::DOUBLE AS delta, kind, distance::DOUBLE AS distance FROM placed",
+    "arrival_rate_by_distance": f"{PLACED} SELECT kind, ceil(distance::DOUBLE / 25 - 1e-9)::INT AS ticks, count(*) AS events, round(count(*) / (29 * 86400.0), 9)::DOUBLE AS rate FROM placed GROUP BY ALL",
+    "placements_histogram": f"""{PLACED}, c AS (SELECT epoch_us(ts) // 600000000 AS cell, count(*) AS events FROM placed WHERE kind = 'placement' AND ts >= {START} AND ts < {END} GROUP BY ALL)
+SELECT events, count(*) AS cells FROM c GROUP BY events UNION ALL SELECT 0, 14 * 144 - count(*) FROM c""",
+    "queue_profile": f"WITH q AS ({QUEUE}) " + " UNION ALL ".join(f"SELECT '{s}' AS side, {i} AS tick, round(avg({c}{i}), 6) AS volume FROM q" for s, c in (("bid", "b"), ("ask", "a")) for i in range(1, 5)),
+    "quote_events": f"""WITH {chain()} SELECT order_id, segment::BIGINT AS segment, event_no AS k, CASE WHEN deleted THEN 'D' WHEN event_no = 1 THEN 'A' ELSE 'C' END AS type,
+  CASE WHEN deleted THEN amount ELSE fill END::DOUBLE AS decrease FROM l3""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import grid as G
-from tidebook.operators import book, chains, depth, events, replay
+from tidebook.operators import analysis, book, chains, depth, events, matching, repair, replay
 from tidebook.sources import adapters as A
 from tidebook.sources.adapters import instant
 
@@ -144,7 +144,7 @@ def depth_signed_changes(spark, d):
 
 
 def chain_id(spark, d):
-    signed = depth.signed_changes(A.depth_updates(spark, d).where(F.col("ts") < instant("2020-04-01")))
+    signed = depth.signed_changes(A.depth_updates(spark, d).where(F.col("ts") < instant("1995-03-01")))
     return shown(depth.chain_ids(signed), "ts", "side", "price", "delta", "chain_id")
 
 
@@ -200,12 +200,167 @@ def market_orders(spark, d):
     return events.market_orders(t).select(F.unix_micros("timestamp").alias("timestamp_us"), "taker", "direction", F.col("volume").cast("double").alias("volume"), "levels", F.round(F.col("mean_price").cast("double"), 4).alias("mean_price"))
 
 
+def crossed_books(spark, d):
+    return shown(repair.crossed_books(replay.spread(_changes(spark, d, crossed=True))), "previous_uncrossed", "first_crossed", "next_uncrossed")
+
+
+def _fills(spark, d):
+    return level3(spark, d).where("fill > 0").withColumn("event", F.col("seq"))
+
+
+def match_exact_fill(spark, d):
+    events_ = _fills(spark, d)
+    late = F.timestamp_micros(F.unix_micros("ts") - (F.col("seq") % 4) * 400_000)
+    trades_ = events_.select("exchange", "pair", F.col("seq").alias("trade"), late.alias("ts"), "price", F.col("fill").alias("amount"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"))
+    return matching.exact(trades_, events_.select("exchange", "pair", "event", "ts", "price", "fill", "side"))
+
+
+def match_sum_of_fill(spark, d):
+    events_ = _fills(spark, d).where("fill >= 2")
+    half = F.floor(F.col("fill") / 2).cast("decimal(28,8)")
+    part = F.explode(F.array(F.struct(F.lit(0).alias("k"), half.alias("a")), F.struct(F.lit(1).alias("k"), (F.col("fill") - half).alias("a"))))
+    t = events_.withColumn("p", part)
+    t = t.select("exchange", "pair", (F.col("seq") * 2 + F.col("p.k")).alias("trade"), F.timestamp_micros(F.unix_micros("ts") - 500_000 + F.col("p.k") * 300_000).alias("ts"), "price", F.col("p.a").alias("amount"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"))
+    out = matching.by_sum(t, events_.select("exchange", "pair", "event", "ts", "price", "fill", "side"))
+    return out.select("event", F.element_at("members", 1).alias("first_trade"), F.size("members").alias("members"))
+
+
+def infer_trades(spark, d):
+    return shown(replay.infer_trades(level3(spark, d, crossed=True), 3600.0, 0))
+
+
+def dup_order_events(spark, d):
+    raw = A.raw_orders(spark, d)
+    return shown(repair.duplicate_events(raw.withColumn("ts", G.floor_to(F.col("ts"), 86400))), "order_id", "ts", "copies")
+
+
+def invalid_chains(spark, d):
+    return shown(repair.invalid_chains(level3(spark, d).where("seq % 17 <> 0")), "order_id", "ts", "event_no", "problem")
+
+
+def eternal_orders(spark, d):
+    return shown(repair.eternal_orders(level3(spark, d), 86400), "order_id", "ts", "event_no")
+
+
+def merge_episodes(spark, d):
+    raw = A.raw_orders(spark, d)
+    spans = spark.range(1, 29).select(F.lit("venue0").alias("exchange"), F.lit("AB").alias("pair"), *(F.timestamp_micros(F.unix_micros(instant("2024-01-01")) + F.col("id") * 86_400_000_000 + k * 3_600_000_000).alias(c) for c, k in (("start", 1), ("end", 9))))
+    return shown(repair.merge_episodes(raw, spans, 8 * 3600), "seq", "order_id", "ts")
+
+
+def missing_fill_backprop(spark, d):
+    l3 = level3(spark, d).withColumn("fill", F.when(F.col("seq") % 3 != 0, F.col("fill")))
+    found = l3.where("fill is null and event_no > 1 and not deleted and seq % 2 = 1").select("order_id", "event_no", F.lit(2).cast("decimal(28,8)").alias("amount"), "segment", "seq")
+    one = found.groupBy("order_id", "event_no").agg(F.max("amount").alias("amount"))
+    return shown(repair.missing_fills(l3, one), "seq", "amount", "fill")
+
+
+def session_eras(spark, d):
+    raw = chains.session_eras(A.raw_orders(spark, d), 900)
+    return shown(raw.groupBy("era").agg(F.count("*").alias("events"), F.max("ts").alias("last_ts")))
+
+
+def late_reassign(spark, d):
+    raw = chains.assign_eras(A.raw_orders(spark, d), A.eras(spark))
+    return shown(raw.groupBy("era").agg(F.count("*").alias("events"), F.countDistinct("order_id").alias("orders")))
+
+
+def reincarnation_numbering(spark, d):
+    return level3(spark, d).groupBy("order_id", "segment").agg(F.max("event_no").alias("events"))
+
+
+def order_book_diff(spark, d):
+    def raw_book(at):
+        rows = book.snapshot(level3(spark, d), instant(at))
+        return rows.select("order_id", "price", F.when(F.col("side") == "b", F.col("amount")).otherwise(-F.col("amount")).alias("amount"))
+
+    return shown(depth.order_book_difference(raw_book(START), raw_book(MIDDLE)))
+
+
+def asof_last_spread(spark, d):
+    t = A.trades(spark, d)
+    sp = replay.spread(_changes(spark, d))
+    return shown(events.last_known(t, sp, ["best_bid_price", "best_ask_price"]), "exchange_trade_id", "best_bid_price", "best_ask_price")
+
+
+def power_law_volume(spark, d):
+    t = A.trades(spark, d).groupBy(G.ceil_to(F.col("ts"), 900).alias("cell")).agg(F.sum("amount").cast("double").alias("volume"))
+    return analysis.power_law(t, "volume", 1.0).select("n", "tail", F.round("sigma", 6).alias("sigma"), F.round("exponent", 6).alias("exponent"))
+
+
+def _mids(spark, d, seconds, **options):
+    return analysis.sampled(replay.spread(_changes(spark, d, **options)), seconds)
+
+
+def power_law_returns(spark, d):
+    mids = _mids(spark, d, 900)
+    r = analysis.jumps(mids, 4).select(F.abs("log_return").alias("r")).where("r > 0")
+    return analysis.power_law(r, "r", 1.0).select("n", "tail", F.round("exponent", 5).alias("exponent"))
+
+
+def lead_lag_corr(spark, d):
+    out = analysis.lead_lag(_mids(spark, d, 3600, venues=3), 3600, "venue0", "venue1")
+    return out.select("lag", F.round("correlation", 6).alias("correlation"))
+
+
+def jump_test(spark, d):
+    out = analysis.jumps(_mids(spark, d, 600), 30)
+    return out.select(F.unix_micros("ts").alias("ts_us"), F.round("log_return", 9).alias("log_return"), F.round("statistic", 5).alias("statistic"))
+
+
+def range_by_interval(spark, d):
+    return analysis.ranges(_mids(spark, d, 600), 86400).select(F.unix_micros("cell").alias("cell_us"), F.round("log_range", 9).alias("log_range"))
+
+
+def top_spikes(spark, d):
+    return shown(analysis.top_spikes(replay.drawupdowns(_quotes(spark, d), 0.001), 10))
+
+
+def takers_levels(spark, d):
+    t = events.trades(A.trades(spark, d), instant(START), instant(END)).withColumn("timestamp", G.floor_to(F.col("timestamp"), 86400))
+    return shown(analysis.takers_levels(events.market_orders(t)))
+
+
+def _placed(spark, d):
+    changes = _changes(spark, d)
+    return analysis.placements(depth.signed_changes(changes), replay.spread(changes))
+
+
+def limit_placements(spark, d):
+    return shown(_placed(spark, d), "ts", "side", "price", "delta", "kind", "distance")
+
+
+def arrival_rate_by_distance(spark, d):
+    rates = analysis.arrival_rates(_placed(spark, d), 25.0, F.lit(29 * 86400.0))
+    return rates.select("kind", "ticks", "events", F.round("rate", 9).alias("rate"))
+
+
+def placements_histogram(spark, d):
+    return analysis.count_histogram(_placed(spark, d).where("kind = 'placement'"), 600, instant(START), instant(END))
+
+
+def queue_profile(spark, d):
+    q = analysis.queue_profile(replay.queues(_changes(spark, d, 86400), 25.0, 1, 4))
+    return q.select("side", "tick", F.round("volume", 6).alias("volume"))
+
+
+def quote_events(spark, d):
+    return shown(analysis.quote_events(level3(spark, d)), "order_id", "segment", "k", "type", "decrease")
+
+
+def position_trellis(spark, d):
+    q = _quotes(spark, d)
+    return shown(analysis.position_trellis(replay.drawupdowns(q, 0.002), q, 600))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         level3_chain, depth_changes, depth_sampled_1h, depth_multi_era, starting_depth, depth_at_ts, depth_range, periods_within_eras, events_intervals, data_overview, available_period,
         era_summary, book_snapshot, book_flags, book_liquidity, spread, spread_sampled_1h, spread_uncrossed, mid_price, depth_summary_bps, depth_summary_pivot, depth_resample_tick,
         depth_signed_changes, chain_id, queues_absolute, trading_period_best, trading_period_volume, trading_period_infinite, trading_strategy, epsilon_drawupdowns, events_classified,
-        export_events, trades, market_orders,
+        export_events, trades, market_orders, crossed_books, match_exact_fill, match_sum_of_fill, infer_trades, dup_order_events, invalid_chains, eternal_orders, merge_episodes,
+        missing_fill_backprop, session_eras, late_reassign, reincarnation_numbering, order_book_diff, asof_last_spread, power_law_volume, power_law_returns, lead_lag_corr, jump_test,
+        range_by_interval, top_spikes, takers_levels, limit_placements, arrival_rate_by_distance, placements_histogram, queue_profile, quote_events, position_trellis,
     )
 }
