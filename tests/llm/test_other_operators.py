@@ -1,0 +1,308 @@
+import hashlib
+import math
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tests.llm.helpers import SCHEMA, components, documents, words
+from tidebook.llm import embedding, mixing, pii, queries, sharding, topk
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def vector_rows(seed=2, n=90, dims=8):
+    r = np.random.Generator(np.random.PCG64(seed))
+    x = r.normal(size=(n, dims))
+    for k in range(0, n, 5):
+        x[k] = x[(k + 1) % n] + r.normal(size=dims) * 0.05
+    x[7] = x[8] = x[9]
+    rows = [(k * 5, [float(v) for v in row], k % 3) for k, row in enumerate(np.round(x, 3))]
+    inf, nan = float("inf"), float("nan")
+    rows += [(2000, None, 1), (2050, [], 1), (2100, [0.0] * dims, 1), (2150, [nan] + [1.0] * (dims - 1), 1), (2200, [inf] + [1.0] * (dims - 1), 1), (2250, [None] + [1.0] * (dims - 1), 1)]
+    rows += [(2300, rows[3][1], None), (None, rows[3][1], rows[3][2]), (2350, [1.0, 2.0], 1), (2400, [2.0, 4.0], 1), rows[12], rows[12]]
+    return rows
+
+
+def fine(v):
+    return bool(v) and all(c is not None and math.isfinite(c) for c in v)
+
+
+def test_embedding_links_match_brute_force(spark):
+    rows = vector_rows()
+    live = lambda r: r[2] is not None and fine(r[1]) and any(r[1])
+    unit = [np.float32(r[1]).astype(float) / np.linalg.norm(np.float32(r[1]).astype(float)) if live(r) else None for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93]
+    root = components(len(rows), links)
+    n = Counter(x for pair in links for x in pair)
+    low = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[root[i]].append(r[0])
+    expected = sorted((str(r[0]), n[i], min(low[root[i]], default=None), r[0] is not None and min(low[root[i]]) == r[0]) for i, r in enumerate(rows))
+    frame = spark.createDataFrame(rows, VECTORS)
+    for most in (2048, 4):
+        got = embedding.near_duplicates(frame, most=most).collect()
+        assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == expected
+    assert embedding.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_hashing_recall_at_the_threshold():
+    r = np.random.Generator(np.random.PCG64(4))
+    p = embedding.Projections(64, 24, 12, 2.0, 9)
+    a = r.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.93 * a + math.sqrt(1 - 0.93**2) * b
+    assert (p(a) == p(c)).any(1).mean() > 0.95
+
+
+def slow_top(rows, k=5):
+    q = {i: [math.floor(256 * float(np.float32(c))) for c in r[1]] for i, r in enumerate(rows) if fine(r[1])}
+    out = []
+    for i, r in enumerate(rows):
+        if i in q and r[0] is not None and r[0] % 50 == 0:
+            found = sorted((-sum(x * y for x, y in zip(q[i], q[j], strict=False)), rows[j][0] is None, rows[j][0] or 0) for j in q if j != i)
+            out += [(r[0], rank + 1, None if none else vec, -score) for rank, (score, none, vec) in enumerate(found[:k])]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("shard", [4096, 16])
+def test_top_k_matches_brute_force(spark, shard, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rows = vector_rows()
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS), shard=shard).collect()
+    assert sorted(str((r.query_id, r.rank, r.vec_id, r.score)) for r in got) == slow_top(rows)
+
+
+def test_top_k_of_few_and_no_rows(spark):
+    two = spark.createDataFrame([(0, [1.0], 1), (1, [2.0], 1)], VECTORS)
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(two).collect()] == [(0, 1, 1, 256 * 512)]
+    assert topk.top_k(two.where("vec_id = 1")).count() == 0
+    assert topk.top_k(two.limit(0)).count() == 0
+
+
+def test_ball_tree_bounds_hold():
+    r = np.random.Generator(np.random.PCG64(6))
+    points = r.integers(-900, 900, (10, 12))[r.integers(0, 10, 700)] + r.integers(-20, 20, (700, 12))
+    tree = topk.BallTree(points, np.arange(700), np.arange(700))
+    assert len(tree.span) > 10 and sorted(tree.ids.tolist()) == list(range(700))
+    q = r.integers(-500, 500, (9, 12))
+    leaves, upper = tree.bounds(q)
+    for k, leaf in enumerate(leaves):
+        a, b, _ = tree.span[leaf]
+        assert ((q @ tree.points[a:b].T).max(1) <= upper[:, k]).all()
+    search = topk.Search(q, np.full(9, -1), np.full(9, topk.LOW), 5)
+    seen = []
+    offer = search.offer
+    search.offer = lambda who, *rest: (seen.append(len(who) * len(rest[0])), offer(who, *rest))
+    search.visit(tree)
+    assert search.score.tolist() == np.sort(q @ points.T, axis=1)[:, ::-1][:, :5].tolist()
+    assert sum(seen) < 9 * 700  # some nodes fell short of the k-th score
+
+
+def slow_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [s for s in sizes if s is None]
+    weight = {s: Fraction(weights[k % 3]) for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), Fraction(sum(sizes.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / total for s in open_}
+        for s in over:
+            target[s] = Fraction(most * sizes[s])
+        left -= sum(target[s] for s in over)
+        open_ -= set(over)
+    return target
+
+
+def test_mixing_targets_and_whole_copies(spark):
+    rows = documents(120) + [(4000 + k, "tiny " * (1 + k % 3), "en", "s9", 1) for k in range(5)]
+    size = [len(words(r[1])) for r in rows]
+    of = Counter()
+    for r, n in zip(rows, size, strict=True):
+        of[r[3]] += n
+    expected = slow_targets(dict(of))
+    frame = spark.createDataFrame([(*r, r[4]) for r in rows], SCHEMA + ", copies long")
+    got = mixing.mix(frame).collect()
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(r[0]), n) for r, n in zip(rows, size, strict=True))
+    taken = Counter()
+    for r in got:
+        assert r.source_size == of[r.source] and abs(r.target - float(expected[r.source])) < 1e-6
+        e = r.target / r.source_size if r.source_size else 0
+        assert r.taken == r.copies * r.size and math.floor(e - 1e-9) <= r.copies <= math.ceil(e - 1e-9) <= 3
+        taken[r.source] += r.taken
+    for s in of:
+        assert abs(taken[s] - expected[s]) <= 2 * max(n for r, n in zip(rows, size, strict=True) if r[3] == s)
+    again = mixing.mix(frame.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_mixing_odd_tables(spark):
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    out = mixing.mix(spark.createDataFrame([(1, None, "en", None, None), (2, "", "en", "a", 0)], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in out) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    same = mixing.mix(spark.createDataFrame([(1, "a b", "en", "s", 3)] * 6, SCHEMA)).collect()
+    assert [(r.source_size, r.target, r.taken) for r in same] == [(12, 12.0, 2)] * 6
+
+
+def test_mixing_equals_its_sql(spark):
+    rows = documents(80)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(frame).select("doc_id", "size", "source_size", "target", "taken").collect()
+    c = duckdb.connect()
+    c.register("documents", frame.toPandas())
+    sql = queries.MIXING_SQL.format(text="text", docs="documents") + " SELECT doc_id, size, source_size, target, ((i * step + off) // 1099511627776 - ((i - 1) * step + off) // 1099511627776)::BIGINT * size AS taken FROM r"
+    expected = [(None if str(a) in ("nan", "<NA>", "None") else int(a), *map(int, (b, s)), float(t), int(n)) for a, b, s, t, n in c.sql(sql).df().itertuples(index=False)]
+    assert sorted(map(str, ((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got))) == sorted(map(str, expected))
+
+
+def slow_table(shards, size):
+    order = [[(sharding.number(f"{s}:offset") + j * (sharding.number(f"{s}:skip") % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+    owner = {}
+    while len(owner) < size:
+        for k in range(len(shards)):
+            if len(owner) < size:
+                owner[next(x for x in order[k] if x not in owner)] = k
+    return [owner[x] for x in range(size)]
+
+
+def test_lookup_table_matches_brute_force_and_moves_little():
+    shards = [f"n{k}" for k in range(7)]
+    table = sharding.lookup_table(shards, 211)
+    assert table == slow_table(shards, 211)
+    counts = Counter(table)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    fewer = sharding.lookup_table(shards[:-1], 211)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6)
+    assert moved < 0.35 * 211
+    for bad in ((["a"], 210), ([], 211), (["a", "a"], 211)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+
+
+def test_placement(spark):
+    rows = [(k, "clash", -1) for k in range(50)] + [(None, "x", 0), (3, "y", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, shard string, slot int")
+    out = sharding.place(frame, "doc_id", queries.SHARDS)
+    got = out.collect()
+    assert len(got) == 52 and sorted(out.columns) == ["doc_id", "shard", "slot"]
+    table = sharding.lookup_table(queries.SHARDS)
+    for r in got:
+        key = "null" if r.doc_id is None else f"={r.doc_id}"
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 10007
+        assert (r.slot, r.shard) == (slot, queries.SHARDS[table[slot]])
+    assert sharding.place(frame.limit(0), "doc_id", queries.SHARDS).count() == 0
+
+
+TEXTS = [
+    'mail und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM and 97.51.17.173### card 9807915762804490$$$ 4111-1111-1111-1111',
+    'call +1 (017) 555-7713, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"!! TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"',
+    "Mr. John Smith met Mrs Anna Smith and г-н Иванов; 123-45-6789 GB82 WEST 1234 5698 7654 32",
+    "und.34@mail7.example.com again, and x@y.de",
+    "version 1.2.3 in 2024 costs 100,000.50 under CC BY-NC 4.0",
+]
+
+
+def test_surrogates_keep_form_and_coreference(spark):
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(TEXTS)] + [(9, None, None, None, None), (10, "", "en", "s", 0), (1, TEXTS[1], "en", "s", 1)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "n_entities")
+    out = pii.replace(frame, b"key")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_entities"]
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [0, 1, 1, 2, 3, 4, 9, 10]
+    text = {r.doc_id: r.text for r in got}
+    assert text[4] == TEXTS[4] and text[9] is None and text[10] == ""
+    assert got[1].text == got[2].text
+    for k in range(4):
+        for m in pii.find(TEXTS[k]):
+            assert TEXTS[k][m.start : m.end] not in text[k], m
+    first = [m.canonical for m in pii.find(text[0]) if m.kind == "email"]
+    assert len(first) == 2 and first[0] == first[1]  # one entity, two cases
+    assert text[3].startswith(first[0]) and text[0].split(" ")[3].isupper()
+    card = [m.canonical for m in pii.find(text[0]) if m.kind == "card"]
+    assert pii.luhn(card[0]) != 0 and pii.luhn(card[1]) == 0 and text[0].rstrip().count("-") == TEXTS[0].count("-")
+    tokens = [m.canonical for m in pii.find(text[1]) if m.kind == "secret"]
+    assert len(tokens) == 2 and tokens[0] == tokens[1] and len(tokens[0]) == 40
+    surnames = [w for w in text[2].replace(";", "").split() if w[:1].isupper()]
+    assert surnames[2] == surnames[5] and any("а" <= c <= "я" for c in text[2])
+    assert [r.text for r in sorted(pii.replace(frame.repartition(5), b"key").collect(), key=lambda r: r.doc_id)] == [r.text for r in got]
+    assert pii.replace(frame, b"other").where("doc_id = 0").first().text != text[0]
+    assert pii.replace(frame.limit(0), b"key").count() == 0
+
+
+def narrow(key, kind, canonical, attempt):
+    """Few surrogates, some of them real entities: clashes of every kind."""
+    return f"e{(hash_of(canonical) + attempt) % 12}"
+
+
+def hash_of(s):
+    return int(hashlib.md5(s.encode()).hexdigest()[:6], 16)
+
+
+def test_settling_keeps_entities_apart(spark):
+    entities = spark.createDataFrame([("email", f"e{k}") for k in range(4)] + [("email", f"x{k}") for k in range(4)] + [("ip", "e1")], "kind string, canonical string")
+    got = pii.settle(entities, b"k", narrow).collect()
+    mails = [r.surrogate for r in got if r.kind == "email"]
+    assert len(got) == 9 and len(set(mails)) == 8 and not set(mails) & {f"e{k}" for k in range(4)}
+
+
+def test_detection_finds_forms_and_spares_numbers():
+    kinds = lambda t: [m.kind for m in pii.find(t)]
+    assert kinds("a@b.co 10.0.0.1 4111 1111 1111 1111 +44 20 7946 0958 (415) 555-2671") == ["email", "ip", "card", "phone", "phone"]
+    for clean in ("1.2.3", "1.2.3.4.5", "2024-01-02", "3.14", "the year 1999", "12345", "100,000.50", "word_with_underscore", "DERHEITKEITUNGSCHLICHBERENDE"):
+        assert kinds(clean) == [], clean
+    assert [pii.find(t)[0].kind for t in ("Frau Meier", "M Mr Smith", "κύριος Παππάς")] == ["surname"] * 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    clean = [(k, " ".join(f"w{(k * 31 + i * i) % 400}x{(k + i) % 17}" for i in range(60)) + ". a fine end.", "en", f"s{k % 3}", 1) for k in range(90)]
+    junk = [(500 + k, f"BUY$$$ now### {'spam ' * (9 + k % 5)} %%% !!!", "en", "s0", 1) for k in range(60)]
+    copies = [(700 + k, clean[4][1].replace("fine end", f"fine end{k}"), "en", "s1", 1) for k in range(12)]
+    private = [(800, clean[7][1] + " write to und.34@mail7.example.com", "en", "s2", 1)]
+    rows = clean + junk + copies + private
+    labels = [(r[0], int(r[0] < 500), 0) for r in clean + junk]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        seen.append(docs.collect())
+    ids = [sorted(r.doc_id for r in rows_) for rows_ in seen]
+    assert ids[0] == sorted(r[0] for r in clean + copies + private)
+    assert ids[1] == [r[0] for r in clean]
+    kept = {r.doc_id: r.text for r in seen[1]}
+    assert ids[2] == ids[1] and all(r.text == kept[r.doc_id] and r.n_chars == len(r.text) for r in seen[2])
+    size = Counter({s: sum(len(words(r.text)) for r in seen[2] if r.source == s) for s in ("s0", "s1", "s2")})
+    target = slow_targets(dict(size))
+    for s in size:
+        assert abs(sum(len(words(r.text)) for r in seen[3] if r.source == s) - target[s]) <= 200
+    assert max(Counter(ids[3]).values()) <= 3
+    assert ids[4] == ids[3] and all(r.n_tokens == len(r.ids) for r in seen[4])
+    assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.n_tokens) for r in seen[4])
+
+
+def test_private_data_stage_replaces(spark):
+    docs = spark.createDataFrame([(1, TEXTS[0], "en", "s", 5), (2, None, "en", "s", None)], SCHEMA)
+    out = {r.doc_id: r for r in corpus_pipeline.personal_data_stage(spark, docs, "").collect()}
+    assert "und.34@" not in out[1].text.lower() and out[1].n_chars == len(out[1].text) and out[2].text is None
+
+
+def test_mixing_stage_with_repeats_and_nulls(spark):
+    rows = [(1, "a b", "en", "s", 3)] * 4 + [(None, "c d", "en", None, 3), (None, None, None, None, None), (2, "e f g", "de", "t", 5)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.mixing_stage(spark, frame, "").collect()
+    expected = Counter()
+    for r in mixing.mix(frame).collect():
+        expected[str(r.doc_id), r.source] += r.copies
+    assert Counter((str(r.doc_id), r.source) for r in got) == +expected

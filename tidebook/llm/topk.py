@@ -165,7 +165,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id
             now = None
 
             def result() -> Iterator[pa.RecordBatch]:
-                block, ids, s = now
+                (block, _), ids, s = now
                 if not last:
                     body = (s.queries, s.rows, ids, np.maximum(s.least, s.score[:, -1]))
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pickle.dumps(body)], pa.binary())], names=["block", "body"])
@@ -184,8 +184,8 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id
                         if now is not None:
                             yield from result()
                         q, rows, ids, least = body
-                        now = (r["block"], ids, Search(q, rows, least, k))
-                    else:
+                        now = ((r["block"], r["g"]), ids, Search(q, rows, least, k))
+                    elif now is not None and now[0] == (r["block"], r["g"]):  # a block may have no queries
                         now[2].visit(body)
             if now is not None:
                 yield from result()
