@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import numpy as np
+from tidebook.llm.cluster import cut
+
+#: Keys that a broadcast may hold.
+BROADCAST = 20_000
 
 
 def in_bounded_groups(rows: DataFrame, key: list[str], within: str, most: int) -> DataFrame:
@@ -14,12 +18,16 @@ def in_bounded_groups(rows: DataFrame, key: list[str], within: str, most: int) -
     A key of at most ``most`` rows is one group, part 0. The rows of a larger one are dealt by the hash of ``within``
     into chunks of about half that, and each pair of chunks is a group: a row is copied once per chunk of its own key
     only. Nothing is dropped, and each two rows of different chunks meet exactly once. Keys are counted with partial
-    sums before the shuffle; the larger ones (at most rows / most of them) are joined back.
+    sums before the shuffle; the larger ones (at most rows / most of them) are counted in turn, and joined back: by
+    broadcast if they are BROADCAST or fewer, else by a shuffle. Without any, the rows need no join.
     """
     counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("n") * 2 / most).cast("int").alias("of"))
+    counts = cut(counts.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("n") * 2 / most).cast("int").alias("of")))
+    common = counts.count()
+    if not common:
+        return rows.withColumn("chunk", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
     same = [F.col(k) == F.col(f"_{k}") for k in key]
-    out = rows.join(counts, same, "left").drop(*(f"_{k}" for k in key))
+    out = rows.join(F.broadcast(counts) if common <= BROADCAST else counts, same, "left").drop(*(f"_{k}" for k in key))
     out = out.withColumn("chunk", F.when(F.col("of").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(within, F.lit(17)), F.col("of")).cast("int")))
     other = F.explode(F.when(F.col("of").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("of") - 1)))
     out = out.withColumn("other", other)
