@@ -36,7 +36,13 @@ class Projections:
 
     def __call__(self, unit: np.ndarray) -> np.ndarray:
         cells = np.floor(unit @ self.a + self.b).astype(np.int64).view(np.uint64).reshape(len(unit), *self.shape)
-        return mix((cells * self.odd).sum(2, dtype=np.uint64)).view(np.int64)
+        return (mix((cells * self.odd).sum(2, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors(rows: DataFrame, embedding: str) -> DataFrame:
@@ -64,9 +70,12 @@ def near_duplicates(
     kept: whether that is its own. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     of null label, link with nothing. Repeated rows count as copies. A null vec_id takes part but is never the smallest.
     """
+    single = "array<float>" if dict(rows.dtypes)[embedding] == "array<float>" else None
     rows = vectors(rows.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding")), "embedding")
     rows = cut(rows.select("vec_id", F.when(F.col("x").isNotNull(), F.col("label")).alias("label"), F.when(F.col("label").isNotNull(), F.col("x")).alias("x")))
     live = rows.where("label is not null")
+    # what a float column holds fits floats; lengths and products are of doubles
+    wide = np.float32 if single else np.float64
     reps = cut(live.groupBy("label", "x").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,20 +87,19 @@ def near_duplicates(
                 for dims in np.unique(size).tolist():
                     part = batch.filter(pa.array(size == dims))
                     x = matrix(part.column("x"))
-                    unit = x / np.abs(x).max(1, keepdims=True)
-                    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+                    unit = units(x)
                     hashes = known.setdefault(dims, Projections(dims, tables, bits, width, seed))(unit)
                     which = np.repeat(np.arange(len(part)), tables)
                     out = part.take(pa.array(which))
                     every = pa.ListArray.from_arrays(np.arange(0, len(which) * tables + 1, tables, dtype=np.int32), hashes[which].ravel())
-                    lists = pa.ListArray.from_arrays(np.arange(0, len(which) * dims + 1, dims, dtype=np.int32), unit[which].ravel())
+                    lists = pa.ListArray.from_arrays(np.arange(0, len(which) * dims + 1, dims, dtype=np.int32), x.astype(wide)[which].ravel())
                     yield pa.RecordBatch.from_arrays(
                         [out.column("label"), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(hashes.ravel()), out.column("rep"), out.column("copies"), lists, every],
-                        names=["label", "t", "h", "rep", "copies", "u", "every"],
+                        names=["label", "t", "h", "rep", "copies", "x", "every"],
                     )
 
     kind = dict(rows.dtypes)["label"]
-    spreaded = reps.select("label", "x", "rep", "copies").mapInArrow(spread, f"label {kind}, t int, h long, rep long, copies long, u array<double>, every array<long>")
+    spreaded = reps.select("label", "x", "rep", "copies").mapInArrow(spread, f"label {kind}, t int, h int, rep long, copies long, x {single or 'array<double>'}, every array<int>")
     key = ["label", "t", "h"]
     groups = in_bounded_groups(spreaded, key, "rep", most)
     groups = groups.repartition(parts, *key, "part").sortWithinPartitions(*key, "part")
@@ -132,7 +140,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(b)], names=["a", "n", "b"])
 
     def pairs_of(group: pa.RecordBatch) -> tuple | None:
-        u, every = matrix(group.column("u")), np.asarray(group.column("every").flatten()).reshape(len(group), -1)
+        u, every = units(matrix(group.column("x"))), np.asarray(group.column("every").flatten()).reshape(len(group), -1)
         rep, copies, chunk = (group.column(c).to_numpy() for c in ("rep", "copies", "chunk"))
         t, part = group.column("t")[0].as_py(), group.column("part")[0].as_py()
         two = part >> 31 != part & (1 << 31) - 1
