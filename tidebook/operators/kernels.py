@@ -245,7 +245,8 @@ def returns(t0: int, p0: float, t1: int, p1: float) -> tuple:
     """(opened, open price, closed, close price, bps return, rate a second, log return)."""
     log = abs(math.log(p1) - math.log(p0))
     seconds = (t1 - t0) / 1e6
-    return t0, p0, t1, p1, round((p1 - p0) / p0 * 10000, 2), math.exp(log / seconds) - 1 if seconds > 0 else None, log
+    rate = None if seconds <= 0 else math.expm1(log / seconds) if log / seconds < 700 else math.inf
+    return t0, p0, t1, p1, round((p1 - p0) / p0 * 10000, 2), rate, log
 
 
 class Draws:

@@ -119,7 +119,7 @@ def fix_premature_deletes(raw: DataFrame, seconds: float) -> DataFrame:
     """raw without deletions that the order itself contradicts within ``seconds``: a next event of the same price."""
     w = Window.partitionBy(*VENUE, "order_id").orderBy("ts", "seq")
     again = F.lead("ts").over(w)
-    same = (F.lead("price").over(w) == F.col("price")) & ~F.lead("deleted").over(w)
+    same = (F.lead("price").over(w) == F.coalesce("price", F.lag("price").over(w))) & ~F.lead("deleted").over(w)
     soon = (F.unix_micros(again) - F.unix_micros("ts")) <= round(seconds * 1e6)
     return raw.withColumn("_w", F.coalesce(F.col("deleted") & same & soon, F.lit(False))).where("not _w").drop("_w")
 
