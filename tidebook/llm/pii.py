@@ -37,8 +37,10 @@ PATTERN = regex.compile(
     """,
     regex.VERBOSE,
 )
-#: What a text must hold to hold an entity; the JVM looks for it before Python sees the text.
-HINT = r"@|\d{2}|\d\.\d|(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + r")\.? "
+#: What a text must hold to hold an entity; the JVM looks for it before Python sees the text. The class in front lets
+#: it pass over most letters without trying the titles.
+_TITLES = (*MALE, *FEMALE, *NEUTRAL)
+HINT = "(?=[@0-9" + "".join(sorted({t[0] for t in _TITLES})) + "])(?:[@0-9]|(?:" + "|".join(_TITLES) + r")\.? )"
 
 SCRIPTS = {
     "latin": ("bdfgklmnprstv", "aeiou"),
