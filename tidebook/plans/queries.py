@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import grid as G
 from tidebook.operators import analysis, book, chains, depth, events, matching, repair, replay
+from tidebook.plans.session import cut
 from tidebook.sources import adapters as A
 from tidebook.sources.adapters import instant
 
@@ -17,6 +18,11 @@ def level3(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return chains.build(A.raw_orders(spark, sf_dir, **options))
 
 
+def stored_level3(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Chains written once, as a store would hold them, for queries that read them more than once."""
+    return cut(level3(spark, sf_dir, **options))
+
+
 def labelled(rows: DataFrame) -> DataFrame:
     """Level changes with bid and ask for b and s, as the book kernels take them."""
     return rows.withColumn("side", G.side_label(F.col("side")))
@@ -49,7 +55,7 @@ def depth_sampled_1h(spark, d):
 
 
 def depth_multi_era(spark, d):
-    return shown(labelled(depth.continuous(level3(spark, d, eras=A.ERAS))), "ts", "side", "price", "volume")
+    return shown(labelled(depth.continuous(stored_level3(spark, d, eras=A.ERAS))), "ts", "side", "price", "volume")
 
 
 def starting_depth(spark, d):
@@ -61,7 +67,7 @@ def depth_at_ts(spark, d):
 
 
 def depth_range(spark, d):
-    return shown(depth.depth(level3(spark, d), instant(START), instant(END), 1800), "ts", "side", "price", "volume")
+    return shown(depth.depth(stored_level3(spark, d), instant(START), instant(END), 1800), "ts", "side", "price", "volume")
 
 
 def periods_within_eras(spark, d):
@@ -82,7 +88,7 @@ def available_period(spark, d):
 
 
 def era_summary(spark, d):
-    l3 = level3(spark, d, eras=A.ERAS)
+    l3 = stored_level3(spark, d, eras=A.ERAS)
     return shown(events.era_summary(l3, A.trades(spark, d), events.era_table(l3)), "era", "events", "created", "changed", "deletions", "trades", "first_event", "last_event")
 
 
@@ -182,8 +188,8 @@ def epsilon_drawupdowns(spark, d):
 
 
 def events_classified(spark, d):
-    l3 = level3(spark, d, crossed=True)
-    sp = replay.spread(labelled(depth.changes(l3)))
+    l3 = stored_level3(spark, d, crossed=True)
+    sp = cut(replay.spread(labelled(depth.changes(l3))))
     return shown(events.classify(l3, sp, instant(START), instant(END)), "id", "timestamp", "event_no", "price", "volume", "action", "direction", "fill", "type", "aggressiveness_bps", "initial")
 
 
@@ -279,7 +285,7 @@ def order_book_diff(spark, d):
 
 def asof_last_spread(spark, d):
     t = A.trades(spark, d)
-    sp = replay.spread(_changes(spark, d))
+    sp = cut(replay.spread(_changes(spark, d)))
     return shown(events.last_known(t, sp, ["best_bid_price", "best_ask_price"]), "exchange_trade_id", "best_bid_price", "best_ask_price")
 
 
@@ -322,8 +328,8 @@ def takers_levels(spark, d):
 
 
 def _placed(spark, d):
-    changes = _changes(spark, d)
-    return analysis.placements(depth.signed_changes(changes), replay.spread(changes))
+    changes = cut(_changes(spark, d))
+    return analysis.placements(depth.signed_changes(changes), cut(replay.spread(changes)))
 
 
 def limit_placements(spark, d):
