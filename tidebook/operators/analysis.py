@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.grid import ceil_to, floor_to
+from tidebook.operators.ranks import numbered
 
 VENUE = ["exchange", "pair"]
 
@@ -13,11 +14,11 @@ VENUE = ["exchange", "pair"]
 def power_law(values: DataFrame, column: str, cut: float) -> DataFrame:
     """n, sigma, exponent: the slope of log rank share against log size, for sizes in units of sigma from ``cut`` on.
 
-    Ranks of the tail need the tail alone in order, which is a small part of the rows.
+    Only the tail is ranked, over ranges.
     """
     stats = values.agg(F.stddev_samp(column).alias("sigma"), F.count(column).alias("n"))
     rows = values.crossJoin(F.broadcast(stats)).withColumn("x", F.col(column) / F.col("sigma")).where(F.col("x") >= cut)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("x").desc())))
+    ranked = numbered(rows, "rank", F.col("x").desc())
     share = F.ln(F.col("rank") / F.col("n"))
     return ranked.agg(F.max("n").alias("n"), F.max("sigma").alias("sigma"), F.count("*").alias("tail"), (-F.regr_slope(share, F.ln("x"))).alias("exponent"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.grid import AMOUNT, PRICE, ceil_to, floor_to, side_label, tick_ceil, tick_floor
+from tidebook.operators.ranks import numbered
 
 LEVEL = ("exchange", "pair", "era", "side", "price")
 
@@ -118,7 +119,7 @@ def chain_ids(signed: DataFrame) -> DataFrame:
     place = F.struct("ts", "side", F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price")))
     size = F.abs("delta")
     first = signed.where("delta <> 0").groupBy("side", size.alias("size")).agg(F.min(place).alias("first"))
-    ids = first.withColumn("chain_id", F.row_number().over(Window.orderBy("first"))).select(F.col("side").alias("_s"), F.col("size").alias("_z"), "chain_id")
+    ids = numbered(first, "chain_id", F.col("first")).withColumn("chain_id", F.col("chain_id").cast("int")).select(F.col("side").alias("_s"), F.col("size").alias("_z"), "chain_id")
     return signed.join(ids, (F.col("side") == F.col("_s")) & (size == F.col("_z"))).drop("_s", "_z")
 
 
