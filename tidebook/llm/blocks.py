@@ -25,8 +25,8 @@ from tidebook.llm.cluster import cut
 BLOCK, BUCKET = 12 << 20, 2_000_000
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def swell(data: bytes) -> bytes:
@@ -91,7 +91,7 @@ def make(docs: DataFrame, doc_id: str, text: str, marked: Column) -> DataFrame:
             starts, _, _ = X.words(data, offsets)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k]), one(batch.column("id")), one(batch.column("marked")), one(pa.array(offsets)), pa.array([squeeze(data.tobytes())], pa.binary()), pa.array([len(starts)])],
+                [pa.array([part << 32 | k]), one(batch.column("id")), one(batch.column("marked")), one(pa.array(offsets)), pa.array([squeeze(data.tobytes(), 5)], pa.binary()), pa.array([len(starts)])],
                 names=["block", "ids", "marked", "offsets", "text", "words"],
             )
 
