@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidebook.functions import grid
-from tidebook.operators import analysis, book, chains, depth, events, kernels, matching, repair, replay
+from tidebook.operators import analysis, book, chains, depth, episodes, events, kernels, matching, ranks, repair, replay
 
 RAW = "exchange string, pair string, era timestamp, ts timestamp, seq long, order_id long, side string, price decimal(18,8), amount decimal(28,8), deleted boolean"
 ERA = dt.datetime(2024, 1, 1)
@@ -276,3 +276,22 @@ def test_histogram_counts_empty_cells(spark):
     rows = spark.createDataFrame([(at(1),), (at(2),), (at(25),)], "ts timestamp")
     assert sorted(map(tuple, analysis.count_histogram(rows, 10, instant(0), instant(50)).collect())) == [(0, 3), (1, 1), (2, 1)]
     assert analysis.jump_threshold(1000) > analysis.jump_threshold(100)
+
+
+def test_books_per_episode(spark):
+    l3 = chains.build(raw(spark, [(0, 1, "s", 10, 1), (1, 2, "b", 11, 1), (2, 2, "b", None, None), (3, 3, "b", 9, 2), (4000, 3, "b", 9, 1)]))
+    got = {r.ts: [(o.order_id, float(o.amount), o.is_maker) for o in r.orders] for r in episodes.order_book_by_episode(l3).collect()}
+    assert got == {at(0): [(1, 1, True)], at(1): [(1, 1, True), (2, 1, False)], at(2): [(1, 1, True)], at(3): [(3, 2, True), (1, 1, True)], at(4000): [(3, 1, True), (1, 1, True)]}
+    makers = episodes.maker_depth(l3, episodes.episodes(l3)).where(F.col("ts") == instant(1)).collect()
+    assert [(r.side, float(r.price)) for r in makers] == [("ask", 10)]
+
+
+def test_synthetic_creations(spark):
+    rows = raw(spark, [(0, 1, "b", 10, 3), (1, 1, "b", 10, 2), (2, 2, "s", 11, None)]).withColumn("event", F.when(F.col("seq") == 2, "deleted").otherwise("changed"))
+    got = chains.build(chains.with_creations(rows)).orderBy("order_id", "event_no").collect()
+    assert [(r.order_id, r.event_no, r.status) for r in got][:3] == [(1, 1, "superseded"), (1, 2, "superseded"), (1, 3, "open")]
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"))
+    assert all(r.n == r.v + 1 for r in ranks.numbered(rows, "n", F.col("v")).collect())

@@ -71,3 +71,17 @@ def without_duplicates(raw: DataFrame) -> DataFrame:
 def renumber(level3: DataFrame, eras: DataFrame) -> DataFrame:
     """Chains cut anew at the given eras, such as one split in two: the pointers follow from the windows."""
     return build(assign_eras(level3.select("exchange", "pair", "ts", "seq", "order_id", "side", "price", "amount", "deleted"), eras))
+
+
+def with_creations(raw: DataFrame) -> DataFrame:
+    """raw(event) with a creation before every chain that begins with a change or a deletion, at the same time and place.
+
+    What the order had before isn't known: the creation takes the event's own price and amount. A synthetic row's seq is
+    that of its event less one half, so seq becomes a decimal.
+    """
+    order = Window.partitionBy(*BOOK, "order_id").orderBy("ts", "seq")
+    starts = F.coalesce(F.lag("deleted").over(order), F.lit(True)) & (F.col("event") != "created")
+    seq = F.col("seq").cast("decimal(21,1)")
+    rows = raw.withColumn("_s", starts).withColumn("seq", seq)
+    made = rows.where("_s").withColumn("event", F.lit("created")).withColumn("deleted", F.lit(False)).withColumn("seq", (F.col("seq") - F.lit("0.5").cast("decimal(2,1)")).cast("decimal(21,1)"))
+    return rows.unionByName(made).drop("_s")
