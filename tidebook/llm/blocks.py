@@ -36,7 +36,7 @@ def swell(data: bytes) -> bytes:
 def pack(values: np.ndarray) -> bytes:
     """Numbers with equal bytes of all of them next to each other, compressed."""
     values = np.ascontiguousarray(values)
-    return values.dtype.str.encode().ljust(4) + squeeze(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return values.dtype.str.encode().ljust(4) + squeeze(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
