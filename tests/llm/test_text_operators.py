@@ -100,6 +100,30 @@ def test_one_document_of_each_near_group_stays(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "7", "8", "None"]
 
 
+def cut_and_extended(n, similarity):
+    """(original, copies): texts of 150 words, each with a copy cut short and one with another text appended, so similar."""
+    r = np.random.Generator(np.random.PCG64(11))
+    texts = [[f"w{min(int(x), 5000)}" for x in r.zipf(1.3, 150)] for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    out = []
+    for k, w in enumerate(texts):
+        for grow in (False, True):
+            for m in range(60, 0, -1):
+                v = w + texts[k - 1][:m] if grow else w[:-m]
+                a, b = shingles(w), shingles(v)
+                if len(a & b) >= similarity * len(a | b):
+                    out.append((" ".join(w), " ".join(v)))
+                    break
+    return out
+
+
+def test_near_duplicates_are_found_where_the_differing_words_lie_together(spark):
+    pairs = cut_and_extended(100, 0.84)
+    rows = [(10 * k + j, " ".join(f"p{k}{w}" for w in t.split()), "en", "a", 1) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).count()
+    assert kept <= 1.04 * len(pairs)
+
+
 def test_empty_tables_give_no_rows(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.one_of_each(none).count() == 0
