@@ -124,6 +124,15 @@ def test_near_duplicates_are_found_where_the_differing_words_lie_together(spark)
     assert kept <= 1.04 * len(pairs)
 
 
+def test_less_similar_texts_stay_and_repeats_count_once(spark):
+    pairs = cut_and_extended(60, 0.7)
+    rows = [(10 * k + j, " ".join(f"p{k}{w}" for w in t.split()), "en", "a", 1) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    assert simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).count() >= 1.9 * len(pairs)
+    bases = [" ".join(f"t{k}{w}" for w in p[0].split()) for k, p in enumerate(cut_and_extended(60, 0.9)[::2])]
+    rows = [(10 * k + j, t, "en", "a", 1) for k, b in enumerate(bases) for j, t in enumerate((b, b + " all rights are reserved" * 9))]
+    assert simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).count() == len(bases)
+
+
 def test_empty_tables_give_no_rows(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.one_of_each(none).count() == 0
