@@ -150,8 +150,7 @@ def depth_signed_changes(spark, d):
 
 
 def chain_id(spark, d):
-    signed = depth.signed_changes(A.depth_updates(spark, d).where(F.col("ts") < instant("1995-03-01")))
-    return shown(depth.chain_ids(signed), "ts", "side", "price", "delta", "chain_id")
+    return shown(depth.chain_ids(depth.signed_changes(A.depth_updates(spark, d))), "ts", "side", "price", "delta", "chain_id")
 
 
 def queues_absolute(spark, d):
