@@ -171,6 +171,34 @@ def test_bpe_memory_bound_changes_nothing(monkeypatch):
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
+def test_bpe_tells_runs_apart_by_their_bytes():
+    """The two Thue-Morse words have equal polynomial hashes modulo 2 ** 64."""
+    library, encoder = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.Vocabulary.read(VOCABULARY))
+    other = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(10):
+        word += word.translate(other)
+    texts = [word, word.translate(other), f"{word} {word.translate(other)}"]
+    ids, first = encoder(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz"])
+def test_bpe_long_words_have_rounds_of_their_own(letters, monkeypatch):
+    library, vocabulary = Tokenizer.from_file(VOCABULARY), bpe.Vocabulary.read(VOCABULARY)
+    r = np.random.Generator(np.random.PCG64(3))
+    word = "".join(r.choice(list(letters), 6000))
+    expected = library.encode(word, add_special_tokens=False).ids
+    assert vocabulary.merge_long(word.encode()).tolist() == expected
+    ids, first = vocabulary.merge([b"the", word.encode(), b"of", word.encode()])
+    assert ids[first[1] : first[2]].tolist() == ids[first[3] :].tolist() == expected and ids[first[2] : first[3]].tolist() == library.encode("of", add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    text = f"a few words before {word} and a few behind it, then {'more ' * 30}"
+    ids, _ = bpe.Encoder(vocabulary)(pa.array(["x y", text, None, "z"]))
+    assert ids.tolist() == [i for t in ("x y", text, "z") for i in library.encode(t, add_special_tokens=False).ids]
+
+
 def slow_repeats(rows, length):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     seen, gone = set(), defaultdict(set)

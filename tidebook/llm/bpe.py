@@ -6,8 +6,10 @@ The vocabulary is a ``tokenizers`` JSON file that the caller names. Only the dri
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from tidebook.llm import text as X
 
 #: Bytes of text that the kernel takes at a time.
 PIECE = 2 << 20
-#: Runs of text, and words, whose ids a worker remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 700_000
+#: Runs of text, and words, whose ids a worker remembers, and bytes of them; beyond that it forgets them all and goes on.
+REMEMBERED, REMEMBERED_BYTES = 700_000, 64 << 20
+#: Bytes from which on a word goes through its rounds alone.
+LONG = 1024
 
 
 def byte_letters() -> list[str]:
@@ -96,8 +100,14 @@ class Vocabulary:
         All words lie in one flat array. In a round each word's lowest-ranked pair is found by binary search of all
         neighbouring pairs among the sorted pair keys, and merged wherever it stands in that word, from the left where
         it overlaps itself. Merges made of a pair rank behind it, so this is the order of one merge at a time. Words
-        without a known pair leave the array.
+        without a known pair leave the array. A word of LONG bytes or more has rounds of its own.
         """
+        if any(len(w) >= LONG for w in words):
+            short = [w for w in words if len(w) < LONG]
+            ids, first = self.merge(short) if short else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+            rest = iter(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+            lists = [self.merge_long(w) if len(w) >= LONG else ids[slice(*next(rest))] for w in words]
+            return np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         data = np.frombuffer(b"".join(words), np.uint8)
         size = np.array([len(w) for w in words], np.int64)
         stop = np.cumsum(size)
@@ -110,9 +120,8 @@ class Vocabulary:
             rank = np.full(len(ids), never)
             into = np.zeros(len(ids), np.int64)
             if len(ids) > 1:
-                key = ids[:-1] << 32 | ids[1:]
-                at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-                known = (self.pair_key[at] == key) & (word[:-1] == word[1:])
+                at, known = self.look_up(ids[:-1], ids[1:])
+                known &= word[:-1] == word[1:]
                 rank[:-1][known] = self.pair_rank[at[known]]
                 into[:-1][known] = self.pair_into[at[known]]
             begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -142,6 +151,64 @@ class Vocabulary:
         order = np.argsort(word, kind="stable")
         return ids[order], np.searchsorted(word[order], np.arange(len(words) + 1))
 
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the sorted keys, whether it is there) of pairs of symbols."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return at, self.pair_key[at] == key
+
+    def merge_long(self, text: bytes) -> np.ndarray:
+        """The ids of one word, by the same rounds, each over the places of the lowest-ranked pair alone.
+
+        Symbols are a linked list; a round looks up only the pairs that it made, so a word of n bytes takes about
+        n log n steps however many rounds it needs.
+        """
+        data = np.frombuffer(text, np.uint8)
+        n = len(data)
+        ids = self.inner[data]
+        ids[-1] = self.last[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        found = np.full(n, -1)  # place of a symbol's pair in the sorted keys, -1 without one
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(place: np.ndarray) -> None:
+            place = place[(place >= 0) & (after[np.maximum(place, 0)] < n)]
+            at, known = self.look_up(ids[place], ids[after[place]])
+            found[place] = np.where(known, at, -1)
+            place, rank = place[known], self.pair_rank[at[known]]
+            order = np.argsort(rank, kind="stable")
+            place, rank = place[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for part, r in zip(np.split(place, cuts), rank[np.r_[0, cuts]].tolist() if len(rank) else [], strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(part)
+
+        look(np.arange(n - 1))
+        while ranks:
+            r = heappop(ranks)
+            place = np.unique(np.concatenate(waiting.pop(r)))
+            place = place[(found[place] >= 0) & (self.pair_rank[found[place]] == r)]
+            if not len(place):
+                continue
+            run = np.r_[True, place[1:] != after[place[:-1]]]
+            start = np.flatnonzero(run)
+            turn = np.arange(len(place)) - start[np.cumsum(run) - 1]
+            place = place[turn % 2 == 0]
+            gone = after[place]
+            ids[place] = self.pair_into[found[place]]
+            found[gone] = -1
+            found[place] = -1
+            beyond = after[gone]
+            after[place] = beyond
+            inside = beyond < n
+            before[beyond[inside]] = place[inside]
+            before[gone] = -2
+            look(np.unique(np.concatenate((place, before[place]))))
+        return ids[before != -2]
+
 
 def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[at:at + size], one after the other."""
@@ -150,14 +217,16 @@ def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """Lists of ids by number, in one flat array."""
+    """Lists of ids by the bytes (or id) that they stand for, in one flat array; ``held`` counts what the keys take."""
 
     def __init__(self) -> None:
         self.number: dict = {}
+        self.held = 0
         self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
         self.number.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.held += sum(len(k) for k in keys if not isinstance(k, int))
         self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
         self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
@@ -168,13 +237,13 @@ class Lists:
 
 
 class Encoder:
-    """Encodes texts; remembers runs of text (by hash) and their words between calls."""
+    """Encodes texts; remembers runs of text and their words between calls, each by its bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.chunks, self.words = Lists(), Lists()
 
-    def learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """Remembers the ids of new runs of text; their new words go through the merge rounds in one batch."""
         parts: list[bytes | int] = []
         count = []
@@ -200,23 +269,52 @@ class Encoder:
         ids, size = self.words.take(np.array([number[w] for w in parts], np.int64))
         ends = np.concatenate(([0], np.cumsum(size)))
         stop = np.cumsum(np.array(count, np.int64))
-        self.chunks.add(hashes, ids, np.diff(np.concatenate(([0], ends[stop]))))
+        self.chunks.add(chunks, ids, np.diff(np.concatenate(([0], ends[stop]))))
+
+    def ids(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, size) of runs of text, one after the other."""
+        for known in (self.chunks, self.words):
+            if len(known.at) > REMEMBERED or known.held > REMEMBERED_BYTES:
+                known.__init__()
+        number = self.chunks.number
+        if new := [r for r in dict.fromkeys(runs) if r not in number]:
+            self.learn(new)
+        return self.chunks.take(np.fromiter(map(number.__getitem__, runs), np.int64, len(runs)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text k are ids[first[k]:first[k + 1]]."""
         data, offsets = X.buffer(texts)
-        starts, ends, begin = X.words(data, offsets)
-        distinct, sample, which = np.unique(X.hash_spans(data, starts, ends, False), return_index=True, return_inverse=True)
-        for known in (self.chunks, self.words):
-            if len(known.at) > REMEMBERED:
-                known.__init__()
-        distinct = distinct.tolist()
-        if new := [k for k, h in enumerate(distinct) if h not in self.chunks.number]:
-            raw = data.tobytes()
-            self.learn([distinct[k] for k in new], [raw[s:e] for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
-        numbers = np.array([self.chunks.number[h] for h in distinct], np.int64)[which]
-        ids, size = self.chunks.take(numbers)
-        return ids, np.concatenate(([0], np.cumsum(size)))[begin]
+        raw = data.tobytes()
+        size = np.zeros(len(offsets) - 1, np.int64)
+        out = [np.zeros(0, np.int32)]
+        for spans in portions(raw, offsets.tolist()):
+            found = [raw[a:b].split() for _, a, b in spans]
+            ids, each = self.ids([run for runs in found for run in runs])
+            ends = np.concatenate(([0], np.cumsum(each)))
+            stop = np.cumsum([len(runs) for runs in found])
+            np.add.at(size, [k for k, _, _ in spans], np.diff(np.concatenate(([0], ends[stop]))))
+            out.append(ids)
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(size)))
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def portions(raw: bytes, offsets: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (text, from, to) that hold about PIECE bytes each; longer texts are cut at white space."""
+    held, size = [], 0
+    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        while a < b:
+            gap = _GAP.search(raw, a + PIECE, b) if b - a > PIECE else None
+            stop = gap.end() if gap else b
+            held.append((k, a, stop))
+            size += stop - a
+            a = stop
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def decode(ids: np.ndarray, first: np.ndarray, tokens: list[str]) -> list[str]:
