@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.cluster import cut
@@ -12,16 +12,16 @@ from tidebook.llm.cluster import cut
 BROADCAST = 20_000
 
 
-def in_bounded_groups(rows: DataFrame, key: list[str], within: str, most: int) -> DataFrame:
+def in_bounded_groups(rows: DataFrame, key: list[str], within: str, most: int, weight: Column | None = None) -> DataFrame:
     """rows with columns ``part`` and ``of`` such that any two rows of a key meet in a group (key, part) of bounded size.
 
-    A key of at most ``most`` rows is one group, part 0. The rows of a larger one are dealt by the hash of ``within``
+    A key of at most ``most`` rows (or of that ``weight``) is one group, part 0. The rows of a larger one are dealt by the hash of ``within``
     into chunks of about half that, and each pair of chunks is a group: a row is copied once per chunk of its own key
     only. Nothing is dropped, and each two rows of different chunks meet exactly once. Keys are counted with partial
     sums before the shuffle; the larger ones (at most rows / most of them) are counted in turn, and joined back: by
     broadcast if they are BROADCAST or fewer, else by a shuffle. Without any, the rows need no join.
     """
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    counts = rows.groupBy(*key).agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).where(F.col("n") > most)
     counts = cut(counts.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("n") * 2 / most).cast("int").alias("of")))
     common = counts.count()
     if not common:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,6 +22,8 @@ PIECE = 2 << 20
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 #: Rows of one comparison group.
 GROUP = 4096
+#: Fingerprints beyond which the free bits join the anchors' keys: 16 at home at an anchor, on average.
+FINER = 1 << 28
 
 _LANES = np.array([sum((b >> i & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -118,11 +120,12 @@ def syndrome(x: np.ndarray) -> np.ndarray:
     return s
 
 
-def anchors(fingerprint: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, anchor): for each fingerprint all anchors within covering radius plus threshold.
+def anchors(fingerprint: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, anchor, home): for each fingerprint all anchors within covering radius plus threshold.
 
     The anchors are the pairs of Golay code words; they cover the lower 46 bits with radius 6, and the other 18 bits
-    are left free. Two fingerprints that differ in ``threshold`` bits or fewer share the first one's nearest anchor.
+    are left free. ``home`` marks each fingerprint's nearest anchor. Two fingerprints that differ in ``threshold`` bits
+    or fewer share the first one's home.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("the table of patterns holds thresholds 0 to 2")
@@ -130,6 +133,7 @@ def anchors(fingerprint: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nda
     low = (fingerprint & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
     high = (fingerprint >> np.uint64(LENGTH) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
     s, t = syndrome(low), syndrome(high)
+    nearest = (low ^ patterns[first[s]]) | (high ^ patterns[first[t]]) << LENGTH
     most = 2 * RADIUS + threshold
     index, anchor = [], []
     for w in range(most + 1):
@@ -142,7 +146,18 @@ def anchors(fingerprint: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nda
         b = patterns[first[t][who] + k % other[who]]
         index.append(who)
         anchor.append((low[who] ^ a) | (high[who] ^ b) << LENGTH)
-    return np.concatenate(index), np.concatenate(anchor)
+    index, anchor = np.concatenate(index), np.concatenate(anchor)
+    return index, anchor, anchor == nearest[index]
+
+
+def free_keys(fingerprint: np.ndarray, threshold: int) -> np.ndarray:
+    """(n, threshold + 1) numbers from the 18 bits that the anchors leave free, cut into equal parts, above the anchor's 46.
+
+    Fingerprints that differ in ``threshold`` bits agree in one of the parts, so they share that one's number.
+    """
+    width = (64 - 2 * LENGTH) // (threshold + 1)
+    free = (fingerprint >> np.uint64(2 * LENGTH)).astype(np.int64)
+    return np.stack([(free >> width * k & (1 << width) - 1) << 2 | k for k in range(threshold + 1)], 1) << 2 * LENGTH
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", column: str = "simhash") -> DataFrame:
@@ -164,43 +179,86 @@ def eights(numbers: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.arange(0, len(numbers) * width + 1, width, dtype=np.int32)), pa.py_buffer(numbers)])
 
 
-def linked(distinct: DataFrame, threshold: int = 2, most: int = GROUP) -> DataFrame:
+def linked(distinct: DataFrame, threshold: int = 2, most: int = GROUP, finer: int = FINER) -> DataFrame:
     """distinct(f long) -> links(a, b) that join any two fingerprints which differ in ``threshold`` bits or fewer.
 
-    Not all such pairs: each comparison group gives a spanning forest, at most one link per row, so that groups of
-    copies don't give links by the square. Their connected components are the same.
+    A fingerprint lies at home at its nearest anchor and probes all others in reach: only homes are compared with the
+    rows of their anchor, which finds every pair, at the home of either. Over ``finer`` fingerprints
+    the free bits join the key, which copies rows threefold and makes groups 64 times smaller; the pairs found are the
+    same. Each comparison group gives a spanning forest, at most one link per row, so that groups of copies don't give
+    links by the square.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = distinct.count() > finer
     distinct = distinct.repartition(parts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column("f").to_numpy()
-            for i in range(0, len(f), 4000):
-                index, anchor = anchors(f[i : i + 4000].view(np.uint64), threshold)
-                found = f[i + index]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(found), eights(found)], names=["anchor", "id", "bits"])
+            for i in range(0, len(f), 2000):
+                part = f[i : i + 2000]
+                index, anchor, home = anchors(part.view(np.uint64), threshold)
+                for key in free_keys(part.view(np.uint64), threshold).T if fine else [np.zeros(len(part), np.int64)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | key[index]), pa.array(part[index]), pa.array(home)], names=["anchor", "id", "home"])
 
-    return forest(distinct.mapInArrow(spread, "anchor long, id long, bits binary"), threshold, most)
+    rows = in_bounded_groups(distinct.mapInArrow(spread, "anchor long, id long, home boolean"), ["anchor"], "id", most)
+    rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("home").desc())
 
+    def within(rows: pa.RecordBatch) -> pa.RecordBatch:
+        g = Groups(rows)
+        home = np.asarray(rows.column("home"))
+        homes = np.add.reduceat(home.astype(np.int64), g.first) if len(home) else np.zeros(0, np.int64)
+        bits = g.ids.view(np.uint64)
+        here = np.flatnonzero((g.size[g.group] > 1) & (homes[g.group] > 0))
+        for k in range(int(homes.max(initial=0))):
+            here = here[(homes[g.group[here]] > k) & (here - g.first[g.group[here]] > k)]
+            a = g.first[g.group[here]] + k
+            near = np.bitwise_count(bits[a] ^ bits[here]) <= threshold
+            g.link(a[near], here[near])
+        return g.links()
+
+    return rows.select("anchor", "part", "id", "home", "chunk").mapInArrow(by_group(within), "a long, b long")
+
+
+class Groups:
+    """Rows in the order of (anchor, part): their groups, and a spanning forest of the links found among their ids."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        anchor, part, self.ids, self.chunk = (rows.column(c).to_numpy() for c in ("anchor", "part", "id", "chunk"))
+        new = np.ones(len(self.ids), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+        self.first = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.size = np.bincount(self.group) if len(new) else np.zeros(0, np.int64)
+        # a group of two chunks compares across them only
+        self.both = (part >> 31) != (part & (1 << 31) - 1)
+        self.values, self.item = np.unique(self.ids, return_inverse=True)
+        self.trees = Forest(len(self.values))
 
-def forest(rows: DataFrame, threshold: int, most: int = GROUP) -> DataFrame:
-    """rows(anchor long, id long, bits binary) -> links(a, b): rows that share an anchor and differ in few bits.
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ~self.both[a] | (self.chunk[a] != self.chunk[b])
 
-    Each group of rows gives a spanning forest of these links. Rows of a common anchor are compared chunk by chunk.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_bounded_groups(rows, ["anchor"], "id", most)
-    rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        fine = self.meet(a, b)
+        self.trees.link(self.item[a[fine]], self.item[b[fine]])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of their group; a group may lie in several batches."""
+    def links(self) -> pa.RecordBatch:
+        root = self.trees.roots()
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(self.values[tied]), pa.array(self.values[root[tied]])], names=["a", "b"])
+
+
+def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 200_000, most_bytes: int = 64 << 20) -> Callable:
+    """A function of batches that come in the order of (anchor, part): ``within`` sees whole groups, several at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count = size = 0
         for batch in batches:
             held.append(batch)
             count += len(batch)
-            if count >= 200_000:
+            size += batch.nbytes
+            if count >= most or size >= most_bytes:
                 rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
                 last = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))
@@ -208,41 +266,43 @@ def forest(rows: DataFrame, threshold: int, most: int = GROUP) -> DataFrame:
                 if stop:
                     yield within(rows.slice(0, stop))
                 held = [rows.slice(stop)]
-                count = len(rows) - stop
+                count, size = len(rows) - stop, 0
         if count:
             yield within(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
+    return run
+
+
+def forest(rows: DataFrame, threshold: int, most: int = GROUP) -> DataFrame:
+    """rows(anchor long, id long, bits binary) -> links(a, b): rows that share an anchor and differ in few bits.
+
+    Each group of rows gives a spanning forest of these links. Rows of a common anchor are compared chunk by chunk.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_bounded_groups(rows, ["anchor"], "id", most)
+    rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+
     def within(rows: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, part, ids, chunk = (rows.column(c).to_numpy() for c in ("anchor", "part", "id", "chunk"))
+        g = Groups(rows)
         data, _ = X.buffer(rows.column("bits"))
-        bits = data.view(np.uint64).reshape(len(ids), -1)
-        new = np.ones(len(ids), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        end = np.cumsum(size)[group]
-        # a group of two chunks compares across them only
-        both = (part >> 31) != (part & (1 << 31) - 1)
-        values, item = np.unique(ids, return_inverse=True)
-        trees = Forest(len(values))
-        here = np.flatnonzero(size[group] > 1)
-        for step in range(1, int(size.max())):
+        bits = data.view(np.uint64).reshape(len(g.ids), -1)
+        end = np.cumsum(g.size)[g.group]
+        here = np.flatnonzero(g.size[g.group] > 1)
+        for step in range(1, int(g.size.max(initial=0))):
             here = here[here + step < end[here]]
             if not len(here):
                 break
-            a = here[~both[here] | (chunk[here] != chunk[here + step])]
+            a = here[g.meet(here, here + step)]
             apart = np.zeros(len(a), np.int64)
             for k in range(bits.shape[1]):
                 apart += np.bitwise_count(bits[a, k] ^ bits[a + step, k])
                 if k % 4 == 3:  # what differs too much already needs no further lanes
                     a, apart = a[apart <= threshold], apart[apart <= threshold]
             a = a[apart <= threshold]
-            trees.link(item[a], item[a + step])
-        root = trees.roots()
-        tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(values[tied]), pa.array(values[root[tied]])], names=["a", "b"])
+            g.link(a, a + step)
+        return g.links()
 
-    return rows.select("anchor", "part", "id", "bits", "chunk").mapInArrow(compare, "a long, b long")
+    return rows.select("anchor", "part", "id", "bits", "chunk").mapInArrow(by_group(within), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 2) -> DataFrame:
@@ -265,9 +325,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Tables of the similarity search, and least hashes that make a table's key: sets of Jaccard similarity j share a key
 #: with probability 1 - (1 - j ** ROWS) ** TABLES, 0.998 at 0.8, whatever the edit.
 TABLES, ROWS = 12, 4
-#: Lanes of 64 bits of the fingerprint that decides, and bits of it that may differ at Jaccard similarity 0.8: the
-#: angle between such sets is acos(1.6 / 1.8), 0.1515 of the bits, and the slack passes 19 of 20 pairs at 0.8 itself.
-DECIDE, DIFFER = 32, 337
+#: Lanes of 64 bits of the fingerprint that chooses candidates, and bits of it that may differ: at Jaccard similarity 0.8
+#: the angle between the sets is acos(1.6 / 1.8), 0.1515 of the bits, 310 with a deviation of 16; three of these are allowed.
+DECIDE, DIFFER = 32, 360
+#: Shingles of one group of exact comparisons, and what a row weighs besides its own.
+SHINGLES, ROW = 4_000_000, 256
 
 
 def least(features: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -285,21 +347,21 @@ def least(features: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def signatures(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, decide, keys): a hash of the word sequence, the fingerprint of shingles, and a row of tables' keys.
+def signatures(texts: pa.Array, shingle: int = 5) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(sequence, decide, keys): 128 bits that name the word sequence, the fingerprint of shingles, and a row of tables' keys.
 
     Shingles are the set of all runs of ``shingle`` words (the whole sequence if there are fewer): a repeat counts once.
     A-Z count as a-z. No words: zeros.
     """
     data, offsets = X.buffer(texts)
+    raw = X.FOLD[data].tobytes()
+    sequence = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     starts, ends, first = X.words(data, offsets)
     docs, size = len(offsets) - 1, np.diff(first)
     h = X.hash_spans(data, starts, ends, True)
     doc = np.repeat(np.arange(docs), size)
     place = np.arange(len(h)) - first[doc]
     base = 0xD1342543DE82EF95
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * X.powers(base, int(size.max(initial=1)))[place], dtype=np.uint64)))
-    sequence = X.mix(prefix[first[1:]] - prefix[first[:-1]] + size.astype(np.uint64))
     run = np.minimum(shingle, size)[doc]
     runs = h.copy()
     for k in range(1, shingle):
@@ -315,30 +377,89 @@ def signatures(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarra
     return sequence, lanes(features, doc, docs, DECIDE), least(features, doc, docs)
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The set of a text's shingles as rising XXH64 of their bytes, words lower-cased (A-Z) and joined by a space."""
+    parts = X.FOLD[np.frombuffer((text or "").encode(), np.uint8)].tobytes().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    run = min(shingle, len(parts))
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(parts[i : i + run]), 42) for i in range(len(parts) - run + 1)}), np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def compared(rows: DataFrame, most: int = SHINGLES) -> DataFrame:
+    """rows(component long, node long, keys binary, text) -> links(a, b) between texts of a component that are similar.
+
+    Two texts that share the key of a table are compared by their whole sets of shingles, unless links join them
+    already. Components of more than ``most`` shingles are compared chunk by chunk, all pairs of chunks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.pieces(batches, "text", PIECE):
+            found = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            weight = pa.array([ROW + len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), batch.column("keys"), pa.array([x.tobytes() for x in found], pa.binary()), weight], names=["anchor", "id", "keys", "shingles", "weight"])
+
+    rows = cut(rows.select("component", "node", "keys", "text").mapInArrow(sets, "anchor long, id long, keys binary, shingles binary, weight long"))
+    rows = in_bounded_groups(rows, ["anchor"], "id", most, F.col("weight"))
+    rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
+
+    def within(rows: pa.RecordBatch) -> pa.RecordBatch:
+        g = Groups(rows)
+        data, _ = X.buffer(rows.column("keys"))
+        keys = data.view(np.uint64).reshape(len(g.ids), -1)
+        shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+        end = np.cumsum(g.size)[g.group]
+        here = np.flatnonzero(g.size[g.group] > 1)
+        for step in range(1, int(g.size.max(initial=0))):
+            here = here[here + step < end[here]]
+            if not len(here):
+                break
+            a = here[g.meet(here, here + step)]
+            a = a[(keys[a] == keys[a + step]).any(1)]
+            a = a[g.trees.find(g.item[a]) != g.trees.find(g.item[a + step])]
+            near = np.array([similar(shingles[i], shingles[i + step]) for i in a.tolist()], bool)
+            g.link(a[near], a[near] + step)
+        return g.links()
+
+    return rows.select("anchor", "part", "id", "keys", "shingles", "chunk").mapInArrow(by_group(within), "a long, b long")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = GROUP) -> DataFrame:
     """docs, all columns, with one document of each group of near-duplicates: the one of smallest doc_id.
 
-    Near-duplicates are linked texts and what links reach: equal word sequences (A-Z as a-z), and texts whose
-    fingerprints of 5-word shingles show a similarity of 0.8 or more. Candidates share the key of one of the tables,
-    each of a few least hashes of the set of shingles: 0.998 of pairs at 0.8 do, and more above, however the words that
-    differ lie. Each group of candidates gives a spanning forest, never its pairs.
+    Near-duplicates are linked texts and what links reach: equal word sequences (A-Z as a-z), and texts whose sets of
+    5-word shingles have a similarity of 0.8 or more; no other texts are linked. Candidates share the key of one of the
+    tables, each of a few least hashes of the set: 0.998 of pairs at 0.8 do, and more above, however the words that
+    differ lie. Their SimHash of 2048 bits, of the same set, says which of them may be similar; what these links join is
+    compared by whole sets, and only links that hold there count. Groups give spanning forests, never their pairs.
 
     Texts without words, nulls too, are one group. Repeated rows and rows of equal id and text count once. A null
     doc_id is the largest. An empty table gives no rows. Working columns begin with an underscore and two letters.
     """
-    keyed = docs.withColumn("_sk", F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    row = F.concat(F.length(name).cast("string"), F.col(doc_id).isNull().cast("string"), name, F.coalesce(F.concat(F.lit("="), F.col(text).cast("string")), F.lit("")))
+    keyed = docs.withColumn("_sk", F.md5(row))
     plain = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), "_sk")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.pieces(batches, "text", PIECE):
             sequence, decide, keys = signatures(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_sk"), pa.array(sequence.view(np.int64)), eights(decide), eights(keys)], names=["doc_id", "_sk", "id", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_sk"), pa.array(sequence, pa.binary()), eights(decide), eights(keys)], names=["doc_id", "_sk", "sequence", "bits", "keys"])
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    signed = cut(plain.mapInArrow(sign, f"doc_id {kind}, _sk string, id long, bits binary, keys binary"))
+    signed = cut(plain.mapInArrow(sign, f"doc_id {kind}, _sk string, sequence binary, bits binary, keys binary"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a sequence of words once, with its first document
-    first = cut(signed.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sk")).alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    first = signed.groupBy("sequence").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sk")).alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    first = cut(first.select("low", "bits", "keys", F.monotonically_increasing_id().alias("id")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -350,8 +471,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), took.column("id"), took.column("bits")], names=["anchor", "id", "bits"])
 
     spreaded = first.select("id", "bits", "keys").repartition(parts).mapInArrow(spread, "anchor long, id long, bits binary")
-    groups = components(cut(forest(spreaded, DIFFER, most)))
+    maybe = components(cut(forest(spreaded, DIFFER, most)))
+    asked = first.join(maybe, first.id == maybe.node).select("component", "node", "keys", F.col("low._sk").alias("_st"))
+    met = plain.join(cut(asked), plain["_sk"] == F.col("_st")).groupBy("_sk").agg(*(F.first(c).alias(c) for c in ("component", "node", "keys", "text")))
+    groups = components(cut(compared(met)))
     first = first.join(groups, first.id == groups.node, "left").withColumn("root", F.coalesce("component", "id"))
-    kept = first.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("_sd"), F.col("low._sk").alias("_st"))
-    out = keyed.join(kept, keyed[doc_id].eqNullSafe(kept["_sd"]) & (keyed["_sk"] == kept["_st"]), "left_semi")
-    return out.dropDuplicates([doc_id, "_sk"]).drop("_sk")
+    kept = first.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._sk").alias("_st"))
+    return keyed.join(kept, keyed["_sk"] == kept["_st"], "left_semi").dropDuplicates(["_sk"]).drop("_sk")
