@@ -35,6 +35,24 @@ def in_bounded_groups(rows: DataFrame, key: list[str], within: str, most: int, w
     return out.drop("of", "other")
 
 
+def dealt_join(rows: DataFrame, values: DataFrame, key: list[str], within: str | Column, common: DataFrame, most: int, how: str = "inner") -> DataFrame:
+    """rows joined to values, of which there is one per key; keys are never null.
+
+    common(key, rows) holds the keys of more than ``most`` rows, of which there are at most rows / most. Their rows are
+    dealt by the hash of ``within`` into parts of about that, and their value is copied to each part.
+    """
+    common = cut(common.select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("rows") / most).cast("int").alias("_of")))
+    count = common.count()
+    if not count:
+        return rows.join(values, key, how)
+    common = F.broadcast(common) if count <= BROADCAST else common
+    same = lambda df: [df[k] == F.col(f"_{k}") for k in key]
+    marked = lambda df: df.join(common, same(df), "left").drop(*(f"_{k}" for k in key))
+    left = marked(rows.withColumn("_w", F.xxhash64(within))).withColumn("_part", F.coalesce(F.pmod("_w", F.col("_of")), F.lit(0)).cast("int")).drop("_of", "_w")
+    right = marked(values).withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_of"), F.lit(1)) - 1))).drop("_of")
+    return left.join(right, [*key, "_part"], how).drop("_part")
+
+
 class Forest:
     """Union of numbered items, many links at a time; memory follows the items, not the links."""
 
