@@ -9,7 +9,7 @@ import pytest
 from tidebook.plans import oracles, queries
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["level3_chain", "depth_changes", "depth_multi_era", "book_flags", "spread", "depth_summary_pivot", "queues_absolute", "trading_period_volume", "events_classified", "match_exact_fill", "crossed_books", "missing_fill_backprop", "lead_lag_corr"]
+NAMES = ["level3_chain", "depth_changes", "depth_multi_era", "book_flags", "spread", "depth_summary_pivot", "queues_absolute", "trading_period_volume", "events_classified", "match_exact_fill", "crossed_books", "missing_fill_backprop", "lead_lag_corr", "chain_id", "match_sum_of_fill", "trades"]
 
 
 def value(v):
@@ -34,17 +34,3 @@ def test_query_equals_its_sql(spark, name):
 def test_every_oracle_has_its_query():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
     assert set(queries.QUERIES) - set(oracles.ORACLES) == {"trading_strategy", "epsilon_drawupdowns", "infer_trades", "top_spikes", "position_trellis"}
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-def test_chain_ids_number_the_whole_table(spark):
-    """The SQL stops at 1995-03-01; numbers go by first appearance, so up to there the whole table's are the same."""
-    got = queries.QUERIES["chain_id"](spark, FOLDER).toPandas()
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{FOLDER}/lineitem.parquet'")
-    cut = " WHERE ts < TIMESTAMP '1995-03-01'"
-    sql = oracles.ORACLES["chain_id"]
-    rows = lambda df: sorted(tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False))
-    assert rows(got) == rows(c.sql(sql.replace(cut, "")).df())
-    early, stops = c.sql(sql).df(), pd.Timestamp("1995-03-01").value // 1000
-    assert 0 < len(early) < len(got) and rows(got[got.ts_us < stops]) == rows(early)

@@ -90,7 +90,7 @@ def test_interval_cache_computes_gaps_only(spark, tmp_path):
 
 def test_engine(spark):
     rows = raw(spark, [(0, 1, "b", 99, 5), (0, 2, "s", 101, 4), (60, 1, "b", 99, 3), (120, 3, "b", 100, 1)])
-    trades = spark.createDataFrame([("x", "AB", at(60), 99.0, 2.0, "s", 7, 1, 50)], "exchange string, pair string, ts timestamp, price double, amount double, side string, taker long, maker long, exchange_trade_id long")
+    trades = spark.createDataFrame([("x", "AB", at(60), 99.0, 2.0, "s", 1, 2, 7, 1, 50)], "exchange string, pair string, ts timestamp, price double, amount double, side string, buy_order_id long, buy_event_no int, sell_order_id long, sell_event_no int, exchange_trade_id long")
     e = Engine(chains.build(rows), trades)
     span = ("X", "ab", "2024-01-01 00:00:00", "2024-01-01 00:10:00")
     assert e.depth(*span).count() == 4 and e.depth(*span, 300).count() == 4
@@ -99,12 +99,14 @@ def test_engine(spark):
     assert e.queues(*span, tick=1.0).columns[-6:] == ["b1", "b2", "b3", "a1", "a2", "a3"]
     bids, asks = e.order_book("x", "AB", "2024-01-01 00:05:00")
     assert bids.count() == 2 and asks.count() == 1
-    assert e.trades(*span).first().direction == "sell" and e.events(*span).count() == 4 and e.export(*span).count() == 4
+    trade = e.trades(*span).first()
+    assert (trade.direction, trade.maker, trade.taker) == ("sell", 1, 7) and e.events(*span).count() == 4 and e.export(*span).count() == 4
+    met = [r for r in e.events(*span).collect() if r.event_id]
+    assert [(r.id, r.event_no, r.event_id, r.matching_event) for r in met] == [(1, 2, trade.maker_event_id, trade.taker_event_id)]
     assert e.available_exchanges().first().exchange == "x" and e.available_pairs("x").first().pair == "AB"
     assert e.intervals("x", "AB").first().status == "G" and e.data_overview().count() == 1
     assert e.depth_changes(levels(spark, [(0, "bid", 1, 2), (1, "bid", 1, 1)])).where("delta = -1").first().chain_id == 2
-    when = spark.createDataFrame([("x", "AB", at(300))], "exchange string, pair string, at timestamp")
-    assert e.depth_summary("x", "AB", when).first().bid_vol0bps == 1
+    assert [r.bid_vol0bps for r in e.depth_summary(*span).orderBy("ts").collect()][-2:] == [3, 1]
     for bad in (0, 3601, 5000):
         with pytest.raises(ValueError):
             check_frequency(bad)
@@ -138,6 +140,42 @@ def test_streamed_kernel_equals_batch(spark, tmp_path):
     assert len(got) >= len(expected) - 1 and got[: len(expected) - 1] == expected[:-1]
 
 
+def test_stream_state_ends_and_late_rows_are_kept(spark, tmp_path):
+    """Rows behind those that have gone are dead letters; a key without rows ends, and begins anew."""
+    frame = lambda rows: spark.createDataFrame([(k, at(t), v) for k, t, v in rows], "k string, ts timestamp, v int")
+    parts = [frame([("a", 0, 1), ("a", 3, 2), ("b", 4, 9)]), frame([("b", 40, 10)]), frame([("a", 2, 7), ("b", 41, 11)]), frame([("b", 500, 12)]), frame([("b", 501, 13)]), frame([("a", 520, 3)]), frame([("b", 900, 14)]), frame([("b", 901, 15)])]
+    query = lambda s: fold.stream_fold(s, ["k"], "ts", [], ["v"], Counting, "n long, v int", "5 seconds", grace_seconds=60, idle_seconds=100)
+    got = run_stream(spark, tmp_path, parts, query).collect()
+    a = [(r.late_us is not None, r.n, r.v) for r in got if r.k == "a"]
+    assert (True, None, None) in a and (False, 1, 1) in a and (False, 2, 2) in a
+    assert (False, -2, None) in a and (False, 1, 3) in a  # its end, and a new beginning
+
+
+def test_stream_sink_appends_once(spark, tmp_path):
+    rows = levels(spark, [(0, "bid", 1, 1), (90_000, "bid", 2, 1)])
+    rows.write.parquet(str(tmp_path / "in"))
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        store.write_stream(stream, path, checkpoint).awaitTermination()
+    got = store.scan(spark, path, "x", "AB", instant(80_000), instant(100_000))
+    assert [float(r.price) for r in got.collect()] == [2.0] and store.scan(spark, path).count() == 2
+
+
+class Counting:
+    """Numbers the rows; says how many there were at the end, below zero."""
+
+    def __init__(self):
+        self.n = 0
+
+    def feed(self, row):
+        self.n += 1
+        return [(self.n, row[0])]
+
+    def end(self):
+        return [(-self.n, None)]
+
+
 def test_kernels_of_streams():
     a = fold.Assembly()
     rows = [(1, 10, 100, 2), (1, 11, 101, -1), (2, 10, 0, 1), (3, 12, 99, 1), (2, 12, 0, 1), (5, 13, 98, 1)]

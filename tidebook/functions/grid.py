@@ -45,6 +45,16 @@ def truncate(x: Column, digits: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale) / scale
 
 
+def shown_price(price: Column) -> Column:
+    """A price as the kernels show it: five decimals."""
+    return F.round(price, 5)
+
+
+def shown_volume(volume: Column) -> Column:
+    """A volume as the kernels show it: eight decimals."""
+    return F.round(volume, 8)
+
+
 def since_2000(ts: Column) -> Column:
     """Microseconds since 2000-01-01 UTC."""
     return F.unix_micros(ts) - F.lit(946_684_800_000_000)
@@ -64,8 +74,8 @@ def direction_label(side: Column) -> Column:
 
 
 def event_id(ts: Column, order_id: Column, event_no: Column, exchange: Column, pair: Column) -> Column:
-    """A UUID-shaped MD5 of the event's key; the time is written as microseconds, so no time zone matters."""
-    digest = F.md5(F.concat_ws("#", F.unix_micros(ts).cast("string"), order_id.cast("string"), event_no.cast("string"), exchange, pair))
+    """A UUID-shaped MD5 of the event's key, null if part of it is; the time is written as microseconds, so no time zone matters."""
+    digest = F.md5(F.concat(F.unix_micros(ts).cast("string"), F.lit("#"), order_id.cast("string"), F.lit("#"), event_no.cast("string"), F.lit("#"), exchange, F.lit("#"), pair))
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.grid import AMOUNT
+from tidebook.functions.grid import AMOUNT, PRICE, tick_ceil, tick_floor
+from tidebook.operators.depth import era_at, standing
 
 BOOK = ("exchange", "pair", "era")
 
 
-def snapshot(level3: DataFrame, ts: Column, before: bool = False) -> DataFrame:
+def snapshot(level3: DataFrame, ts: Column, before: bool = False, eras: DataFrame | None = None) -> DataFrame:
     """The events that stand in the book at ts (``before``: just before it), of the era that holds ts."""
-    now = (F.col("ts") < ts) if before else (F.col("ts") <= ts)
-    later = (F.col("next_ts") >= ts) if before else (F.col("next_ts") > ts)
-    live = level3.where(now & (F.col("next_ts").isNull() | later) & (F.col("status") != "deleted"))
-    era = level3.where(F.col("era") <= ts).groupBy("exchange", "pair").agg(F.max("era").alias("_era"))
-    return live.join(era, ["exchange", "pair"]).where("era = _era").drop("_era")
+    return standing(level3, ts, before).join(era_at(level3 if eras is None else eras, ts), ["exchange", "pair", "era"])
 
 
 def with_flags(book: DataFrame, strict: bool = False) -> DataFrame:
@@ -73,7 +70,5 @@ def check_takers(book: DataFrame) -> DataFrame:
 
 def tick_volume(levels: DataFrame, tick) -> DataFrame:
     """Volume per tick bucket: bids in [p, p + tick), asks in (p - tick, p]."""
-    from tidebook.functions.grid import PRICE, tick_ceil, tick_floor
-
     bucket = F.when(F.col("side") == "bid", tick_floor(F.col("price"), tick)).otherwise(tick_ceil(F.col("price"), tick)).cast(PRICE)
     return levels.groupBy("exchange", "pair", "side", bucket.alias("price")).agg(F.sum("volume").cast(AMOUNT).alias("volume"))

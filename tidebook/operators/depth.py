@@ -31,30 +31,66 @@ def changes(level3: DataFrame, frequency: float | None = None) -> DataFrame:
     return net.select(*LEVEL, "ts", F.sum("net").over(w).cast(AMOUNT).alias("volume"))
 
 
-def at(level3: DataFrame, ts: Column, before: bool = False) -> DataFrame:
-    """The levels with volume at an instant (``before``: just before it), summed over the orders that are in the book."""
+def era_at(eras: DataFrame, ts: Column) -> DataFrame:
+    """exchange, pair, era of the newest era that doesn't begin after ts; eras has a row per era, or many."""
+    return eras.where(F.col("era") <= ts).groupBy("exchange", "pair").agg(F.max("era").alias("era"))
+
+
+def standing(level3: DataFrame, ts: Column, before: bool = False) -> DataFrame:
+    """The events that are in the book at an instant (``before``: just before it), of any era."""
     now = (F.col("ts") < ts) if before else (F.col("ts") <= ts)
     later = (F.col("next_ts") >= ts) if before else (F.col("next_ts") > ts)
-    live = level3.where(now & (F.col("next_ts").isNull() | later) & (F.col("status") != "deleted"))
-    newest = live.groupBy("exchange", "pair").agg(F.max("era").alias("_era"))
-    live = live.join(newest, ["exchange", "pair"]).where("era = _era").drop("_era")
+    return level3.where(now & (F.col("next_ts").isNull() | later) & (F.col("status") != "deleted"))
+
+
+def at(level3: DataFrame, ts: Column, before: bool = False, eras: DataFrame | None = None) -> DataFrame:
+    """The levels with volume at an instant (``before``: just before it), summed over the orders that are in the book.
+
+    The book is that of the newest era that began by then, empty or not; ``eras``(exchange, pair, era) spares a look at
+    all events for it.
+    """
+    live = standing(level3, ts, before).join(era_at(level3 if eras is None else eras, ts), ["exchange", "pair", "era"])
     return live.groupBy(*LEVEL).agg(F.sum("amount").cast(AMOUNT).alias("volume")).where("volume > 0")
 
 
-def depth(level3: DataFrame, start: Column, end: Column, frequency: float | None = None, starting: bool = True, moving: bool = True) -> DataFrame:
+def between(level3: DataFrame, start: Column, end: Column, frequency: float | None = None, eras: DataFrame | None = None) -> DataFrame:
+    """continuous() of [start, end) alone (sampled: of the cells from start's up to the one that end falls in).
+
+    Levels begin with their volume just before the range, and the range's events change them: nothing but the book at
+    the start and the events of the range is read or summed, and the filters on ts reach the scan.
+    """
+    start, stop = floor_to(start, frequency), ceil_to(end, frequency)
+    eras = (level3 if eras is None else eras).select("exchange", "pair", "era").distinct()
+    # an event counts in the first cell that isn't before it
+    back = F.expr(f"interval {round(frequency * 1e6)} microseconds") if frequency else None
+    first = (F.col("ts") > start - back) if frequency else (F.col("ts") >= start)
+    last = (F.col("ts") <= stop) if frequency else (F.col("ts") < stop)
+    opening = standing(level3, start - back if frequency else start, not frequency)
+    # no era that ended before the range plays a part
+    newest = era_at(eras, start - back if frequency else start).withColumnRenamed("era", "_from")
+    opening = opening.join(newest, ["exchange", "pair"]).where("era = _from").groupBy(*LEVEL).agg(F.sum("amount").cast(AMOUNT).alias("net")).where("net > 0")
+    inside = deltas(level3.where(first & last)).withColumn("ts", ceil_to(F.col("ts"), frequency))
+    net = inside.groupBy(*LEVEL, "ts").agg(F.sum("delta").cast(AMOUNT).alias("net")).where("net <> 0")
+    rows = net.unionByName(opening.withColumn("ts", F.lit(None).cast("timestamp")))
+    w = Window.partitionBy(*LEVEL).orderBy(F.col("ts").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*LEVEL, "ts", F.sum("net").over(w).cast(AMOUNT).alias("volume"))
+    at_end = (F.col("ts") <= stop) if frequency else (F.col("ts") < stop)
+    closed = closings(rows, eras).where((F.col("ts") >= start) & at_end)
+    return rows.where("ts is not null").unionByName(closed)
+
+
+def depth(level3: DataFrame, start: Column, end: Column, frequency: float | None = None, starting: bool = True, moving: bool = True, eras: DataFrame | None = None) -> DataFrame:
     """ts, side (bid or ask), price, volume of [start, end): the starting levels at the first instant, then changes.
 
     Sampled, both ends go outwards to the grid and the last cell is closed. Where an era begins, the levels of the one
     before end 1 microsecond earlier.
     """
-    start, stop = floor_to(start, frequency), ceil_to(end, frequency)
-    every = continuous(level3, frequency)
+    begin = floor_to(start, frequency)
     parts = []
     if starting:
-        parts.append(at(level3, start, before=True).select(start.alias("ts"), side_label(F.col("side")).alias("side"), "price", "volume", "exchange", "pair"))
+        parts.append(at(level3, begin, True, eras).select(begin.alias("ts"), side_label(F.col("side")).alias("side"), "price", "volume", "exchange", "pair"))
     if moving:
-        within = (F.col("ts") >= start) & ((F.col("ts") <= stop) if frequency else (F.col("ts") < stop))
-        parts.append(every.where(within).select("ts", side_label(F.col("side")).alias("side"), "price", "volume", "exchange", "pair"))
+        parts.append(between(level3, start, end, frequency, eras).select("ts", side_label(F.col("side")).alias("side"), "price", "volume", "exchange", "pair"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.where("price is not null")
 
@@ -62,11 +98,15 @@ def depth(level3: DataFrame, start: Column, end: Column, frequency: float | None
 def continuous(level3: DataFrame, frequency: float | None = None) -> DataFrame:
     """changes() plus, 1 microsecond before each later era, a zero for every level the era before leaves."""
     rows = changes(level3, frequency)
+    return rows.unionByName(closings(rows, level3.select("exchange", "pair", "era").distinct()))
+
+
+def closings(rows: DataFrame, eras: DataFrame) -> DataFrame:
+    """Level changes to zero, 1 microsecond before the next era, of the levels that an era leaves with volume."""
     w = Window.partitionBy("exchange", "pair").orderBy("era")
-    begins = level3.select("exchange", "pair", "era").distinct().withColumn("next_era", F.lead("era").over(w)).where("next_era is not null")
-    left = rows.groupBy(*LEVEL).agg(F.max_by("volume", "ts").alias("volume")).where("volume > 0").drop("volume")
-    closing = left.join(begins, ["exchange", "pair", "era"]).select(*LEVEL, (F.col("next_era") - F.expr("interval 1 microsecond")).alias("ts"), F.lit(0).cast(AMOUNT).alias("volume"))
-    return rows.unionByName(closing)
+    begins = eras.withColumn("next_era", F.lead("era").over(w)).where("next_era is not null")
+    left = rows.groupBy(*LEVEL).agg(F.max_by("volume", F.struct(F.col("ts").isNotNull(), "ts")).alias("volume")).where("volume > 0").drop("volume")
+    return left.join(begins, ["exchange", "pair", "era"]).select(*LEVEL, (F.col("next_era") - F.expr("interval 1 microsecond")).alias("ts"), F.lit(0).cast(AMOUNT).alias("volume"))
 
 
 def periods(eras: DataFrame, start: Column, end: Column, frequency: float | None = None) -> DataFrame:
@@ -163,6 +203,48 @@ def summary(levels: DataFrame, step: int = 25, most: int = 500, scale: int = 2)
     return rows.groupBy("exchange", "pair", "ts", "side", "bps_level", F.col("band_price").alias("price")).agg(F.sum("volume").cast(AMOUNT).alias("volume"))
 
 
+def summary_by_episode(rows: DataFrame, step: int = 25, most: int = 500, scale: int = 2) -> DataFrame:
+    """summary() of the whole book after every episode of level changes (exchange, pair, side, price, ts, volume)."""
+    instants = rows.select("exchange", "pair", F.col("ts").alias("at")).distinct()
+    return summary(books_at(rows, instants), step, most, scale)
+
+
+def last_per_instant(rows: DataFrame, micros: int = 10) -> DataFrame:
+    """Of the rows of instants that agree to ``micros`` microseconds, those of the last instant."""
+    w = Window.partitionBy("exchange", "pair", F.floor(F.unix_micros("ts") / F.lit(micros))).orderBy(F.col("ts").desc())
+    return rows.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+
+
+def spread_of(levels: DataFrame, *key: str) -> DataFrame:
+    """key, best_bid_price, best_bid_volume, best_ask_price, best_ask_volume of books of levels (side bid or ask, price, volume).
+
+    A side without levels is null; one without volume isn't a level.
+    """
+    side = lambda s, c: F.when((F.col("side") == s) & (F.col("volume") > 0), F.col(c))
+    best = {"bid": (F.max, F.max_by), "ask": (F.min, F.min_by)}
+    out = [x for s, (price, volume) in best.items() for x in (price(side(s, "price")).alias(f"best_{s}_price"), volume(side(s, "volume"), side(s, "price")).alias(f"best_{s}_volume"))]
+    return levels.groupBy(*key).agg(*out)
+
+
+def spread_of_orders(book: DataFrame, *key: str) -> DataFrame:
+    """spread_of() a book of orders (side b or s, price, amount)."""
+    levels = book.groupBy(*key, side_label(F.col("side")).alias("side"), "price").agg(F.sum("amount").cast(AMOUNT).alias("volume"))
+    return spread_of(levels, *key)
+
+
+def starting_spread(level3: DataFrame, start: Column, frequency: float | None = None, eras: DataFrame | None = None) -> DataFrame:
+    """exchange, pair, ts and the spread of the book just before ``start``, which goes down to the grid."""
+    start = floor_to(start, frequency)
+    levels = at(level3, start, True, eras).withColumn("side", side_label(F.col("side")))
+    return spread_of(levels, "exchange", "pair").withColumn("ts", start)
+
+
+def in_window(rows: DataFrame, prices: tuple = (None, None), volumes: tuple = (None, None)) -> DataFrame:
+    """Level changes with price and volume inside closed bounds (None: open); changes to nothing stay, whatever the volume bounds."""
+    within = lambda c, low, high: F.lit(True) & (F.lit(True) if low is None else F.col(c) >= low) & (F.lit(True) if high is None else F.col(c) <= high)
+    return rows.where(within("price", *prices) & (within("volume", *volumes) | (F.col("volume") == 0)))
+
+
 def summary_pivot(bands: DataFrame, step: int = 25, most: int = 500) -> DataFrame:
     """One row per ts: best prices and volumes, and bid_volNbps and ask_volNbps for each band, 0 where there is none."""
     labels = [f"{side}_vol{k}bps" for side in ("bid", "ask") for k in range(0, most + 1, step)]

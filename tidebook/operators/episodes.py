@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.grid import AMOUNT, side_label
 from tidebook.operators.book import with_flags
+from tidebook.operators.depth import spread_of_orders
 
 
 def books(level3: DataFrame, instants: DataFrame) -> DataFrame:
@@ -44,3 +45,23 @@ def maker_depth(level3: DataFrame, instants: DataFrame, strict: bool = True) ->
     rows = books(level3, instants)
     flagged = with_flags(rows.withColumn("era", F.col("at")), strict).where("is_maker")
     return flagged.groupBy("exchange", "pair", F.col("at").alias("ts"), side_label(F.col("side")).alias("side"), "price").agg(F.sum("amount").cast(AMOUNT).alias("volume"))
+
+
+def spread_by_episode(level3: DataFrame, instants: DataFrame | None = None, only_different: bool = True, with_order_book: bool = False) -> DataFrame:
+    """exchange, pair, era, ts and the spread of the book of orders after each episode; ``with_order_book`` adds the book.
+
+    ``only_different`` leaves out episodes whose spread is that of the episode before them in their era.
+    """
+    key = ["exchange", "pair", "era", "at"]
+    instants = episodes(level3) if instants is None else instants
+    rows = instants.join(spread_of_orders(books(level3, instants), *key), key, "left")
+    names = [f"best_{s}_{c}" for s in ("bid", "ask") for c in ("price", "volume")]
+    if only_different:
+        w = Window.partitionBy("exchange", "pair", "era").orderBy("at")
+        now = F.struct(*names)
+        rows = rows.withColumn("_first", F.row_number().over(w) == 1).withColumn("_same", now.eqNullSafe(F.lag(now).over(w)))
+        rows = rows.where("_first or not _same").drop("_first", "_same")
+    rows = rows.withColumnRenamed("at", "ts")
+    if with_order_book:
+        rows = rows.join(order_book_by_episode(level3, instants).withColumnRenamed("orders", "order_book"), ["exchange", "pair", "era", "ts"], "left")
+    return rows

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.grid import match_rule
+from tidebook.functions.grid import PRICE, match_rule, truncate
+from tidebook.operators.ranks import numbered
 
 VENUE = ["exchange", "pair"]
 
@@ -16,14 +19,16 @@ def remaining_fill(events: DataFrame, matched: DataFrame) -> DataFrame:
     return events.join(used, "event", "left").withColumn("left", F.col("fill") - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
-def exact(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0) -> DataFrame:
+def exact(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0, digits: int | None = None) -> DataFrame:
     """trade, event of trades and makers' events that name each other first.
 
     trades(exchange, pair, trade, ts, price, amount, side of the taker), events(exchange, pair, event, ts, price, fill,
     side). A candidate has the price and amount, the other side, and comes up to the delay after its trade. Pairs whose
     event is the trade's earliest and whose trade is the event's earliest are matched. A trade meets events of its own
-    second and the next ones only.
+    second and the next ones only. ``digits`` compares prices cut to so many decimals.
     """
+    if digits is not None:
+        trades, events = (x.withColumn("price", truncate(F.col("price"), digits).cast(PRICE)) for x in (trades, events))
     step = max(1, round(delay_seconds * 1_000_000))
     cell = F.floor(F.unix_micros("ts") / F.lit(step)).cast("long")
     t = trades.select(*VENUE, "trade", F.col("ts").alias("t_ts"), "price", F.col("amount").alias("fill"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"), F.explode(F.array(cell, cell + 1)).alias("cell"))
@@ -35,18 +40,19 @@ def exact(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0) -> D
     return both.where("r = 1 and q = 1").select("trade", "event")
 
 
-def exact_all(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0, passes: int = 10) -> DataFrame:
-    """exact() again and again on what is left, until a pass finds nothing."""
+def exact_all(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0, digits: int | None = None) -> DataFrame:
+    """exact() again and again on what is left, until a pass finds nothing; each pass matches the earliest of every queue."""
     from tidebook.plans.session import cut
 
-    found = None
-    for _ in range(passes):
-        new = cut(exact(trades, events, delay_seconds))
+    found: list[DataFrame] = []
+    while True:
+        new = cut(exact(trades, events, delay_seconds, digits))
         if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        trades, events = trades.join(new, "trade", "left_anti"), events.join(new, "event", "left_anti")
-    return found if found is not None else exact(trades, events, delay_seconds)
+            return reduce(DataFrame.unionByName, found, new)
+        found.append(new)
+        if len(found) % 8 == 0:  # a long queue takes many passes: plans stay short
+            found = [cut(reduce(DataFrame.unionByName, found))]
+        trades, events = cut(trades.join(new, "trade", "left_anti")), cut(events.join(new, "event", "left_anti"))
 
 
 def sums(trades: DataFrame, gap_seconds: float = 1.0, most: int = 10) -> DataFrame:
@@ -97,15 +103,44 @@ def by_sum(trades: DataFrame, events: DataFrame, delay_seconds: float = 1.0, gap
     return kept.select("event", "members")
 
 
+def by_price(trades: DataFrame, events: DataFrame, digits: int, delay_seconds: float = 1.0) -> DataFrame:
+    """event, trades (array): exact matches, then sums, each with prices of ``digits`` decimals, then of one and two fewer.
+
+    Each step works on the trades and events that the ones before it leave, until it finds no more.
+    """
+    from tidebook.plans.session import cut
+
+    found = []
+
+    def take(new: DataFrame) -> None:
+        nonlocal trades, events
+        found.append(new)
+        used = new.select(F.explode("trades").alias("trade"))
+        trades, events = cut(trades.join(used, "trade", "left_anti")), cut(events.join(new, "event", "left_anti"))
+
+    precisions = range(digits, max(digits - 3, -1), -1)
+    for k in precisions:
+        take(cut(exact_all(trades, events, delay_seconds, k).select("event", F.array("trade").alias("trades"))))
+    for k in precisions:
+        while True:
+            cut_off = lambda x: x.withColumn("price", truncate(F.col("price"), k).cast(PRICE))  # noqa: B023, E731
+            new = cut(by_sum(cut_off(trades), cut_off(events), delay_seconds).select("event", F.col("members").alias("trades")))
+            if new.isEmpty():
+                break
+            take(new)
+    return reduce(DataFrame.unionByName, found)
+
+
 def sequential(trades: DataFrame, events: DataFrame, tolerance: float = 1e-4, offset: int = 1) -> DataFrame:
     """trade, buy_event, sell_event, rules: an event and its offset-th successor that stand for a trade's two orders.
 
     trades(exchange, pair, trade, price, amount, buy_order_id, sell_order_id), events(exchange, pair, event, ts, order_id,
-    amount, fill, action). The two ways round are two equi-joins. An event serves its first trade only.
+    amount, fill, action). Successors follow from the events' numbers in order, so no day or partition cuts them off.
+    The two ways round are two equi-joins. An event serves its first trade only.
     """
-    w = Window.partitionBy(*VENUE, F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))).orderBy("ts", "event")
-    e = events.withColumn("me", F.struct("event", "order_id", "amount", "fill", "action"))
-    e = e.withColumn("it", F.lead("me", offset).over(w)).where("it is not null").select(*VENUE, "ts", "me", "it")
+    e = numbered(events.select(*VENUE, "ts", F.struct("event", "order_id", "amount", "fill", "action").alias("me")), "_n", *VENUE, "ts", F.col("me.event"))
+    then = e.select(*VENUE, (F.col("_n") - offset).alias("_n"), F.col("me").alias("it"))
+    e = e.join(then, [*VENUE, "_n"]).select(*VENUE, "ts", "me", "it")
     pairs = e.select(*VENUE, "ts", F.col("me").alias("b"), F.col("it").alias("s")).unionByName(e.select(*VENUE, "ts", F.col("it").alias("b"), F.col("me").alias("s")))
     pairs = pairs.withColumn("buy_order_id", F.col("b.order_id")).withColumn("sell_order_id", F.col("s.order_id"))
     rule = lambda x: match_rule(F.col("t_amount"), F.col("price"), F.col(f"{x}.amount"), F.col(f"{x}.fill"), F.col(f"{x}.action"), tolerance)

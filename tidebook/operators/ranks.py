@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.plans.session import cut
 
 
-def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """rows with ``name``: 1, 2, 3, ... in the given order.
 
     Rows are dealt to ranges and sorted there; a row's number is its place in its range and the sizes of the ranges

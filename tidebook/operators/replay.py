@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tidebook.functions import grid as G
+from tidebook.operators import depth
 from tidebook.operators import kernels as K
 
 UNIT = K.UNIT
@@ -87,6 +89,30 @@ def spread(rows: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     return out.select("exchange", "pair", F.timestamp_micros("us").alias("ts"), *map(_unscale, names))
 
 
+def changes_from(level3: DataFrame, start: Column, end: Column, frequency: float | None = None, eras: DataFrame | None = None) -> DataFrame:
+    """Level changes of a range (side bid or ask) behind the levels that stand at its start, put 1 microsecond before it.
+
+    What a view of the book says over these rows from ``start`` on is what it says over all history, and only the book
+    at the start and the events of the range are read.
+    """
+    begin = G.floor_to(start, frequency)
+    # sampled, the range's first cell holds the events before its instant, and changes begin a cell earlier
+    standing = depth.at(level3, begin - F.expr(f"interval {round(frequency * 1e6)} microseconds"), False, eras) if frequency else depth.at(level3, begin, True, eras)
+    opening = standing.drop("era").withColumn("ts", begin - F.expr("interval 1 microsecond"))
+    rows = depth.between(level3, start, end, frequency, eras).drop("era").unionByName(opening)
+    return rows.withColumn("side", G.side_label(F.col("side")))
+
+
+def within(view: Callable[[DataFrame], DataFrame], level3: DataFrame, start: Column, end: Column, frequency: float | None = None, eras: DataFrame | None = None) -> DataFrame:
+    """What a view says in a range of level-3 events, such as ``spread`` or a trading period; it sees no other events."""
+    return view(changes_from(level3, start, end, frequency, eras)).where(F.col("ts") >= G.floor_to(start, frequency))
+
+
+def spread_between(level3: DataFrame, start: Column, end: Column, frequency: float | None = None, eras: DataFrame | None = None) -> DataFrame:
+    """spread() of [start, end)."""
+    return within(spread, level3, start, end, frequency, eras)
+
+
 def trading_period(rows: DataFrame, volume: float = 0, tolerance: float = 1e-5, chunk_seconds: int = 86_400) -> DataFrame:
     """exchange, pair, ts, bid_price, ask_price: the effective prices to sell and buy ``volume``."""
     out = over_books(rows, lambda: K.TradingPeriod(volume, tolerance), "us long, bid_price double, ask_price double", chunk_seconds)

@@ -141,21 +141,45 @@ QUEUE = f"""WITH {chain()}, {levels(86400)}, tick AS (SELECT DISTINCT ts AS t FR
 )
 SELECT epoch_us(t) AS ts_us, """ + ", ".join(f"coalesce(sum(volume) FILTER (side = '{s}' AND i = {i}), 0)::DOUBLE AS {c}{i}" for s, c in (("b", "b"), ("s", "a")) for i in range(1, 5)) + " FROM x GROUP BY t"
 
-CLASSIFY = f"""WITH {chain(crossed=True)}, {levels()}, {BEST}, now AS (
-  SELECT *, false AS initial FROM l3 WHERE ts > {START} AND ts <= {END}
-  UNION ALL SELECT *, true FROM l3 WHERE NOT deleted AND ts <= {START} AND (next_ts IS NULL OR next_ts > {START})
-), n AS (
-  SELECT now.*, q.bp, q.ap FROM now ASOF LEFT JOIN spread q ON now.ts > q.ts WHERE NOT (amount = 0 AND event_no = 1 AND NOT deleted)
-), g AS (
-  SELECT *, coalesce((CASE WHEN side = 'b' THEN price >= ap ELSE price <= bp END) AND event_no = price_event_no AND NOT deleted, false) AS aggressor FROM n
-), k AS (
-  SELECT *, min(price) OVER w <> max(price) OVER w AS moved, coalesce(bool_or(aggressor) OVER w, false) AS ag, coalesce(bool_or(NOT aggressor AND NOT deleted) OVER w, false) AS rested,
-    coalesce(bool_or(fill > 0) OVER w, false) AS filled, coalesce(bool_or(deleted) OVER w, false) AS gone FROM g WINDOW w AS (PARTITION BY order_id, segment)
+def uuid(order: str, event: str) -> str:
+    """The event's id: an MD5 of its key, with the hyphens of a UUID."""
+    return f"regexp_replace(md5(epoch_us(ts)::VARCHAR || '#' || {order}::VARCHAR || '#' || {event}::VARCHAR || '#venue0#AB'), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+def met() -> str:
+    """CTEs after PAIR. mt: trades by buyer and seller."""
+    return """mt AS (
+  SELECT tr.ts, price, amount, taker_side AS side, tr.event_id AS trade_id, CASE WHEN taker_side = 'b' THEN taker ELSE maker END AS buy_order_id, CASE WHEN taker_side = 'b' THEN maker ELSE taker END AS sell_order_id,
+    CASE WHEN taker_side = 'b' THEN n.event_no WHEN maker IS NOT NULL THEN 1 END AS buy_event_no, CASE WHEN taker_side = 's' THEN n.event_no WHEN maker IS NOT NULL THEN 1 END AS sell_event_no
+  FROM trade tr LEFT JOIN (SELECT seq, event_no FROM l3) n ON n.seq = tr.event_id
+)"""
+
+
+CLASSIFY = f"""WITH {chain(crossed=True)}, {levels()}, {BEST}, {PAIR}, {met()}, rg AS (
+  SELECT * FROM spread WHERE ts >= {START} AND ts <= {END}
+), sb AS (
+  SELECT lead(ts) OVER (ORDER BY ts) AS ts, bp, ap FROM rg
+), ev AS (
+  SELECT *, deleted AS gone FROM l3 WHERE ts > {START} AND ts <= {END} AND NOT (amount = 0 AND event_no = 1 AND NOT deleted)
+  UNION ALL SELECT *, false FROM l3 WHERE NOT deleted AND ts <= {START} AND (next_ts IS NULL OR next_ts > {START})
+), ba AS (
+  SELECT ev.*, q.bp, q.ap, coalesce(CASE WHEN side = 's' THEN price <= q.bp ELSE price >= q.ap END, false) AS is_aggressor FROM ev ASOF LEFT JOIN (SELECT * FROM sb WHERE ts IS NOT NULL) q ON ev.ts >= q.ts
+), fl AS (
+  SELECT *, max(price) OVER o <> min(price) OVER o AS is_price_ever_changed, bool_or(NOT is_aggressor) OVER o AS is_ever_resting, bool_or(is_aggressor) OVER o AS is_ever_aggressor,
+    bool_or(coalesce(fill, 0) > 0) OVER o AS is_ever_filled, bool_or(gone) OVER o AS is_deleted, bool_or(event_no = 1 AND NOT gone) OVER o AS is_created FROM ba WINDOW o AS (PARTITION BY order_id)
+), cn AS (
+  SELECT ts, buy_event_no AS event_no, buy_order_id AS order_id, {uuid("sell_order_id", "sell_event_no")} AS met FROM mt WHERE ts >= {START} AND ts <= {END}
+  UNION ALL SELECT ts, sell_event_no, sell_order_id, {uuid("buy_order_id", "buy_event_no")} FROM mt WHERE ts >= {START} AND ts <= {END}
 )
-SELECT order_id AS id, epoch_us(ts) AS timestamp_us, event_no, price::DOUBLE AS price, amount::DOUBLE AS volume, CASE WHEN deleted THEN 'deleted' WHEN event_no = 1 THEN 'created' ELSE 'changed' END AS action,
-  {side()} AS direction, fill::DOUBLE AS fill, CASE WHEN moved THEN 'pacman' WHEN NOT ag AND rested AND NOT filled AND gone THEN 'flashed-limit' WHEN NOT ag AND rested AND filled THEN 'resting-limit'
-    WHEN ag AND NOT rested AND gone AND filled THEN 'market' WHEN ag AND NOT rested AND gone AND NOT filled THEN 'flashed-limit' WHEN ag AND (rested OR NOT gone) THEN 'market-limit' WHEN rested THEN 'resting-limit' ELSE 'unknown' END AS type,
-  round(10000 * (CASE WHEN side = 'b' THEN price - bp ELSE ap - price END)::DOUBLE / ap::DOUBLE, 2) AS aggressiveness_bps, initial FROM k"""
+SELECT CASE WHEN cn.ts IS NOT NULL THEN {uuid("fl.order_id", "fl.event_no").replace("epoch_us(ts)", "epoch_us(fl.ts)")} END AS event_id, fl.order_id AS id, epoch_us(fl.ts) AS timestamp_us, epoch_us(price_ts) AS exchange_timestamp_us, price::DOUBLE AS price,
+  amount::DOUBLE AS volume, CASE WHEN gone THEN 'deleted' WHEN fl.event_no = 1 THEN 'created' ELSE 'changed' END AS action, {side()} AS direction, CASE WHEN fill > 0 THEN fill ELSE 0 END::DOUBLE AS fill, cn.met AS matching_event,
+  CASE WHEN is_price_ever_changed THEN 'pacman' WHEN is_ever_resting AND NOT is_ever_aggressor AND NOT is_ever_filled AND is_deleted THEN 'flashed-limit'
+    WHEN is_ever_resting AND NOT is_ever_aggressor AND NOT is_ever_filled AND NOT is_deleted THEN 'resting-limit' WHEN is_ever_resting AND NOT is_ever_aggressor AND is_ever_filled THEN 'resting-limit'
+    WHEN NOT is_ever_resting AND is_ever_aggressor AND is_deleted AND is_ever_filled THEN 'market' WHEN NOT is_ever_resting AND is_ever_aggressor AND is_deleted AND NOT is_ever_filled THEN 'flashed-limit'
+    WHEN (is_ever_resting OR NOT is_deleted) AND is_ever_aggressor THEN 'market-limit' ELSE 'unknown' END AS type,
+  round(10000 * (CASE WHEN side = 's' THEN ap - price ELSE price - bp END)::DOUBLE / ap::DOUBLE) + 0.0::DOUBLE AS aggressiveness_bps, fl.event_no, is_aggressor, is_created, is_ever_resting, is_ever_aggressor, is_ever_filled, is_deleted,
+  is_price_ever_changed, bp::DOUBLE AS best_bid_price, ap::DOUBLE AS best_ask_price
+FROM fl LEFT JOIN cn ON cn.ts = fl.ts AND cn.event_no = fl.event_no AND cn.order_id = fl.order_id"""
 
 FILLS = "fills AS (SELECT *, seq AS event FROM l3 WHERE fill > 0)"
 
@@ -215,7 +239,7 @@ SELECT epoch_us(era) AS era_us, epoch_us(l) AS last_ts_us, epoch_us(lead(era) OV
     "available_period": f"WITH {chain(venues=3)} SELECT exchange, 'AB' AS pair, epoch_us(min(ts)) AS s_us, epoch_us(max(ts)) AS e_us FROM l3 GROUP BY exchange",
     "era_summary": f"""WITH {chain(eras=ERAS)}, {PAIR}, n AS (SELECT max(raw.era) AS era, seq FROM raw GROUP BY seq), c AS (SELECT n.era, count(*) AS trades FROM trade JOIN n ON n.seq = trade.event_id GROUP BY n.era)
 SELECT epoch_us(era) AS era_us, count(*) AS events, count(*) FILTER (event_no = 1 AND NOT deleted) AS created, count(*) FILTER (event_no > 1 AND NOT deleted) AS changed, count(*) FILTER (deleted) AS deletions,
-  coalesce(any_value(trades), 0) AS trades, epoch_us(min(ts)) AS first_event_us, epoch_us(max(ts)) AS last_event_us FROM l3 LEFT JOIN c USING (era) GROUP BY era""",
+  coalesce(any_value(trades), 0) AS trades, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9)::DOUBLE AS events_per_second, round(coalesce(any_value(trades), 0) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9)::DOUBLE AS trades_per_second, epoch_us(min(ts)) AS first_event_us, epoch_us(max(ts)) AS last_event_us FROM l3 LEFT JOIN c USING (era) GROUP BY era""",
     "book_snapshot": f"{standing(MIDDLE)} SELECT epoch_us(ts) AS ts_us, order_id, event_no, side, price::DOUBLE AS price, amount::DOUBLE AS amount FROM ob",
     "book_flags": f"{standing(MIDDLE, crossed=True)}{FLAGS} SELECT order_id, event_no, side, price::DOUBLE AS price, is_maker, is_crossed FROM f",
     "book_liquidity": f"""{standing(MIDDLE, crossed=True)}{FLAGS}, mk AS (
@@ -242,7 +266,7 @@ SELECT order_id, side, price::DOUBLE AS price, amount::DOUBLE AS amount, liquidi
 )
 SELECT epoch_us(cell) AS ts_us, side, bucket::DOUBLE AS price, sum(volume)::DOUBLE AS volume FROM v GROUP BY ALL HAVING true""",
     "depth_signed_changes": f"WITH {LINE} SELECT epoch_us(ts) AS ts_us, side, price::DOUBLE AS price, volume::DOUBLE AS volume, (volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0))::DOUBLE AS delta FROM u",
-    "chain_id": f"""WITH {LINE}, d AS (SELECT *, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM u WHERE ts < TIMESTAMP '1995-03-01'), o AS (
+    "chain_id": f"""WITH {LINE}, d AS (SELECT *, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM u), o AS (
   SELECT *, row_number() OVER (ORDER BY ts, side, CASE WHEN side = 'ask' THEN price ELSE -price END) AS n FROM d WHERE delta <> 0
 ), f AS (SELECT side, abs(delta) AS z, min(n) AS n FROM o GROUP BY ALL), i AS (SELECT side, z, row_number() OVER (ORDER BY n)::INT AS chain_id FROM f)
 SELECT epoch_us(ts) AS ts_us, o.side, price::DOUBLE AS price, delta::DOUBLE AS delta, chain_id FROM o JOIN i ON o.side = i.side AND abs(o.delta) = i.z""",
@@ -254,9 +278,11 @@ SELECT epoch_us(ts) AS ts_us, b AS bid_price, a AS ask_price FROM z WHERE n = 1
     "events_classified": CLASSIFY,
     "export_events": f"""WITH {chain()} SELECT order_id AS id, epoch_us(ts) // 1000 AS timestamp, epoch_us(ts) // 1000 AS exchange_timestamp, price::DOUBLE AS price, amount::DOUBLE AS volume,
   CASE WHEN deleted THEN 'deleted' WHEN event_no = 1 THEN 'created' ELSE 'changed' END AS action, {side()} AS direction, event_no FROM l3 WHERE ts >= {START} AND ts < {END} AND NOT (amount = 0 AND event_no = 1 AND NOT deleted)""",
-    "trades": f"WITH {chain()}, {PAIR} SELECT epoch_us(ts) AS timestamp_us, price::DOUBLE AS price, amount::DOUBLE AS volume, CASE taker_side WHEN 'b' THEN 'buy' ELSE 'sell' END AS direction, maker, taker, event_id AS exchange_trade_id FROM trade WHERE ts BETWEEN {START} AND {END}",
+    "trades": f"""WITH {chain()}, {PAIR}, {met()} SELECT epoch_us(ts) AS timestamp_us, price::DOUBLE AS price, amount::DOUBLE AS volume, CASE side WHEN 'b' THEN 'buy' ELSE 'sell' END AS direction,
+  CASE WHEN side = 'b' THEN {uuid("sell_order_id", "sell_event_no")} ELSE {uuid("buy_order_id", "buy_event_no")} END AS maker_event_id, CASE WHEN side = 'b' THEN {uuid("buy_order_id", "buy_event_no")} ELSE {uuid("sell_order_id", "sell_event_no")} END AS taker_event_id,
+  CASE WHEN side = 'b' THEN sell_order_id ELSE buy_order_id END AS maker, CASE WHEN side = 'b' THEN buy_order_id ELSE sell_order_id END AS taker, trade_id AS exchange_trade_id FROM mt WHERE ts BETWEEN {START} AND {END}""",
     "market_orders": f"""WITH {chain()}, {PAIR} SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS timestamp_us, taker, CASE taker_side WHEN 'b' THEN 'buy' ELSE 'sell' END AS direction, sum(amount)::DOUBLE AS volume, count(DISTINCT price) AS levels,
-  round(sum(amount::DOUBLE * price::DOUBLE) / sum(amount)::DOUBLE, 4) AS mean_price FROM trade WHERE ts BETWEEN {START} AND {END} GROUP BY ALL""",
+  round(sum(amount::DOUBLE * price::DOUBLE) / sum(amount)::DOUBLE, 4) AS mean_price FROM trade GROUP BY ALL""",
     "crossed_books": f"""WITH {chain(crossed=True)}, {levels()}, {BEST}, c AS (SELECT ts, coalesce(bp > ap, false) AS x FROM spread), i AS (
   SELECT ts FROM c QUALIFY x AND NOT coalesce(lag(x) OVER (ORDER BY ts), false)
 )
@@ -267,7 +293,7 @@ SELECT (SELECT epoch_us(max(ts)) FROM spread s WHERE s.ts < i.ts) AS previous_un
 )
 SELECT trade, event FROM j WHERE r = 1 AND q = 1""",
     "match_sum_of_fill": f"""WITH {chain()}, {FILLS}, t AS (
-  SELECT seq * 2 + k AS trade, epoch_us(ts) - 500000 + k * 300000 AS u, price, side, CASE WHEN k = 0 THEN floor(fill / 2) ELSE fill - floor(fill / 2) END AS amount FROM fills, range(2) r(k) WHERE fill >= 2
+  SELECT seq * 2 + k AS trade, epoch_us(ts) - 500000 + k * 300000 AS u, price, side, CASE WHEN k = 0 THEN (fill / 2)::DECIMAL(18,8) ELSE fill - (fill / 2)::DECIMAL(18,8) END AS amount FROM fills, range(2) r(k)
 ), g AS (
   SELECT a.trade AS x, b.trade AS y, b.u, a.price, a.side, a.amount + b.amount AS amount FROM t a JOIN t b ON a.price = b.price AND a.side = b.side AND a.trade < b.trade AND b.u - a.u BETWEEN 0 AND 1000000
 ), j AS (
@@ -323,7 +349,7 @@ SELECT k::INT AS lag, round(corr(a.x, b.y), 6) AS correlation FROM range(-5, 6)
 )
 SELECT epoch_us(cell) AS ts_us, round(r, 9) AS log_return, round(abs(r) / sqrt(s), 5) AS statistic FROM v WHERE c = 28 AND s > 0""",
     "range_by_interval": f"WITH {mids(600)} SELECT epoch_us(date_trunc('day', cell)::TIMESTAMP) AS cell_us, round(ln(max(mid)) - ln(min(mid)), 9) AS log_range FROM mid GROUP BY ALL",
-    "takers_levels": f"""WITH {chain()}, {PAIR}, o AS (SELECT date_trunc('day', ts) AS t, taker, taker_side, sum(amount) AS volume, count(DISTINCT price) AS levels FROM trade WHERE ts BETWEEN {START} AND {END} GROUP BY ALL)
+    "takers_levels": f"""WITH {chain()}, {PAIR}, o AS (SELECT date_trunc('day', ts) AS t, taker, taker_side, sum(amount) AS volume, count(DISTINCT price) AS levels FROM trade GROUP BY ALL)
 SELECT levels, count(*) AS orders, sum(volume)::DOUBLE AS volume FROM o GROUP BY levels""",
     "limit_placements": f"{PLACED} SELECT epoch_us(ts) AS ts_us, side, price::DOUBLE AS price, delta::DOUBLE AS delta, kind, distance::DOUBLE AS distance FROM placed",
     "arrival_rate_by_distance": f"{PLACED} SELECT kind, ceil(distance::DOUBLE / 25 - 1e-9)::INT AS ticks, count(*) AS events, round(count(*) / (29 * 86400.0), 9)::DOUBLE AS rate FROM placed GROUP BY ALL",

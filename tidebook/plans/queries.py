@@ -89,7 +89,10 @@ def available_period(spark, d):
 
 def era_summary(spark, d):
     l3 = stored_level3(spark, d, eras=A.ERAS)
-    return shown(events.era_summary(l3, A.trades(spark, d), events.era_table(l3)), "era", "events", "created", "changed", "deletions", "trades", "first_event", "last_event")
+    rows = events.era_summary(l3, A.trades(spark, d), events.era_table(l3))
+    for c in ("events_per_second", "trades_per_second"):
+        rows = rows.withColumn(c, F.round(c, 9))
+    return shown(rows, "era", "events", "created", "changed", "deletions", "trades", "events_per_second", "trades_per_second", "first_event", "last_event")
 
 
 def book_snapshot(spark, d):
@@ -188,8 +191,8 @@ def epsilon_drawupdowns(spark, d):
 
 def events_classified(spark, d):
     l3 = stored_level3(spark, d, crossed=True)
-    sp = cut(replay.spread(labelled(depth.changes(l3))))
-    return shown(events.classify(l3, sp, instant(START), instant(END)), "id", "timestamp", "event_no", "price", "volume", "action", "direction", "fill", "type", "aggressiveness_bps", "initial")
+    sp = replay.spread_between(l3, instant(START), F.timestamp_micros(F.unix_micros(instant(END)) + 1))
+    return shown(events.classify(l3, sp, instant(START), instant(END), A.matches(spark, d, l3)))
 
 
 def export_events(spark, d):
@@ -197,11 +200,17 @@ def export_events(spark, d):
 
 
 def trades(spark, d):
-    return shown(events.trades(A.trades(spark, d), instant(START), instant(END)).drop("exchange", "pair"))
+    return shown(events.trades(A.matches(spark, d, level3(spark, d)), instant(START), instant(END)).drop("exchange", "pair"))
+
+
+def _all_trades(spark, d):
+    """The whole table: its least and greatest time are the range."""
+    m = A.matches(spark, d, level3(spark, d))
+    return events.trades(m, *(F.lit(t).cast("timestamp") for t in m.agg(F.min("ts"), F.max("ts")).first()))
 
 
 def market_orders(spark, d):
-    t = events.trades(A.trades(spark, d), instant(START), instant(END)).withColumn("timestamp", F.date_trunc("day", "timestamp"))
+    t = _all_trades(spark, d).withColumn("timestamp", F.date_trunc("day", "timestamp"))
     return events.market_orders(t).select(F.unix_micros("timestamp").alias("timestamp_us"), "taker", "direction", F.col("volume").cast("double").alias("volume"), "levels", F.round(F.col("mean_price").cast("double"), 4).alias("mean_price"))
 
 
@@ -221,8 +230,8 @@ def match_exact_fill(spark, d):
 
 
 def match_sum_of_fill(spark, d):
-    events_ = _fills(spark, d).where("fill >= 2")
-    half = F.floor(F.col("fill") / 2).cast("decimal(28,8)")
+    events_ = _fills(spark, d)
+    half = (F.col("fill") / 2).cast("decimal(28,8)")
     part = F.explode(F.array(F.struct(F.lit(0).alias("k"), half.alias("a")), F.struct(F.lit(1).alias("k"), (F.col("fill") - half).alias("a"))))
     t = events_.withColumn("p", part)
     t = t.select("exchange", "pair", (F.col("seq") * 2 + F.col("p.k")).alias("trade"), F.timestamp_micros(F.unix_micros("ts") - 500_000 + F.col("p.k") * 300_000).alias("ts"), "price", F.col("p.a").alias("amount"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"))
@@ -322,7 +331,7 @@ def top_spikes(spark, d):
 
 
 def takers_levels(spark, d):
-    t = events.trades(A.trades(spark, d), instant(START), instant(END)).withColumn("timestamp", G.floor_to(F.col("timestamp"), 86400))
+    t = _all_trades(spark, d).withColumn("timestamp", G.floor_to(F.col("timestamp"), 86400))
     return shown(analysis.takers_levels(events.market_orders(t)))
 
 

@@ -63,6 +63,17 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("event_type = 'purchase'").select("exchange", "pair", "ts", "price", "amount", F.col("taker_side").alias("side"), F.col("order_id").alias("taker"), "maker", F.col("seq").alias("exchange_trade_id"))
 
 
+def matches(spark: SparkSession, sf_dir: str, level3: DataFrame) -> DataFrame:
+    """trades() as an exchange reports them: buyer's and seller's order and event; the maker's event is its first."""
+    t = trades(spark, sf_dir).join(level3.select(F.col("seq").alias("exchange_trade_id"), "event_no"), "exchange_trade_id", "left")
+    bought = F.col("side") == "b"
+    first = F.when(F.col("maker").isNotNull(), F.lit(1))
+    return t.select(
+        "exchange", "pair", "ts", "price", "amount", "side", "exchange_trade_id", F.when(bought, F.col("taker")).otherwise(F.col("maker")).alias("buy_order_id"), F.when(bought, F.col("event_no")).otherwise(first).alias("buy_event_no"),
+        F.when(bought, F.col("maker")).otherwise(F.col("taker")).alias("sell_order_id"), F.when(bought, first).otherwise(F.col("event_no")).alias("sell_event_no"),
+    )
+
+
 def depth_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, side, price, volume: large daily episodes from ``lineitem``; returned lines empty their level."""
     li = table(spark, sf_dir, "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.grid import PRICE
@@ -62,10 +62,50 @@ def bitfinex_trades(lines: DataFrame, channel: int, pair: str) -> DataFrame:
     return out.select(F.lit("bitfinex").alias("exchange"), F.lit(pair).alias("pair"), F.timestamp_millis(get(2).cast("long")).alias("ts"), get(1).cast("long").alias("exchange_trade_id"), F.when(qty > 0, "b").otherwise("s").alias("side"), get(4).cast(PRICE).alias("price"), F.abs(qty).alias("amount"), "local_ts").dropDuplicates(["ts", "exchange_trade_id"])
 
 
+def bitfinex_eras(book: DataFrame, gap_seconds: float = 2.0, price_digits: int | None = None, amount_digits: int | None = None) -> DataFrame:
+    """Raw book rows (exchange, pair, ts, seq, order_id, price, amount, snapshot) with ``era``, as one run of changes per era.
+
+    A snapshot begins a channel. It begins an era, too, if there is no episode before it, if the last one is over
+    ``gap_seconds`` older or of another month. Else the era goes on, and the snapshot counts by what it changes: rows
+    that repeat an order's last state go, and orders of the book that it leaves out are deleted there. Prices and
+    amounts are rounded first. Rows before the first snapshot are of no era and go.
+    """
+    key = ["exchange", "pair"]
+    rows = book if price_digits is None else book.withColumn("price", F.round("price", price_digits).cast(PRICE))
+    rows = rows if amount_digits is None else rows.withColumn("amount", F.round("amount", amount_digits).cast(AMOUNT))
+    by_time = Window.partitionBy(*key).orderBy("ts")
+    e = rows.groupBy(*key, "ts").agg(F.bool_or("snapshot").alias("_snap"))
+    before = F.lag("ts").over(by_time)
+    far = before.isNull() | ((F.unix_micros("ts") - F.unix_micros(before)) > round(gap_seconds * 1e6)) | (F.trunc("ts", "month") != F.trunc(before, "month"))
+    e = e.withColumn("_new", F.col("_snap") & far)
+    e = e.withColumn("era", F.last(F.when(F.col("_new"), F.col("ts")), ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    # the next snapshot of the same era
+    again = F.when(F.col("_snap") & ~F.col("_new"), F.col("ts"))
+    e = e.where("era is not null").withColumn("_next", F.first(again, ignorenulls=True).over(Window.partitionBy(*key, "era").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.join(e.select(*key, "ts", "era", "_next", (F.col("_snap") & ~F.col("_new")).alias("_goes_on")), [*key, "ts"])
+    # the last row of an order and episode counts
+    last = Window.partitionBy(*key, "era", "ts", "order_id").orderBy(F.col("seq").desc())
+    rows = rows.withColumn("_r", F.row_number().over(last)).where("_r = 1")
+    order = Window.partitionBy(*key, "era", "order_id").orderBy("ts")
+    same = F.coalesce((F.lag("price").over(order) == F.col("price")) & (F.lag("amount").over(order) == F.col("amount")), F.lit(False))
+    rows = rows.withColumn("_same", F.col("_goes_on") & F.col("snapshot") & same)
+    gone = (F.col("price") > 0) & F.col("_next").isNotNull() & (F.lead("ts").over(order).isNull() | (F.lead("ts").over(order) > F.col("_next")))
+    rows = rows.withColumn("_gone", gone)
+    deletions = rows.where("_gone").withColumn("ts", F.col("_next")).withColumn("price", F.lit(0).cast(PRICE)).withColumn("amount", F.signum("amount").cast(AMOUNT)).withColumn("snapshot", F.lit(False))
+    return rows.where("not _same").unionByName(deletions).drop("_next", "_goes_on", "_r", "_same", "_gone")
+
+
+def batch_window(rows: DataFrame, done: Column | None = None, delay_seconds: float = 120, most_seconds: float = 4 * 3600) -> DataFrame:
+    """exchange, pair, start, end of the next batch: from ``done`` (or the first row) up to ``delay_seconds`` before the last one, ``most_seconds`` at most."""
+    ends = rows.groupBy("exchange", "pair").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    start = F.col("first") if done is None else F.greatest("first", done)
+    micro = lambda c, seconds: F.timestamp_micros(F.unix_micros(c) + round(seconds * 1e6))
+    out = ends.select("exchange", "pair", start.alias("start"), micro("last", -delay_seconds).alias("_to"))
+    return out.select("exchange", "pair", "start", F.least("_to", micro("start", most_seconds)).alias("end")).where("end > start")
+
+
 def bitfinex_level3(book: DataFrame) -> DataFrame:
     """Raw events for chains.build from raw book rows with ``ts`` (their episode's time) and ``seq``: the last row of an order and episode counts."""
-    from pyspark.sql import Window
-
     last = Window.partitionBy("exchange", "pair", "era", "ts", "order_id").orderBy(F.col("seq").desc())
     rows = book.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     order = Window.partitionBy("exchange", "pair", "era", "order_id")

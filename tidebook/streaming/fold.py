@@ -12,40 +12,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def stream_fold(rows: DataFrame, key: list[str], time: str, order: list[str], feed: list[str], make: Callable, schema: str, delay: str = "2 minutes") -> DataFrame:
-    """key and what the kernel says, for a stream: rows wait until the watermark has passed them, then go in order.
+def stream_fold(rows: DataFrame, key: list[str], time: str, order: list[str], feed: list[str], make: Callable, schema: str, delay: str = "2 minutes", grace_seconds: float = 0, idle_seconds: float | None = None) -> DataFrame:
+    """key, late_us and what the kernel says, for a stream: rows wait until the watermark has passed them, then go in order.
 
-    The watermark is ``delay`` behind the latest time seen; rows that come later than that are dropped by Spark. A key's
-    state is its kernel and the rows that still wait, so it is bounded by the kernel and the delay, not the stream.
+    Rows wait for ``delay``. A row that comes when later ones have gone is a dead letter: it gives a row with its time in
+    late_us and nulls, for up to ``grace_seconds`` more, which is how far Spark's watermark lies behind; what comes later
+    still is dropped by Spark. late_us is null for what the kernel says.
+
+    A key's state is its kernel and the rows that wait, so it is bounded by the kernel and the delay, not the stream. With
+    ``idle_seconds`` a key that had no row for so long ends: what the kernel says at its end is given, and its state goes.
     ``order`` breaks ties of time, such as a priority of trades before book events.
     """
-    out = StructType([*(rows.schema[k] for k in key), *_parse_datatype_string(schema).fields])
+    out = StructType([*(rows.schema[k] for k in key), *_parse_datatype_string("late_us long, " + schema).fields])
     names = out.names
     width = len(order) + 1
+    grace = round(grace_seconds * 1e6)
+    nothing = (None,) * (len(names) - len(key) - 1)
 
     def step(now: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel, waiting = pickle.loads(state.get[0]) if state.exists else (make(), [])
+        kernel, waiting, gone, last = pickle.loads(state.get[0]) if state.exists else (make(), [], -(1 << 62), -(1 << 62))
+        made = []
         for frame in frames:
             frame = frame.astype(object).where(frame.notna(), None)
-            waiting += frame[["_us", *order, *feed]].itertuples(index=False, name=None)
-        mark = state.getCurrentWatermarkMs() * 1000
+            for row in frame[["_us", *order, *feed]].itertuples(index=False, name=None):
+                if row[0] <= gone:
+                    made.append((*now, row[0], *nothing))
+                else:
+                    waiting.append(row)
+                    last = max(last, row[0])
+        mark = state.getCurrentWatermarkMs() * 1000 + grace
         waiting.sort(key=lambda r: r[:width])
         ready = 0
-        made = []
         while ready < len(waiting) and waiting[ready][0] <= mark:
-            made += kernel.feed(tuple(waiting[ready][width:]))
+            gone = waiting[ready][0]
+            made += [(*now, None, *m) for m in kernel.feed(tuple(waiting[ready][width:]))]
             ready += 1
         del waiting[:ready]
-        state.update((pickle.dumps((kernel, waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, waiting[0][0] // 1000 + 1))
+        if idle_seconds is not None and not waiting and mark > last + round(idle_seconds * 1e6):
+            made += [(*now, None, *m) for m in kernel.end()]
+            state.remove()
+        else:
+            state.update((pickle.dumps((kernel, waiting, gone, last)),))
+            wake = waiting[0][0] if waiting else None if idle_seconds is None else last + round(idle_seconds * 1e6)
+            if wake is not None:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (wake - grace) // 1000 + 1))
         if made:
-            yield pd.DataFrame([(*now, *m) for m in made], columns=names)
+            yield pd.DataFrame(made, columns=names).astype({"late_us": "Int64"})
 
-    timed = rows.withColumn("_us", F.unix_micros(time)).withWatermark(time, delay)
+    timed = rows.withColumn("_us", F.unix_micros(time)).withWatermark(time, f"{parse_seconds(delay) + grace_seconds} seconds")
     return timed.groupBy(*key).applyInPandasWithState(step, out, "body binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def parse_seconds(delay: str) -> float:
+    """Seconds of a delay such as 2 minutes."""
+    number, unit = delay.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 class Release:
     """A kernel that only gives back what it gets: the reordering buffer alone."""
 
