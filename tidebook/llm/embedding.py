@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,23 @@ from tidebook.llm.text import mix
 
 #: Rows of one comparison group.
 GROUP = 2048
+#: Width of a quantised projection of unit vectors, and how many rows of a label an average bucket should hold.
+WIDTH, CROWD = 2.0, 32
+#: Bits by which a projection of that width tells random vectors apart: the entropy of floor(z / 2 + u), z normal, u uniform.
+APART = 1.28
+
+
+def collides(cosine: float, width: float = WIDTH) -> float:
+    """The probability that a quantised projection puts two unit vectors of this cosine in one cell."""
+    ratio = width / math.sqrt(max(2 - 2 * cosine, 1e-12))
+    return 1 - math.erfc(ratio / math.sqrt(2)) - math.sqrt(2 / math.pi) / ratio * (1 - math.exp(-ratio * ratio / 2))
+
+
+def plan(count: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(tables, bits) for ``count`` vectors of a label: random buckets hold about CROWD of them, whatever the count, and a
+    link at the threshold is found with probability ``recall``. Comparisons per vector follow the tables, not the count."""
+    bits = max(6, math.ceil(math.log2(max(count, 1) / CROWD) / APART)) if count > CROWD else 6
+    return math.ceil(math.log(1 - recall) / math.log1p(-(collides(threshold) ** bits))), bits
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -55,13 +73,14 @@ def vectors(rows: DataFrame, embedding: str) -> DataFrame:
 
 def near_duplicates(
     rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93,
-    tables: int = 24, bits: int = 12, width: float = 2.0, seed: int = 9, most: int = GROUP,
+    recall: float = 0.99, seed: int = 9, most: int = GROUP,
 ) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of one non-null label and of one length are linked if their cosine, in doubles, is ``threshold`` or more.
-    Candidates share a bucket of at least one table; a link at the threshold itself is found with probability 0.976 at
-    these defaults, at cosine 0.95 with 0.995, and no pair below the threshold is linked. Equal vectors of a label
+    Candidates share a bucket of at least one table; a link at the threshold itself is found with probability
+    ``recall``, closer ones with more, and no pair below the threshold is linked. How many tables there are, of how many
+    projections, follows from the largest label's number of distinct vectors (``plan``). Equal vectors of a label
     are one representative with a count, so copies are not paired. Each linked pair of representatives is counted in
     the first table whose bucket it shares, at both ends, and gives a link for the components only where it joins two
     parts of its group: pairs are never rows. Buckets of over ``most`` rows are compared chunk by chunk, all of them.
@@ -78,6 +97,8 @@ def near_duplicates(
     wide = np.float32 if single else np.float64
     reps = cut(live.groupBy("label", "x").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    tables, bits = plan(largest, threshold, recall)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Projections] = {}
@@ -88,7 +109,7 @@ def near_duplicates(
                     part = batch.filter(pa.array(size == dims))
                     x = matrix(part.column("x"))
                     unit = units(x)
-                    hashes = known.setdefault(dims, Projections(dims, tables, bits, width, seed))(unit)
+                    hashes = known.setdefault(dims, Projections(dims, tables, bits, WIDTH, seed))(unit)
                     which = np.repeat(np.arange(len(part)), tables)
                     out = part.take(pa.array(which))
                     every = pa.ListArray.from_arrays(np.arange(0, len(which) * tables + 1, tables, dtype=np.int32), hashes[which].ravel())
