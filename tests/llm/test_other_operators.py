@@ -53,16 +53,22 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_hashing_recall_at_the_threshold():
+@pytest.mark.parametrize("count", [100, 50_000, 10_000_000, 10**9])
+def test_hashing_recall_at_the_threshold(count):
+    """Recall stays and random buckets stay small, whatever the count."""
     r = np.random.Generator(np.random.PCG64(4))
-    p = embedding.Projections(64, 24, 12, 2.0, 9)
-    a = r.normal(size=(3000, 64))
+    tables, bits = embedding.plan(count, 0.93, 0.99)
+    p = embedding.Projections(64, tables, bits, embedding.WIDTH, 9)
+    a = r.normal(size=(1500, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = r.normal(size=a.shape)
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     c = 0.93 * a + math.sqrt(1 - 0.93**2) * b
-    assert (p(a) == p(c)).any(1).mean() > 0.95
+    hashes = p(a)
+    assert (hashes == p(c)).any(1).mean() > 0.975
+    pairs = np.mean([np.unique(h, return_counts=True)[1] ** 2 @ np.ones(len(np.unique(h))) - len(a) for h in hashes.T]) / (len(a) * (len(a) - 1))
+    assert pairs * count < 40 * embedding.CROWD or count <= 100  # others in a random row's bucket
 
 
 def slow_top(rows, k=5):
@@ -90,6 +96,37 @@ def test_top_k_of_few_and_no_rows(spark):
     assert topk.top_k(two.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores that need Python's whole numbers, and ones beyond 64 bits."""
+    wide = "vec_id long, embedding array<double>, label int"
+    values = [1e9, -2.5e9 - 0.5, 1e20, 3.25, -1e20, 1e308, 4e9, 1e5]
+    rows = [(50 * k if k < 4 else 50 * k + 1, [v, 1.5], 1) for k, v in enumerate(values)]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, wide)).collect()]
+    live = [(i, [math.floor(256 * c) for c in e]) for i, e, _ in rows if all(math.isfinite(256 * c) for c in e)]
+    fit = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    expected = []
+    for i, q in live:
+        if i % 50 == 0:
+            best = sorted((-fit(sum(x * y for x, y in zip(q, v, strict=True))), j) for j, v in live if j != i)[:5]
+            expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(expected)
+
+
+def test_shards_without_better_rows_are_not_sent(spark, monkeypatch):
+    """Rows in tight clusters: a block's queries need few shards, and the result is that of brute force."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    r = np.random.Generator(np.random.PCG64(8))
+    centres = r.normal(size=(20, 16)) * 5
+    rows = [(k, [float(c) for c in np.round(centres[k % 20] + r.normal(size=16) * 0.05, 3)], 0) for k in range(2000)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = topk.top_k(frame, shard=50).collect()
+    assert sorted(str((x.query_id, x.rank, x.vec_id, x.score)) for x in got) == slow_top(rows)
+    points = np.floor(256 * np.float32([r[1] for r in rows]).astype(float))
+    tree = topk.BallTree(points[:50], np.arange(50), np.arange(50))
+    upper = topk.upper_bounds(points, tree.centre[:1], tree.radius[:1])[:, 0]
+    assert (upper >= (points @ tree.points.T).max(1)).all()
+
+
 def test_ball_tree_bounds_hold():
     r = np.random.Generator(np.random.PCG64(6))
     points = r.integers(-900, 900, (10, 12))[r.integers(0, 10, 700)] + r.integers(-20, 20, (700, 12))

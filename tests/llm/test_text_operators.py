@@ -282,6 +282,19 @@ def slow_repeats(rows, length):
     return sorted(out)
 
 
+def test_passages_of_words_whose_polynomial_hashes_clash(spark):
+    """Two Thue-Morse words of 1024 letters have one polynomial hash; passages that differ in them alone differ."""
+    word, other = "a", str.maketrans("ab", "ba")
+    for _ in range(10):
+        word += word.translate(other)
+    around = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join([*around[:15], w, *around[15:]])) for k, w in enumerate((word, word.translate(other), word))]
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(got[k].spans) for k in range(3)] == [0, 0, 1] and got[2].kept == ""
+    with pytest.raises(TypeError, match="whole number"):
+        substring.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("length", [20, 7])
 def test_repeated_passages_match_brute_force(docs, length):
     got = substring.remove_repeats(docs, length=length).collect()
