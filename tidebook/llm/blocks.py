@@ -17,6 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.llm import text as X
 from tidebook.llm.cluster import cut
@@ -81,7 +82,12 @@ class Block:
 
 
 def make(docs: DataFrame, doc_id: str, text: str, marked: Column) -> DataFrame:
-    """block, ids, marked, offsets, text, words: a row per block, in the shared folder. Null texts are empty."""
+    """block, ids, marked, offsets, text, words: a row per block, in the shared folder. Null texts are empty.
+
+    Document ids are whole numbers; ids of another kind are refused.
+    """
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be a whole number, not {docs.schema[doc_id].dataType.simpleString()}")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(marked, F.lit(False)).alias("marked"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

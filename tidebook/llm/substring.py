@@ -37,7 +37,7 @@ class Passages:
     def __init__(self, block: B.Block, length: int):
         self.block, self.length, self.anchor = block, length, length // 2
         self.starts, self.ends, self.first = X.words(block.data, block.offsets)
-        self.words = X.hash_spans(block.data, self.starts, self.ends, False)
+        self.words, self.checks = X.word_hashes(block.data, block.offsets)
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         self.end = self.first[1:][self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
@@ -62,7 +62,8 @@ class Passages:
         return key[new], (both[last] & np.uint64(1)).astype(bool), last > new
 
     def windows(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, key, check): the windows that hold a hit, each with 64 and 32 bits of two independent hashes."""
+        """(place, key, check): the windows that hold a hit, each with two hashes of 64 bits that share nothing: they are
+        sums over different hashes of the words, to different bases."""
         at, key, _ = self.probes()
         hit = np.zeros(len(self.words) + self.length + 1, np.int32)
         if len(hits):
@@ -71,7 +72,7 @@ class Passages:
         hit = np.cumsum(hit)
         place = self.fits(self.length)
         place = place[hit[place + self.length - self.anchor + 1] > hit[place]]
-        return place, X.mix(rolling(self.words, self.length, _ONE)[place]), (X.mix(rolling(self.words, self.length, _TWO)[place]) >> np.uint64(32)).astype(np.uint32)
+        return place, X.mix(rolling(self.words, self.length, _ONE)[place]), X.mix(rolling(self.checks, self.length, _TWO)[place])
 
     def firsts(self, hits: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place, order, new): windows, their order by key and then by document and place, and each key's first one."""
@@ -115,7 +116,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     1. References are each document's non-overlapping runs of length // 2 words; every rolling run of that size of any
        document probes them. Wherever a run of ``length`` words repeats, its earlier copy holds a whole reference, and
        the later one holds the same words at the same offset, so both have a hit.
-    2. Hits are extended: every window around a hit is sent, once per block, as 96 bits of two hashes with its first
+    2. Hits are extended: every window around a hit is sent, once per block, as 128 bits of two hashes with its first
        place; its bucket finds which block has the first of all. The other windows are repeats; where they follow each
        other they join to spans, the maximal repeats. Copies cost a row each, never a pair.
 
