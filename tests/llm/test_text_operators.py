@@ -1,6 +1,7 @@
 import hashlib
 import math
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import SCHEMA, components, documents, words
-from tidebook.llm import bpe, pitman_yor, quality, simhash, substring, text
+from tidebook.llm import blocks, bpe, pitman_yor, quality, simhash, substring, text
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -361,23 +362,135 @@ def test_language_model_counts_and_base(spark, docs):
 
 
 def test_language_model_follows_the_predictive_formula(spark):
-    """A corpus of one repeated sentence leaves nothing to sample: every word has one context, and no sweep is made."""
+    """A corpus of one sentence leaves nothing to draw: every dish has one customer."""
     from pyspark.sql import functions as F
 
-    n, s, d = 5, 1.0, 0.5
-    train = [(k, "a b c D", "", "", 0) for k in range(n)]
-    probes = [(100, "a b c d", "", "", 0), (101, "a z", "", "", 0), (102, "c", "", "", 0)]
-    out = {r.doc_id: r.score for r in pitman_yor.scores(spark.createDataFrame(train + probes, SCHEMA), F.col("doc_id") < 100, sweeps=0, chains=1).collect()}
-    v = 5  # four words and the end
-    parent = (1 - d + (s + d * v) / (v + 1)) / (s + v)
-    unknown = (s + d * v) / (v + 1) / (s + v)
-    seen = (n - d + (s + d) * parent) / (s + n)
-    unseen = (s + d) * parent / (s + n)
-    never = (s + d) * unknown / (s + n)
-    assert abs(v * parent + unknown - 1) < 1e-12 and abs(seen + (v - 1) * unseen + never - 1) < 1e-12
-    assert abs(out[0] - 5 * math.log10(seen)) < 1e-5 and abs(out[100] - out[0]) < 1e-12
-    assert abs(out[101] - math.log10(seen * never * parent)) < 1e-5
-    assert abs(out[102] - math.log10(unseen * unseen)) < 1e-5
+    s, d, v = 1.0, 0.95, 5  # four words and the end, each dish alone in its restaurants
+    rows = [(0, "a b c D", "", "", 0), (100, "a b c d", "", "", 0), (101, "a z q", "", "", 0), (102, "c", "", "", 0)]
+    out = {r.doc_id: r for r in pitman_yor.scores(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") < 100).collect()}
+    base, never = 2 / (5 + 6), 1 / (5 + 6)
+    root = lambda x, c: (c * (1 - d) + (s + d * v) * x) / (s + v)
+    one = lambda x, c: (c * (1 - d) + (s + d) * x) / (s + 1)  # noqa: E731, a restaurant of one customer
+    assert abs(v * root(base, 1) + root(never, 0) - 1) < 1e-12
+    seen = one(one(root(base, 1), 1), 1)
+    unseen, unknown = one(one(root(base, 1), 0), 0), one(one(root(never, 0), 0), 0)
+    assert abs(out[0].score - 5 * math.log10(seen)) < 1e-5 and abs(out[100].score - out[0].score) < 1e-12
+    # z follows a context of one customer; q and the end follow an unknown word
+    assert abs(out[101].score - math.log10(seen * unknown * never * base)) < 1e-5
+    assert abs(out[102].score - math.log10(unseen * root(base, 1))) > 1e-3 and abs(out[102].score - math.log10(unseen) - math.log10(one(root(base, 1), 0))) < 1e-5
+    assert abs(out[100].perplexity - 10 ** (-out[100].score / 5)) < 1e-9
+
+
+class OneByOne:
+    """The same restaurants with lists of tables, one customer at a time: a plain Gibbs sampler."""
+
+    def __init__(self, base, discounts, strength, random):
+        self.base, self.discounts, self.strength, self.random = base, discounts, strength, random
+        self.rooms = {}
+
+    def room(self, context):
+        return self.rooms.setdefault(context, {})
+
+    def share(self, context, w):
+        d = self.discounts[len(context)]
+        room = self.room(context)
+        tables = room.get(w, [])
+        above = self.share(context[1:], w) if context else self.base[w]
+        return (sum(tables) - d * len(tables) + (self.strength + d * sum(map(len, room.values()))) * above) / (self.strength + sum(map(sum, room.values())))
+
+    def add(self, context, w):
+        d = self.discounts[len(context)]
+        room = self.room(context)
+        tables = room.setdefault(w, [])
+        above = self.share(context[1:], w) if context else self.base[w]
+        weights = [x - d for x in tables] + [(self.strength + d * sum(map(len, room.values()))) * above]
+        k = self.random.choices(range(len(weights)), weights)[0]
+        if k < len(tables):
+            tables[k] += 1
+        else:
+            tables.append(1)
+            if context:
+                self.add(context[1:], w)
+
+    def remove(self, context, w):
+        tables = self.room(context)[w]
+        k = self.random.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            if context:
+                self.remove(context[1:], w)
+
+
+def test_seating_agrees_with_a_plain_sampler():
+    """Predictive probabilities, averaged over many seatings, of the sampler here and of one that seats one by one."""
+    r = np.random.Generator(np.random.PCG64(2))
+    seen = Counter((int(r.integers(0, 2)), int(r.integers(2, 4)), int(min(9, 4 + r.geometric(0.4)))) for _ in range(120))
+    triples = sorted((v, w, u) for u, v, w in seen)
+    v, w, u = (np.array(x, np.int64) for x in zip(*triples, strict=True))
+    count = np.array([seen[b, a, c] for a, c, b in triples], np.int64)
+    word = np.unique(w)
+    base = np.full(len(word), 0.8 / len(word))
+    model = pitman_yor.Model(v, w, u, count, word, base, 1.0, np.random.Generator(np.random.PCG64(3)))
+    discounts = [model.root.discount, model.middle.discount, model.leaves.discount]
+    got = model.shares(50, 1500)
+    plain = OneByOne(dict(zip(word.tolist(), base.tolist(), strict=True)), discounts, 1.0, random.Random(4))
+    everyone = [((b, a), c) for a, c, b in triples for _ in range(seen[b, a, c])]
+    for guest in everyone:
+        plain.add(*guest)
+    expected = np.zeros(len(triples))
+    for k in range(650):
+        for guest in everyone:
+            plain.remove(*guest)
+            plain.add(*guest)
+        if k >= 50:
+            expected += [plain.share((b, a), c) for a, c, b in triples]
+    assert np.abs(got / (expected / 600) - 1).max() < 0.03
+
+
+def test_seating_keeps_its_books():
+    """Customers stay, tables hold them, and every table is a customer of the parent, through sweeps and large counts."""
+    r = np.random.Generator(np.random.PCG64(5))
+    triples = sorted({(int(r.integers(2, 6)), int(r.integers(2, 40)), int(r.integers(0, 9))) for _ in range(600)})
+    v, w, u = (np.array(x, np.int64) for x in zip(*triples, strict=True))
+    count = r.choice([0, 1, 2, 3, 7, 5000], len(v), p=[0.2, 0.4, 0.2, 0.1, 0.09, 0.01])
+    word = np.unique(w)
+    m = pitman_yor.Model(v, w, u, count, word, np.full(len(word), 1 / (len(word) + 1)), 1.0, r)
+    m.leaves.add(np.arange(len(v)), count)
+    for _ in range(4):
+        for level in (m.leaves, m.middle, m.root):
+            level.sweep(3, 4)
+        for level, up in ((m.leaves, m.middle), (m.middle, m.root), (m.root, None)):
+            ends = level.start + level.t
+            assert all(level.size[a:b].sum() == c and (level.size[a:b] > 0).all() for a, b, c in zip(level.start, ends, level.c, strict=True))
+            assert (np.bincount(level.rest, level.t, len(level.tables)) == level.tables).all() and (np.bincount(level.rest, level.c, len(level.customers)) == level.customers).all()
+            assert up is None or (np.bincount(level.parent, level.t, len(up.c)) == up.c).all()
+        assert (m.leaves.c == count).all()
+    assert m.leaves.t[count == 5000].min() > 1
+    rest = m.leaves.rest
+    full = [m.leaves.share(np.flatnonzero(rest == k)).sum() for k in range(int(rest.max()) + 1)]
+    assert max(full) < 1 + 1e-9
+    got = pitman_yor.unpack_triples(pitman_yor.pack_triples(v, w, u, count, word))
+    assert all((a == b).all() for a, b in zip(got, (v, w, u, count, word), strict=True))
+    many, low = np.array([3, 1, 40, 5]), np.array([0, 3, 10, 60])
+    drawn = m.leaves.chosen(low, np.array([3, 7, 50, 90]), many)
+    assert len(set(drawn.tolist())) == 49 and sorted(np.searchsorted(low, drawn, "right").tolist()) == np.repeat([1, 2, 3, 4], many).tolist()
+
+
+def test_language_model_over_many_blocks_and_classes(spark, docs, monkeypatch):
+    """Counts and base scores don't depend on the blocks; contexts of common words fall to several parents."""
+    from pyspark.sql import functions as F
+
+    whole = {str(r.doc_id): r for r in pitman_yor.scores(docs, ~quality.apart(F.col("doc_id"), 7, 2)).collect()}
+    monkeypatch.setattr(blocks, "BLOCK", 400)
+    monkeypatch.setattr(blocks, "BUCKET", 50)
+    monkeypatch.setattr(pitman_yor, "CLASS", 60)
+    monkeypatch.setattr(pitman_yor, "PARENT", 20)
+    split = {str(r.doc_id): r for r in pitman_yor.scores(docs, ~quality.apart(F.col("doc_id"), 7, 2)).collect()}
+    assert set(split) == set(whole)
+    for k, r in split.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[k].n_tokens, whole[k].n_known, whole[k].train_tokens) and abs(r.base_score - whole[k].base_score) < 1e-9
+        assert abs(r.score - whole[k].score) < 0.25 * abs(whole[k].score) + 20
 
 
 def test_language_model_prefers_what_it_has_seen(spark):
@@ -395,26 +508,3 @@ def test_language_model_without_training(spark):
     out = pitman_yor.scores(spark.createDataFrame([(1, "a b", "", "", 0), (2, None, "", "", 0)], SCHEMA), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in out) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
     assert pitman_yor.scores(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
-
-
-def test_stirling_numbers_and_seating():
-    d = 0.6
-    table = pitman_yor.stirling(d)
-    # S(3, 1) = (1 - d)(2 - d), S(3, 2) = 3 (1 - d), S(3, 3) = 1
-    assert np.allclose(np.exp(table[3, 1:4]), [(1 - d) * (2 - d), 3 * (1 - d), 1], rtol=1e-5)
-    c = np.full(40, 1000.0)
-    t = np.linspace(50, 900, 40).round()
-    far = pitman_yor.stirling_far(c, t, d)
-    near = table[1000, t.astype(int)].astype(float)
-    # the saddle point's error falls with the number of tables
-    error = np.abs((far - far[-1]) - (near - near[-1]))
-    assert error.max() < 0.1 and error[t >= 200].max() < 0.02
-    assert np.allclose(pitman_yor.lgamma(np.array([0.3, 1, 2, 7.5, 100])), [math.lgamma(x) for x in (0.3, 1, 2, 7.5, 100)], atol=1e-9)
-    # draws of a cell of two follow the closed form
-    random = np.random.Generator(np.random.PCG64(1))
-    n = 40_000
-    got = pitman_yor.seat(np.full(n, 2), np.ones(n), np.full(n, 3.0), np.full(n, 0.2), 1.0, d, random)
-    one, two = (1 - d) * (1 + d * 3) * 0.2, (1 + d * 3) * (1 + d * 4) * 0.04
-    assert abs((got == 2).mean() - two / (one + two)) < 0.01
-    big = pitman_yor.seat(np.array([5000, 2_000_000]), np.array([1, 1]), np.array([100.0, 1e5]), np.array([0.01, 0.5]), 1.0, d, random)
-    assert (big >= 1).all() and (big < [5000, 2_000_000]).all()

@@ -104,9 +104,9 @@ def make(docs: DataFrame, doc_id: str, text: str, marked: Column) -> DataFrame:
     return cut(rows.mapInArrow(run, "block long, ids array<long>, marked array<boolean>, offsets array<long>, text binary, words long"))
 
 
-def buckets(blocks: DataFrame) -> int:
-    """How many buckets hold the keys of these blocks, if all words were apart."""
-    return max(1, -(-(blocks.agg(F.sum("words")).collect()[0][0] or 0) // BUCKET))
+def buckets(blocks: DataFrame, most: int | None = None) -> int:
+    """How many buckets of ``most`` (BUCKET) keys hold those of these blocks, if all words were apart."""
+    return max(1, -(-(blocks.agg(F.sum("words")).collect()[0][0] or 0) // (most or BUCKET)))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

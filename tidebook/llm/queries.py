@@ -66,7 +66,7 @@ def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pitman_yor.scores(table(spark, sf_dir, "documents"), ~quality.apart(F.col("doc_id"), 7, 2))
-    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 QUERIES = {

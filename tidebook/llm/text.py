@@ -6,6 +6,8 @@ version. Every kernel works on an Arrow string column's own buffer: no Python st
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,17 +104,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word, the halves of its XXH3 of 128 bits, in the order of ``words``."""
+def distinct_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number, digests): the number of each word's distinct word, in the order of ``words``, and the two halves of each
+    distinct word's XXH3 of 128 bits. Words are told apart by their bytes."""
     raw = (FOLD[data] if fold else data).tobytes()
-    number: dict[bytes, int] = {}
-    which = [np.zeros(0, np.int64)]
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        found = raw[a:b].split()
-        which.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
-    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint64).reshape(-1, 2)
-    at = np.concatenate(which)
-    return digests[at, 0], digests[at, 1]
+    texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    found = b"\n".join(texts).split()
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+    return which, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint64).reshape(-1, 2)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, in the order of ``words``."""
+    which, digests = distinct_words(data, offsets, fold)
+    return digests[which, 0], digests[which, 1]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
