@@ -359,3 +359,204 @@ SELECT events, count(*) AS cells FROM c GROUP BY events UNION ALL SELECT 0, 14 *
     "quote_events": f"""WITH {chain()} SELECT order_id, segment::BIGINT AS segment, event_no AS k, CASE WHEN deleted THEN 'D' WHEN event_no = 1 THEN 'A' ELSE 'C' END AS type,
   CASE WHEN deleted THEN amount ELSE fill END::DOUBLE AS decrease FROM l3""",
 }
+
+
+QUOTES = f"""{chain()}, {levels(600)}, {BEST}, qt AS (
+  SELECT ts, bp::DOUBLE AS b, ap::DOUBLE AS a FROM best QUALIFY row_number() OVER (ORDER BY ts) = 1 OR bp IS DISTINCT FROM lag(bp) OVER (ORDER BY ts) OR ap IS DISTINCT FROM lag(ap) OVER (ORDER BY ts)
+), pp AS (
+  SELECT row_number() OVER (ORDER BY ts) AS n, epoch_us(ts) AS t, (b + a) / 2 AS p FROM qt WHERE b IS NOT NULL AND a IS NOT NULL
+)"""
+RETURNS = """SELECT 'venue0' AS exchange, 'AB' AS pair, p0 AS open_price, p1 AS close_price, t0 AS opened_at_us, t1 AS closed_at_us, round((p1 - p0) / p0 * 10000, 2) AS bps_return,
+  round(CASE WHEN t1 > t0 THEN exp(abs(ln(p1) - ln(p0)) / ((t1 - t0) / 1e6)) - 1 END, 12) AS rate, round(abs(ln(p1) - ln(p0)), 12) AS log_return FROM"""
+
+
+def draws(epsilon: float) -> str:
+    """CTEs after pp. draw: rises and falls, one row of the recursion per price."""
+    on = "tt = st AND tp = sp OR (p > tp) = (tp > sp)"
+    turned = f"p <> tp AND NOT ({on}) AND abs(ln(p) - ln(tp)) > {epsilon}"
+    return f"""dr AS (
+  SELECT n, t AS st, p AS sp, t AS tt, p AS tp, t AS lt, p AS lp, NULL::BIGINT AS t0, NULL::DOUBLE AS p0, NULL::BIGINT AS t1, NULL::DOUBLE AS p1 FROM pp WHERE n = 1
+  UNION ALL
+  SELECT pp.n, CASE WHEN {turned} THEN tt ELSE st END, CASE WHEN {turned} THEN tp ELSE sp END, CASE WHEN p <> tp AND ({on}) THEN t ELSE tt END, CASE WHEN p <> tp AND ({on}) THEN p ELSE tp END, t, p,
+    CASE WHEN {turned} THEN st END, CASE WHEN {turned} THEN sp END, CASE WHEN {turned} THEN tt END, CASE WHEN {turned} THEN tp END
+  FROM dr JOIN pp ON pp.n = dr.n + 1
+), draw AS (
+  SELECT t0, p0, t1, p1 FROM dr WHERE t0 IS NOT NULL UNION ALL SELECT st, sp, lt, lp FROM dr WHERE n = (SELECT max(n) FROM pp) AND (st, sp) <> (lt, lp)
+)"""
+
+
+def strategy(phi: float, rho: float) -> str:
+    """CTEs after pp. closed: positions, by the same transitions, one row of the recursion per price."""
+    cost = lambda a: f"{rho} * abs(t - {a}t) / 1e6"
+    up = lambda a: f"ln(p) - ln({a}p)"
+    down = lambda a: f"ln({a}p) - ln(p)"
+    both = 2 * phi
+    fields = ("l", "s", "x", "y")  # where a long or short one starts, and ends
+    raised, lowered = f"{down('s')} < {cost('s')}", f"{up('l')} < {cost('l')}"
+    return f"""sa AS (
+  SELECT n, t AS lt, p AS lp, t AS st, p AS sp, NULL::BIGINT AS xt, NULL::DOUBLE AS xp, NULL::BIGINT AS yt, NULL::DOUBLE AS yp, '' AS pos, NULL::BIGINT AS t0, NULL::DOUBLE AS p0, NULL::BIGINT AS t1, NULL::DOUBLE AS p1 FROM pp WHERE n = 1
+  UNION ALL
+  SELECT n, {", ".join(f"CASE WHEN {c} THEN t ELSE {f}t END, CASE WHEN {c} THEN p ELSE {f}p END" for f, c in zip(fields, ("step IN ('2', '4l', 'd2', 'd3', 'e1', 'll')  OR lows", "step IN ('1', 'd1', 'e2', 'e3') OR highs", "step IN ('1', 'd1', 'e2')", "step IN ('2', 'd2', 'e1')"), strict=True))},
+    CASE WHEN step IN ('1', 'e2') THEN 'long' WHEN step IN ('2', 'd2') THEN 'short' WHEN step IN ('d3', 'e3') THEN '' ELSE pos END,
+    CASE WHEN step IN ('d2', 'd3') THEN lt WHEN step IN ('e2', 'e3') THEN st END, CASE WHEN step IN ('d2', 'd3') THEN lp WHEN step IN ('e2', 'e3') THEN sp END,
+    CASE WHEN step IN ('d2', 'd3') THEN xt WHEN step IN ('e2', 'e3') THEN yt END, CASE WHEN step IN ('d2', 'd3') THEN xp WHEN step IN ('e2', 'e3') THEN yp END
+  FROM (
+    SELECT *, pos = '' AND step = '0' AND {lowered} OR pos = 'short' AND {lowered} AND step <> 'e1' AS lows, pos = '' AND step = '0' AND {raised} OR pos = 'long' AND {raised} AND step <> 'd1' AS highs FROM (
+      SELECT pp.n, pp.t, pp.p, sa.* EXCLUDE (n, t0, p0, t1, p1), CASE
+        WHEN pos = '' AND {up("l")} > {cost("l")} + {both} THEN '1' WHEN pos = '' AND {down("s")} > {cost("s")} + {both} THEN '2' WHEN pos = '' THEN '0'
+        WHEN pos = 'long' AND {up("x")} > {cost("x")} THEN 'd1' WHEN pos = 'long' AND NOT ({raised}) AND {down("s")} > {cost("s")} + {both} THEN 'd2' WHEN pos = 'long' AND {cost("x")} > {both} - ({down("x")}) THEN 'd3' WHEN pos = 'long' THEN 'd'
+        WHEN {down("y")} > {cost("y")} THEN 'e1' WHEN NOT ({lowered}) AND {up("l")} > {cost("l")} + {both} THEN 'e2' WHEN {cost("y")} > {both} - ({up("y")}) THEN 'e3' ELSE 'e' END AS step
+      FROM sa JOIN pp ON pp.n = sa.n + 1))
+), closed AS (
+  SELECT t0, p0, t1, p1 FROM sa WHERE t0 IS NOT NULL
+  UNION ALL SELECT CASE pos WHEN 'long' THEN lt ELSE st END, CASE pos WHEN 'long' THEN lp ELSE sp END, CASE pos WHEN 'long' THEN xt ELSE yt END, CASE pos WHEN 'long' THEN xp ELSE yp END FROM sa WHERE n = (SELECT max(n) FROM pp) AND pos <> ''
+)"""
+
+
+#: A row of the recursion per fill: the pending fills of both sides are lists.
+INFER = f"""WITH RECURSIVE {chain(crossed=True)}, fe AS (
+  SELECT row_number() OVER (ORDER BY ts, order_id, event_no) AS n, epoch_us(ts) AS us, order_id, event_no, side, price::DOUBLE AS price, fill::DOUBLE AS fill, epoch_us(price_ts) AS pu
+  FROM l3 WHERE fill > 0 OR (fill IS NULL AND NOT (event_no = 1 AND NOT deleted))
+), it AS (
+  SELECT 0::BIGINT AS n, []::STRUCT(price DOUBLE, us BIGINT, order_id BIGINT, event_no INT, fill DOUBLE, pu BIGINT)[] AS pb, []::STRUCT(price DOUBLE, us BIGINT, order_id BIGINT, event_no INT, fill DOUBLE, pu BIGINT)[] AS ps,
+    NULL::STRUCT(price DOUBLE, us BIGINT, order_id BIGINT, event_no INT, fill DOUBLE, pu BIGINT) AS hit
+  UNION ALL
+  SELECT n, CASE WHEN side = 'b' THEN CASE WHEN hit IS NULL THEN list_append(pb, me) ELSE pb END WHEN hit IS NULL THEN oth ELSE list_filter(oth, lambda x: x <> hit) END,
+    CASE WHEN side = 's' THEN CASE WHEN hit IS NULL THEN list_append(ps, me) ELSE ps END WHEN hit IS NULL THEN oth ELSE list_filter(oth, lambda x: x <> hit) END, hit
+  FROM (
+    SELECT *, CASE WHEN len(fits) = 0 THEN NULL WHEN side = 'b' THEN list_sort(fits)[1] ELSE list_sort(list_filter(fits, lambda x: x.price = list_max([y.price FOR y IN fits])))[1] END AS hit FROM (
+      SELECT *, list_filter(oth, lambda x: (CASE WHEN side = 'b' THEN price >= x.price ELSE price <= x.price END)
+        AND (fill IS NULL OR x.fill IS NULL OR abs(fill - x.fill) * (CASE WHEN (x.pu, x.order_id) <= (pu, order_id) THEN x.price ELSE price END) <= 1)) AS fits FROM (
+        SELECT fe.*, it.pb, it.ps, {{'price': fe.price, 'us': fe.us, 'order_id': fe.order_id, 'event_no': fe.event_no, 'fill': fe.fill, 'pu': fe.pu}} AS me,
+          list_filter(CASE WHEN fe.side = 'b' THEN it.ps ELSE it.pb END, lambda x: fe.us - x.us < 3600000000) AS oth FROM it JOIN fe ON fe.n = it.n + 1)))
+)
+SELECT 'venue0' AS exchange, 'AB' AS pair, CASE WHEN own THEN fe.price ELSE hit.price END AS price, coalesce(fe.fill, hit.fill) AS amount, CASE WHEN own THEN CASE fe.side WHEN 'b' THEN 's' ELSE 'b' END ELSE fe.side END AS side,
+  CASE WHEN fe.side = 'b' THEN fe.order_id ELSE hit.order_id END AS buy_order_id, CASE WHEN fe.side = 'b' THEN fe.event_no ELSE hit.event_no END AS buy_event_no,
+  CASE WHEN fe.side = 's' THEN fe.order_id ELSE hit.order_id END AS sell_order_id, CASE WHEN fe.side = 's' THEN fe.event_no ELSE hit.event_no END AS sell_event_no, fe.us AS ts_us
+FROM (SELECT it.n, it.hit, NOT ((it.hit.pu, it.hit.order_id) <= (fe.pu, fe.order_id)) AS own FROM it JOIN fe USING (n) WHERE it.hit IS NOT NULL) h JOIN fe USING (n)"""
+
+
+def days(crossed: bool = True) -> str:
+    """CTEs: od: orders that stand at the end of each day, dv: the volume of their levels."""
+    return f"""{chain(crossed=crossed)}, day AS (SELECT TIMESTAMP '2024-01-01' + to_days(d::INT) AS t FROM range(2, 30) r(d)), od AS (
+  SELECT t, l3.* FROM day JOIN l3 ON NOT deleted AND ts <= t AND (next_ts IS NULL OR next_ts > t)
+), dv AS (
+  SELECT t, side, price, sum(amount) AS volume FROM od GROUP BY ALL
+)"""
+
+
+def day_flags(strict: bool) -> str:
+    less, more = ("<", ">") if strict else ("<=", ">=")
+    rest = "FROM od o WHERE o.t = od.t AND o.amount > 0 AND"
+    return f"""df AS (
+  SELECT *, coalesce(CASE WHEN side = 'b' THEN price {less} (SELECT min(o.price) {rest} o.side = 's' AND (o.price_ts, o.ts) <= (od.price_ts, od.ts)) ELSE price {more} (SELECT max(o.price) {rest} o.side = 'b' AND (o.price_ts, o.ts) <= (od.price_ts, od.ts)) END, true) AS is_maker,
+    coalesce(CASE WHEN side = 'b' THEN price > (SELECT min(o.price) {rest} o.side = 's' AND (o.price_ts, o.ts) >= (od.price_ts, od.ts)) ELSE price < (SELECT max(o.price) {rest} o.side = 'b' AND (o.price_ts, o.ts) >= (od.price_ts, od.ts)) END, false) AS is_crossed FROM od
+)"""
+
+
+DAY_SPREAD = """ds AS (
+  SELECT t, max(price) FILTER (side = 'b') AS bp, arg_max(volume, price) FILTER (side = 'b') AS bv, min(price) FILTER (side = 's') AS ap, arg_min(volume, price) FILTER (side = 's') AS av FROM day LEFT JOIN dv USING (t) GROUP BY t
+)"""
+SHAKEN = "sh AS (SELECT order_id, event_no, ts + to_microseconds(CASE WHEN seq % 3 = 0 THEN (seq % 7) * 20000000000 ELSE 0 END::BIGINT) AS ts, fill, price_ts, seq FROM l3 WHERE segment = 0)"
+TWO_BOOKS = f"""a AS (SELECT side, price, sum(amount) AS v FROM l3 WHERE NOT deleted AND ts <= {START} AND (next_ts IS NULL OR next_ts > {START}) GROUP BY ALL),
+b AS (SELECT side, price, sum(amount) AS v FROM l3 WHERE NOT deleted AND ts <= {MIDDLE} AND (next_ts IS NULL OR next_ts > {MIDDLE}) GROUP BY ALL)"""
+
+ORACLES |= {
+    "trading_strategy": f"WITH RECURSIVE {QUOTES}, {strategy(0.0005, 1e-10)} {RETURNS} closed",
+    "epsilon_drawupdowns": f"WITH RECURSIVE {QUOTES}, {draws(0.002)} {RETURNS} draw",
+    "infer_trades": INFER,
+    "top_spikes": f"WITH RECURSIVE {QUOTES}, {draws(0.001)}, ret AS ({RETURNS} draw) SELECT * FROM ret ORDER BY abs(bps_return) DESC, opened_at_us LIMIT 10",
+    "position_trellis": f"""WITH RECURSIVE {QUOTES}, {draws(0.002)} SELECT 'venue0' AS exchange, 'AB' AS pair, t0 AS opened_at_us, t1 AS closed_at_us, epoch_us(ts) AS ts_us, round(ln(b / p0), 12) AS log_bid, round(ln(a / p0), 12) AS log_ask
+FROM draw JOIN qt ON epoch_us(ts) BETWEEN t0 - 600000000 AND t1 + 600000000""",
+    "depth_difference": f"WITH {chain()}, {TWO_BOOKS} SELECT {side()} AS side, price::DOUBLE AS price, coalesce(b.v, 0)::DOUBLE AS volume FROM a FULL JOIN b USING (side, price) WHERE a.v IS DISTINCT FROM b.v",
+    "depth_applied": f"WITH {chain()}, {TWO_BOOKS} SELECT {side()} AS side, price::DOUBLE AS price, v::DOUBLE AS volume FROM b",
+    "takers_checked": f"{standing(MIDDLE)}{FLAGS} SELECT order_id, is_maker, is_crossed FROM f",
+    "starting_spread": f"""{standing(MIDDLE, True, ERAS)}, v AS (SELECT side, price, sum(amount) AS volume FROM ob GROUP BY ALL) SELECT epoch_us({MIDDLE}) AS ts_us, max(price) FILTER (side = 'b')::DOUBLE AS best_bid_price,
+  arg_max(volume, price) FILTER (side = 'b')::DOUBLE AS best_bid_volume, min(price) FILTER (side = 's')::DOUBLE AS best_ask_price, arg_min(volume, price) FILTER (side = 's')::DOUBLE AS best_ask_volume FROM v""",
+    "spread_by_episode": f"""WITH {days()}, {DAY_SPREAD} SELECT epoch_us(t) AS ts_us, bp::DOUBLE AS best_bid_price, bv::DOUBLE AS best_bid_volume, ap::DOUBLE AS best_ask_price, av::DOUBLE AS best_ask_volume
+FROM ds QUALIFY row_number() OVER (ORDER BY t) = 1 OR (bp, bv, ap, av) IS DISTINCT FROM lag((bp, bv, ap, av)) OVER (ORDER BY t)""",
+    "books_by_episode": f"""WITH {days()}, {day_flags(False)} SELECT epoch_us(t) AS episode_us, (row_number() OVER (PARTITION BY t ORDER BY price, ts, order_id, event_no) - 1)::INT AS place, order_id, event_no, side, price::DOUBLE AS price,
+  amount::DOUBLE AS amount, is_maker, is_crossed FROM df""",
+    "maker_depth": f"WITH {days()}, {day_flags(True)} SELECT epoch_us(t) AS ts_us, {side()} AS side, price::DOUBLE AS price, sum(amount)::DOUBLE AS volume FROM df WHERE is_maker GROUP BY ALL",
+    "depth_summary_range": f"""WITH {chain()}, {levels(3600)}, tk AS (SELECT DISTINCT ts AS t FROM chg WHERE ts >= {START} AND ts <= {MIDDLE}), bk AS (
+  SELECT t, side, price, volume FROM tk JOIN lv ON ts <= t AND (until IS NULL OR until > t) AND volume > 0
+), w AS (SELECT *, CASE WHEN side = 'b' THEN max(price) OVER (PARTITION BY t, side) ELSE min(price) OVER (PARTITION BY t, side) END AS best FROM bk
+), x AS (SELECT *, (ceil(abs(price - best)::DOUBLE / best::DOUBLE * 10000 / 100 - 1e-9) * 100)::INT AS bps FROM w)
+SELECT epoch_us(t) AS ts_us, {side()} AS side, bps AS bps_level, round(any_value(best)::DOUBLE * (1 + CASE WHEN side = 'b' THEN -1 ELSE 1 END * bps / 10000.0::DOUBLE), 2) AS price, sum(volume)::DOUBLE AS volume FROM x WHERE bps <= 1000 GROUP BY t, side, bps""",
+    "spread_range": f"""WITH {chain(eras=ERAS)}, {levels()}, nx AS (SELECT era, lead(era) OVER (ORDER BY era) AS n FROM (SELECT DISTINCT era FROM l3)), al AS (
+  SELECT lv.side, lv.price, lv.volume, lv.ts, least(lv.until, n - INTERVAL 1 MICROSECOND) AS until FROM lv JOIN nx USING (era) WHERE volume > 0
+), tk AS (SELECT DISTINCT ts FROM (SELECT ts FROM lv UNION ALL SELECT until FROM al WHERE until IS NOT NULL)), sp AS (
+  SELECT tk.ts, max(price) FILTER (side = 'b') AS bp, arg_max(volume, price) FILTER (side = 'b') AS bv, min(price) FILTER (side = 's') AS ap, arg_min(volume, price) FILTER (side = 's') AS av
+  FROM tk LEFT JOIN al ON al.ts <= tk.ts AND (al.until IS NULL OR al.until > tk.ts) GROUP BY tk.ts
+), ch AS (SELECT * FROM sp QUALIFY row_number() OVER (ORDER BY ts) = 1 OR (bp, bv, ap, av) IS DISTINCT FROM lag((bp, bv, ap, av)) OVER (ORDER BY ts))
+SELECT epoch_us(ts) AS ts_us, bp::DOUBLE AS best_bid_price, bv::DOUBLE AS best_bid_volume, ap::DOUBLE AS best_ask_price, av::DOUBLE AS best_ask_volume FROM ch WHERE ts >= {START} AND ts < {END}""",
+    "depth_range_multi_era": f"""WITH {chain(eras=ERAS)}, {levels()}, nx AS (SELECT era, lead(era) OVER (ORDER BY era) AS n FROM (SELECT DISTINCT era FROM l3))
+{CHANGES} (SELECT {START} AS ts, side, price, sum(amount) AS volume FROM l3 WHERE NOT deleted AND ts < {START} AND (next_ts IS NULL OR next_ts >= {START}) AND era = (SELECT max(era) FROM l3 WHERE era <= {START}) GROUP BY side, price
+  UNION ALL SELECT ts, side, price, volume FROM chg WHERE ts >= {START} AND ts < {END}
+  UNION ALL SELECT n - INTERVAL 1 MICROSECOND, side, price, 0 FROM lv JOIN nx USING (era) WHERE until IS NULL AND volume > 0 AND n > {START} AND n <= {END})""",
+    "depth_at_emptied_era": "SELECT 'bid' AS side, 0.0::DOUBLE AS price, 0.0::DOUBLE AS volume FROM events WHERE false",
+    "depth_window": f"WITH {chain()}, {levels()} {CHANGES} chg WHERE price BETWEEN 900 AND 1100 AND (volume BETWEEN 2 AND 20 OR volume = 0)",
+    "match_sequential": f"""WITH {chain()}, {FILLS}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event) AS n FROM fills), pr AS (
+  SELECT a.n, a.price, a.fill AS amount, a.event AS e1, a.order_id AS o1, a.fill AS f1, b.event AS e2, b.order_id AS o2, b.fill AS f2 FROM o a JOIN o b ON b.n = a.n + 1
+), t AS (
+  SELECT e1 AS trade, price, amount, CASE WHEN e1 % 2 = 0 THEN o1 ELSE o2 END AS bo, CASE WHEN e1 % 2 = 0 THEN o2 ELSE o1 END AS so FROM pr WHERE n % 2 = 0
+), w AS (
+  SELECT e1 AS be, o1 AS bo, f1 AS bf, e2 AS se, o2 AS so, f2 AS sf FROM pr UNION ALL SELECT e2, o2, f2, e1, o1, f1 FROM pr
+), m AS (
+  SELECT trade, be, se, CASE WHEN bf = amount THEN 0 WHEN abs(bf * price - amount * price) < 1e-4 THEN 1 END AS br, CASE WHEN sf = amount THEN 0 WHEN abs(sf * price - amount * price) < 1e-4 THEN 1 END AS sr FROM t JOIN w USING (bo, so)
+), r AS (SELECT * FROM m WHERE br IS NOT NULL AND sr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade ORDER BY be, se) = 1)
+SELECT trade, be AS buy_event, se AS sell_event, br AS buy_rule, sr AS sell_rule FROM r QUALIFY row_number() OVER (PARTITION BY be ORDER BY trade) = 1 AND row_number() OVER (PARTITION BY se ORDER BY trade) = 1""",
+    "match_rules": f"""WITH {chain()}, x AS (
+  SELECT seq, price, amount, coalesce(fill, amount) + CASE seq % 3 WHEN 0 THEN 0.00000001 WHEN 1 THEN 0 ELSE 1 END AS ta, CASE WHEN seq % 5 <> 0 THEN fill END AS f, CASE WHEN deleted THEN 'deleted' WHEN event_no = 1 THEN 'created' ELSE 'changed' END AS e FROM l3
+)
+SELECT seq, CASE WHEN f = ta THEN 0 WHEN abs(f * price - ta * price) < 1e-4 THEN 1 WHEN f IS NULL AND e = 'deleted' AND abs(amount - ta) < 1e-4 THEN 2 WHEN f IS NULL AND e = 'changed' THEN 3 END AS rule FROM x""",
+    "remaining_fill": f"WITH {chain()}, {FILLS} SELECT event, fill::DOUBLE AS fill, (fill - CASE WHEN event % 2 = 0 THEN (fill / 4)::DECIMAL(18,8) + (fill / 2)::DECIMAL(18,8) ELSE 0 END)::DOUBLE AS \"left\" FROM fills",
+    "coupling_candidates": f"""WITH {chain()}, {levels()}, dl AS (SELECT ts, side, price, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM chg), t AS (
+  SELECT seq AS trade, epoch_us(ts) - (seq % 4) * 400000 AS u, price, fill, side FROM l3 WHERE fill > 0
+)
+SELECT trade, count(*) FILTER (abs(epoch_us(dl.ts) - u) <= 1000000 AND -delta >= fill) AS candidates FROM t LEFT JOIN dl ON dl.side = t.side AND dl.price = t.price AND delta < 0 GROUP BY trade""",
+    "monotone_times": f"WITH {chain()}, {SHAKEN} SELECT order_id, event_no, epoch_us(max(ts) OVER (PARTITION BY order_id ORDER BY event_no)) AS ts_us FROM sh",
+    "aggressor_first": f"WITH {chain()}, {SHAKEN} SELECT order_id, event_no, epoch_us(min(ts) OVER (PARTITION BY order_id ORDER BY event_no DESC)) AS ts_us FROM sh",
+    "times_in_order": f"""WITH RECURSIVE {chain()}, {SHAKEN}, nb AS (
+  SELECT order_id, event_no, ts, coalesce(fill > 0, true) OR event_no = 1 AS can, row_number() OVER (PARTITION BY order_id ORDER BY event_no DESC) AS k FROM sh
+), bk AS (
+  SELECT order_id, event_no, k, ts FROM nb WHERE k = 1 UNION ALL SELECT nb.order_id, nb.event_no, nb.k, CASE WHEN can THEN least(nb.ts, bk.ts) ELSE nb.ts END FROM bk JOIN nb ON nb.order_id = bk.order_id AND nb.k = bk.k + 1
+)
+SELECT order_id, event_no, epoch_us(max(ts) OVER (PARTITION BY order_id ORDER BY event_no)) AS ts_us FROM bk""",
+    "revealed_episodes": f"""WITH {chain()}, {SHAKEN}, m AS (SELECT a.seq AS x, b.seq AS y, greatest(a.price_ts, b.price_ts) AS t FROM sh a JOIN sh b ON b.seq = a.seq + 1 WHERE a.seq % 5 = 0)
+SELECT seq AS event, epoch_us(coalesce((SELECT min(t) FROM m WHERE x = seq OR y = seq), ts)) AS ts_us FROM sh""",
+    "synthetic_creations": f"""WITH {chain()}, ra AS (
+  SELECT ts, seq::DECIMAL(21,1) AS seq, order_id, price, deleted, CASE WHEN deleted THEN 'deleted' WHEN seq % 4 = 0 THEN 'created' ELSE 'changed' END AS event, coalesce(lag(deleted) OVER (PARTITION BY order_id ORDER BY ts, seq), true) AS starts FROM raw
+), un AS (
+  SELECT ts, seq, order_id, price, deleted FROM ra UNION ALL SELECT ts, seq - 0.5, order_id, price, false FROM ra WHERE starts AND event <> 'created'
+), sg AS (
+  SELECT *, coalesce(sum(deleted::INT) OVER (PARTITION BY order_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM un
+)
+SELECT order_id, segment::BIGINT AS segment, (row_number() OVER w)::INT AS event_no, CASE WHEN deleted THEN 'deleted' WHEN lead(seq) OVER w IS NOT NULL THEN 'superseded' ELSE 'open' END AS status,
+  (CASE WHEN deleted THEN lag(price) OVER w ELSE price END)::DOUBLE AS price, seq::DOUBLE AS seq FROM sg WINDOW w AS (PARTITION BY order_id, segment ORDER BY ts, seq)""",
+    "transferred_chains": f"WITH {chain()} SELECT order_id, segment::BIGINT AS segment, event_no, epoch_us(ts) AS ts_us FROM l3 WHERE EXISTS (SELECT 1 FROM l3 d WHERE d.order_id = l3.order_id AND d.segment = l3.segment AND d.deleted AND d.ts <= {MIDDLE})",
+    "deleted_events": f"""WITH {chain()}, g AS (SELECT order_id, segment, min(event_no) AS c FROM l3 WHERE seq % 97 = 0 GROUP BY ALL)
+SELECT seq, order_id, event_no, CASE WHEN event_no = c - 1 THEN 'open' ELSE status END AS status, CASE WHEN event_no = c - 1 THEN NULL ELSE epoch_us(next_ts) END AS next_ts_us, CASE WHEN event_no = c - 1 THEN NULL ELSE next_event_no END AS next_event_no
+FROM l3 LEFT JOIN g USING (order_id, segment) WHERE c IS NULL OR event_no < c""",
+    "reconnected_chains": f"WITH {chain()} SELECT seq, status, epoch_us(next_ts) AS next_ts_us, next_event_no FROM l3 WHERE segment = 0",
+    "duplicates_fixed": f"WITH {chain()} SELECT seq, order_id, event_no, status FROM l3 WHERE segment = 0 AND NOT (order_id % 3 = 0 AND event_no = 1 AND status = 'open')",
+    "queues_log": QUEUE.replace("(ask - price) / 25", "(ln(ask) - ln(price)) / 0.01").replace("(price - bid) / 25", "(ln(price) - ln(bid)) / 0.01"),
+    "rate_fit": f"""{PLACED}, rt AS (SELECT kind, ceil(distance::DOUBLE / 25 - 1e-9)::INT AS ticks, count(*) / (29 * 86400.0) AS rate FROM placed GROUP BY ALL)
+SELECT kind, round(regr_slope(ln(rate), ln(ticks)), 6) AS slope, round(regr_intercept(ln(rate), ln(ticks)), 6) AS intercept FROM rt WHERE ticks > 0 GROUP BY kind""",
+    "raw_book_eras": f"""WITH {chain()}, rw AS (
+  SELECT ts, seq, order_id, CASE WHEN deleted THEN 0 ELSE price END AS price, CASE WHEN side = 'b' THEN amount ELSE -amount END AS amount, seq % 100 = 0 AS snap FROM raw WHERE ts >= {START} AND ts < {END}
+), ep AS (
+  SELECT ts, bool_or(snap) AS snap, lag(ts) OVER (ORDER BY ts) AS before FROM rw GROUP BY ts
+), er AS (
+  SELECT *, snap AND (before IS NULL OR epoch_us(ts) - epoch_us(before) > 180000000) AS opens FROM ep
+), ee AS (
+  SELECT ts, snap AND NOT opens AS goes_on, (SELECT max(x.ts) FROM er x WHERE x.opens AND x.ts <= er.ts) AS era FROM er
+), rr AS (
+  SELECT rw.*, ee.era, ee.goes_on FROM rw JOIN ee USING (ts) WHERE ee.era IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rw.ts, order_id ORDER BY seq DESC) = 1
+), st AS (
+  SELECT *, lag(price) OVER w AS lp, lag(amount) OVER w AS la, lead(ts) OVER w AS nt FROM rr WINDOW w AS (PARTITION BY era, order_id ORDER BY ts)
+)
+SELECT epoch_us(era) AS era_us, epoch_us(ts) AS ts_us, order_id, price::DOUBLE AS price, amount::DOUBLE AS amount FROM st WHERE NOT (goes_on AND snap AND coalesce(lp = price AND la = amount, false))
+UNION ALL SELECT epoch_us(st.era), epoch_us(g.ts), order_id, 0, sign(amount)::DOUBLE FROM st JOIN (SELECT ts, era FROM ee WHERE goes_on) g ON g.era = st.era AND g.ts > st.ts AND (st.nt IS NULL OR g.ts < st.nt)
+  WHERE price > 0 AND g.ts = (SELECT min(x.ts) FROM ee x WHERE x.goes_on AND x.era = st.era AND x.ts > st.ts)""",
+}

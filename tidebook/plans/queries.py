@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import grid as G
-from tidebook.operators import analysis, book, chains, depth, events, matching, repair, replay
+from tidebook.operators import analysis, book, chains, depth, episodes, events, matching, repair, replay
 from tidebook.plans.session import cut
 from tidebook.sources import adapters as A
 from tidebook.sources.adapters import instant
@@ -181,12 +181,16 @@ def _quotes(spark, d):
     return replay.trading_period(_changes(spark, d, 600))
 
 
+def _positions(rows):
+    return shown(rows.withColumn("rate", F.round("rate", 12)).withColumn("log_return", F.round("log_return", 12)))
+
+
 def trading_strategy(spark, d):
-    return shown(replay.trading_strategy(_quotes(spark, d), 0.0005, 1e-10, mode="mid-price"))
+    return _positions(replay.trading_strategy(_quotes(spark, d), 0.0005, 1e-10, mode="mid-price"))
 
 
 def epsilon_drawupdowns(spark, d):
-    return shown(replay.drawupdowns(_quotes(spark, d), 0.002))
+    return _positions(replay.drawupdowns(_quotes(spark, d), 0.002))
 
 
 def events_classified(spark, d):
@@ -327,7 +331,7 @@ def range_by_interval(spark, d):
 
 
 def top_spikes(spark, d):
-    return shown(analysis.top_spikes(replay.drawupdowns(_quotes(spark, d), 0.001), 10))
+    return _positions(analysis.top_spikes(replay.drawupdowns(_quotes(spark, d), 0.001), 10))
 
 
 def takers_levels(spark, d):
@@ -364,7 +368,195 @@ def quote_events(spark, d):
 
 def position_trellis(spark, d):
     q = _quotes(spark, d)
-    return shown(analysis.position_trellis(replay.drawupdowns(q, 0.002), q, 600))
+    rows = analysis.position_trellis(replay.drawupdowns(q, 0.002), q, 600)
+    return shown(rows.withColumn("log_bid", F.round("log_bid", 12)).withColumn("log_ask", F.round("log_ask", 12)))
+
+
+def _levels_at(spark, d, when, **options):
+    return labelled(depth.at(level3(spark, d, **options), instant(when))).drop("exchange", "pair", "era")
+
+
+def depth_difference(spark, d):
+    return shown(depth.difference(_levels_at(spark, d, START), _levels_at(spark, d, MIDDLE)), "side", "price", "volume")
+
+
+def depth_applied(spark, d):
+    before, after = _levels_at(spark, d, START), _levels_at(spark, d, MIDDLE)
+    return shown(depth.apply_changes(before, depth.difference(before, after)), "side", "price", "volume")
+
+
+def takers_checked(spark, d):
+    return shown(book.check_takers(book.with_flags(book.snapshot(level3(spark, d), instant(MIDDLE)))), "order_id", "is_maker", "is_crossed")
+
+
+def starting_spread(spark, d):
+    rows = depth.starting_spread(level3(spark, d, eras=A.ERAS), instant(MIDDLE))
+    return shown(rows, "ts", "best_bid_price", "best_bid_volume", "best_ask_price", "best_ask_volume")
+
+
+def _days(spark, era=None):
+    days = spark.range(2, 30).select(F.lit("venue0").alias("exchange"), F.lit("AB").alias("pair"), F.timestamp_micros(F.unix_micros(instant("2024-01-01")) + F.col("id") * 86_400_000_000).alias("at"))
+    return days.withColumn("era", instant(A.ERAS[0]))
+
+
+def spread_by_episode(spark, d):
+    rows = episodes.spread_by_episode(level3(spark, d, crossed=True), _days(spark))
+    return shown(rows, "ts", "best_bid_price", "best_bid_volume", "best_ask_price", "best_ask_volume")
+
+
+def books_by_episode(spark, d):
+    rows = episodes.order_book_by_episode(level3(spark, d, crossed=True), _days(spark))
+    rows = rows.select(F.col("ts").alias("episode"), F.posexplode("orders").alias("place", "o")).select("episode", "place", "o.*")
+    return shown(rows, "episode", "place", "order_id", "event_no", "side", "price", "amount", "is_maker", "is_crossed")
+
+
+def maker_depth(spark, d):
+    return shown(episodes.maker_depth(level3(spark, d, crossed=True), _days(spark)), "ts", "side", "price", "volume")
+
+
+def depth_summary_range(spark, d):
+    rows = replay.changes_from(level3(spark, d), instant(START), instant(MIDDLE), 3600)
+    bands = depth.last_per_instant(depth.summary_by_episode(rows, 100, 1000))
+    return shown(bands.where(F.col("ts") >= instant(START)), "ts", "side", "bps_level", "price", "volume")
+
+
+def spread_range(spark, d):
+    rows = replay.spread_between(stored_level3(spark, d, eras=A.ERAS), instant(START), instant(END))
+    return shown(rows, "ts", "best_bid_price", "best_bid_volume", "best_ask_price", "best_ask_volume")
+
+
+def depth_range_multi_era(spark, d):
+    return shown(depth.depth(stored_level3(spark, d, eras=A.ERAS), instant(START), instant(END)), "ts", "side", "price", "volume")
+
+
+def depth_at_emptied_era(spark, d):
+    """An era whose only order is deleted again has no book, though the era before leaves orders open."""
+    raw = A.raw_orders(spark, d)
+    late = raw.where("not deleted").limit(1).withColumn("order_id", F.lit(-1).cast("long")).withColumn("era", instant(END)).withColumn("ts", instant("2024-02-10"))
+    gone = late.withColumn("ts", instant("2024-02-11")).withColumn("deleted", F.lit(True)).withColumn("seq", F.col("seq") + 1)
+    l3 = chains.build(raw.unionByName(late).unionByName(gone))
+    return shown(labelled(depth.at(l3, instant("2024-02-12"))), "side", "price", "volume")
+
+
+def depth_window(spark, d):
+    rows = depth.in_window(depth.changes(level3(spark, d)), (900, 1100), (2, 20))
+    return shown(labelled(rows), "ts", "side", "price", "volume")
+
+
+def _chained_fills(spark, d):
+    return _fills(spark, d).select("exchange", "pair", "event", "ts", "order_id", "amount", "fill", F.lit("changed").alias("action"), "price")
+
+
+def _chained_trades(rows):
+    numbered = matching.numbered(rows, "n", "ts", "event")
+    then = numbered.select((F.col("n") - 1).alias("n"), F.col("order_id").alias("_then"))
+    met = numbered.join(then, "n").where("n % 2 = 0")
+    up = F.col("event") % 2 == 0
+    return met.select(
+        "exchange", "pair", F.col("event").alias("trade"), "price", F.col("fill").alias("amount"),
+        F.when(up, F.col("order_id")).otherwise(F.col("_then")).alias("buy_order_id"), F.when(up, F.col("_then")).otherwise(F.col("order_id")).alias("sell_order_id"),
+    )
+
+
+def match_sequential(spark, d):
+    rows = cut(_chained_fills(spark, d))
+    return matching.sequential(_chained_trades(rows), rows.drop("price"), 1e-4)
+
+
+def match_rules(spark, d):
+    rows = level3(spark, d)
+    amount = F.coalesce("fill", "amount") + F.when(F.col("seq") % 3 == 0, F.lit("0.00000001").cast("decimal(28,8)")).when(F.col("seq") % 3 == 1, F.lit(0)).otherwise(F.lit(1))
+    event = F.when(F.col("deleted"), "deleted").when(F.col("event_no") == 1, "created").otherwise("changed")
+    fill = F.when(F.col("seq") % 5 != 0, F.col("fill"))
+    return rows.select("seq", G.match_rule(amount, F.col("price"), F.col("amount"), fill, event, 1e-4).alias("rule"))
+
+
+def remaining_fill(spark, d):
+    rows = _fills(spark, d).select("event", "fill")
+    used = rows.where("event % 2 = 0").select("event", F.explode(F.array((F.col("fill") / 4).cast("decimal(28,8)"), (F.col("fill") / 2).cast("decimal(28,8)"))).alias("amount"))
+    return shown(matching.remaining_fill(rows, used), "event", "fill", "left")
+
+
+def coupling_candidates(spark, d):
+    l3 = stored_level3(spark, d)
+    changes = depth.signed_changes(labelled(depth.changes(l3)))
+    rows = l3.where("fill > 0")
+    late = F.timestamp_micros(F.unix_micros("ts") - (F.col("seq") % 4) * 400_000)
+    t = rows.select("exchange", "pair", F.col("seq").alias("trade"), late.alias("ts"), "price", F.col("fill").alias("amount"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"))
+    return matching.coupling(changes, t)
+
+
+def _shaken(spark, d):
+    """Events of first lives whose times are out of order here and there."""
+    rows = level3(spark, d).where("segment = 0")
+    move = F.when(F.col("seq") % 3 == 0, F.col("seq") % 7 * 20_000_000_000).otherwise(0)
+    return rows.select("order_id", "event_no", F.timestamp_micros(F.unix_micros("ts") + move).alias("ts"), "fill", "price_ts", "seq")
+
+
+def monotone_times(spark, d):
+    return shown(repair.monotone(_shaken(spark, d)), "order_id", "event_no", "ts")
+
+
+def aggressor_first(spark, d):
+    return shown(repair.aggressor_first(_shaken(spark, d)), "order_id", "event_no", "ts")
+
+
+def times_in_order(spark, d):
+    return shown(repair.in_order(_shaken(spark, d).withColumn("matched", F.lit(False))), "order_id", "event_no", "ts")
+
+
+def revealed_episodes(spark, d):
+    rows = cut(_shaken(spark, d).withColumn("event", F.col("seq")))
+    m = rows.where("seq % 5 = 0").select(F.col("seq").alias("buy_event")).join(rows.where("seq % 5 = 1").select(F.col("seq").alias("sell_event")), F.expr("sell_event = buy_event + 1"))
+    return shown(repair.reveal_episodes(rows, m), "event", "ts")
+
+
+def synthetic_creations(spark, d):
+    raw = A.raw_orders(spark, d)
+    raw = raw.withColumn("event", F.when(F.col("deleted"), "deleted").when(F.col("seq") % 4 == 0, "created").otherwise("changed"))
+    return shown(chains.build(chains.with_creations(raw)), "order_id", "segment", "event_no", "status", "price", "seq")
+
+
+def transferred_chains(spark, d):
+    return shown(repair.finished(level3(spark, d), instant(MIDDLE)), "order_id", "segment", "event_no", "ts")
+
+
+def deleted_events(spark, d):
+    l3 = stored_level3(spark, d)
+    return shown(repair.delete_events(l3, l3.where("seq % 97 = 0")), "seq", "order_id", "event_no", "status", "next_ts", "next_event_no")
+
+
+def reconnected_chains(spark, d):
+    l3 = level3(spark, d).where("segment = 0")
+    lost = (F.col("seq") % 13 == 0) & (F.col("status") == "superseded")
+    l3 = cut(l3.withColumn("next_ts", F.when(~lost, F.col("next_ts"))).withColumn("next_event_no", F.when(~lost, F.col("next_event_no"))).withColumn("status", F.when(lost, "open").otherwise(F.col("status"))))
+    return shown(repair.fix_eternals(l3), "seq", "status", "next_ts", "next_event_no")
+
+
+def duplicates_fixed(spark, d):
+    l3 = level3(spark, d).where("segment = 0")
+    again = l3.where("event_no = 1 and order_id % 3 = 0").withColumn("status", F.lit("open")).withColumn("seq", -F.col("seq"))
+    return repair.fix_duplicate_events(l3.unionByName(again)).select("seq", "order_id", "event_no", "status")
+
+
+def queues_log(spark, d):
+    q = replay.queues(_changes(spark, d, 86400), 0.01, 1, 4, log=True)
+    return q.select(F.unix_micros("ts").alias("ts_us"), *(F.col(s)[i].alias(f"{s}{i + 1}") for s in "ba" for i in range(4)))
+
+
+def rate_fit(spark, d):
+    rates = analysis.arrival_rates(_placed(spark, d), 25.0, F.lit(29 * 86400.0))
+    return analysis.rate_fit(rates).select("kind", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+def raw_book_eras(spark, d):
+    """Orders of the second week as raw book rows, with snapshots of what is there at some instants: a near one and a far one."""
+    raw = A.raw_orders(spark, d).where((F.col("ts") >= instant(START)) & (F.col("ts") < instant(END)))
+    sign = F.when(F.col("side") == "b", F.col("amount")).otherwise(-F.col("amount"))
+    rows = raw.select("exchange", "pair", "ts", "seq", "order_id", F.when(F.col("deleted"), 0).otherwise(F.col("price")).cast("decimal(18,8)").alias("price"), sign.cast("decimal(28,8)").alias("amount"), (F.col("seq") % 100 == 0).alias("snapshot"))
+    from tidebook.sources import messages
+
+    return shown(messages.bitfinex_eras(rows, 180.0), "era", "ts", "order_id", "price", "amount")
 
 
 QUERIES = {
@@ -376,5 +568,8 @@ QUERIES = {
         export_events, trades, market_orders, crossed_books, match_exact_fill, match_sum_of_fill, infer_trades, dup_order_events, invalid_chains, eternal_orders, merge_episodes,
         missing_fill_backprop, session_eras, late_reassign, reincarnation_numbering, order_book_diff, asof_last_spread, power_law_volume, power_law_returns, lead_lag_corr, jump_test,
         range_by_interval, top_spikes, takers_levels, limit_placements, arrival_rate_by_distance, placements_histogram, queue_profile, quote_events, position_trellis,
+        depth_difference, depth_applied, takers_checked, starting_spread, spread_by_episode, books_by_episode, maker_depth, depth_summary_range, spread_range, depth_range_multi_era, depth_at_emptied_era,
+        depth_window, match_sequential, match_rules, remaining_fill, coupling_candidates, monotone_times, aggressor_first, times_in_order, revealed_episodes, synthetic_creations, transferred_chains,
+        deleted_events, reconnected_chains, duplicates_fixed, queues_log, rate_fit, raw_book_eras,
     )
 }
