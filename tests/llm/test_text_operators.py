@@ -456,7 +456,7 @@ def test_seating_keeps_its_books():
     count = r.choice([0, 1, 2, 3, 7, 5000], len(v), p=[0.2, 0.4, 0.2, 0.1, 0.09, 0.01])
     word = np.unique(w)
     m = pitman_yor.Model(v, w, u, count, word, np.full(len(word), 1 / (len(word) + 1)), 1.0, r)
-    m.leaves.add(np.arange(len(v)), count)
+    m.leaves.open(count)
     for _ in range(4):
         for level in (m.leaves, m.middle, m.root):
             level.sweep(3, 4)
