@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.plans.session import cut
 
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster") and not named:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidebook-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder: what reads it survives lost executors and never runs df's plan again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["components", "cut", "release"]
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files and checkpoints of frames that nothing refers to any more."""
+    """Lets Spark drop the shuffle files of frames that nothing refers to any more, before the next step writes its own.
+
+    Checkpoints stay until the folder is emptied, or Spark drops them too where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

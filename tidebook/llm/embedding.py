@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.cluster import components, cut
-from tidebook.llm.hot import Forest, in_bounded_groups
+from tidebook.llm.hot import Forest, dealt_join, in_bounded_groups
 from tidebook.llm.text import mix
 
 #: Rows of one comparison group.
 GROUP = 2048
+#: Rows of one vector in a task.
+MOST = 100_000
 #: Width of a quantised projection of unit vectors, and how many rows of a label an average bucket should hold.
 WIDTH, CROWD = 2.0, 32
 #: Bits by which a projection of that width tells random vectors apart: the entropy of floor(z / 2 + u), z normal, u uniform.
@@ -192,7 +194,8 @@ def near_duplicates(
     reps = reps.join(joined, reps.rep == joined.node, "left").withColumn("root", F.coalesce("component", "rep"))
     lowest = reps.groupBy("root").agg(F.min("low").alias("component_id"))
     of = reps.join(links, reps.rep == links.a, "left").join(lowest, "root")
-    of = of.select(F.col("label").alias("_label"), F.col("x").alias("_x"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = live.join(of, (F.col("label") == F.col("_label")) & (F.col("x") == F.col("_x"))).select("vec_id", "n_links", "component_id")
+    common = reps.where(F.col("copies") > MOST).select("label", "x", F.col("copies").alias("rows"))
+    of = of.select("label", "x", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = dealt_join(live, of, ["label", "x"], F.monotonically_increasing_id(), common, MOST).select("vec_id", "n_links", "component_id")
     alone = rows.where("label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidebook.llm import text as X
 from tidebook.llm.cluster import components, cut
-from tidebook.llm.hot import Forest, in_bounded_groups
+from tidebook.llm.hot import Forest, dealt_join, in_bounded_groups
 
 #: Bytes of text that the kernel takes at a time.
 PIECE = 2 << 20
@@ -22,6 +22,8 @@ PIECE = 2 << 20
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 #: Rows of one comparison group.
 GROUP = 4096
+#: Rows of one fingerprint in a task.
+MOST = 100_000
 #: Fingerprints beyond which the free bits join the anchors' keys: 16 at home at an anchor, on average.
 FINER = 1 << 28
 
@@ -314,12 +316,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component is null. An empty table gives no rows. Other columns are not read.
     """
     rows = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "text", "f").drop("text"))
-    first = cut(rows.groupBy("f").agg(F.min("doc_id").alias("low")))
+    first = cut(rows.groupBy("f").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
+    common = first.where(F.col("rows") > MOST).select("f", "rows")
     groups = components(linked(first.select("f"), threshold))
     first = first.join(groups, first.f == groups.node, "left").select("f", "low", F.coalesce("component", "f").alias("root"))
     lowest = first.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = first.select(F.col("f").alias("_f"), "root").join(lowest, "root").drop("root")
-    return rows.join(of, F.col("f") == F.col("_f")).select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+    of = first.select("f", "root").join(lowest, "root").drop("root")
+    return dealt_join(rows, of, ["f"], F.monotonically_increasing_id(), common, MOST).select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Tables of the similarity search, and least hashes that make a table's key: sets of Jaccard similarity j share a key
@@ -329,7 +332,7 @@ TABLES, ROWS = 12, 4
 #: the angle between the sets is acos(1.6 / 1.8), 0.1515 of the bits, 310 with a deviation of 16; three of these are allowed.
 DECIDE, DIFFER = 32, 360
 #: Shingles of one group of exact comparisons, and what a row weighs besides its own.
-SHINGLES, ROW = 4_000_000, 256
+SHINGLES, ROW = 500_000, 256
 
 
 def least(features: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
