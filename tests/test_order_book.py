@@ -102,6 +102,20 @@ def test_draws(spark, strict, expected):
     assert [(r.open_price, r.close_price) for r in got] == expected
 
 
+def test_thresholds_that_fall_with_time():
+    path = [(0, 100.0), (1_000_000, 110.0), (2_000_000, 109.0), (500_000_000, 108.9), (501_000_000, 120.0)]
+    run = lambda k: [d[:4] for row in path for d in k.feed(row)] + [d[:4] for d in k.end()]
+    assert run(kernels.Draws(0.05, True)) == [(0, 100.0, 501_000_000, 120.0)]
+    # after 499 seconds a fall of one per cent is a turn
+    assert run(kernels.Draws(0.05, True, 0.1)) == [(0, 100.0, 1_000_000, 110.0), (1_000_000, 110.0, 500_000_000, 108.9), (500_000_000, 108.9, 501_000_000, 120.0)]
+
+
+def test_sessions_cross_days(spark):
+    rows = raw(spark, [(86_390, 1, "b", 1, 1), (86_410, 1, "b", 1, 1), (86_500, 1, "b", 1, 1), (400_000, 1, "b", 1, 1), (400_010, 2, "b", 1, 1), (600_000, 2, "b", 1, 1)])
+    got = {r.seq: r.era for r in chains.session_eras(rows, 50).collect()}
+    assert got == {0: at(86_390), 1: at(86_390), 2: at(86_500), 3: at(400_000), 4: at(400_000), 5: at(600_000)}
+
+
 def test_bands(spark):
     rows = levels(spark, [(0, "ask", 100, 1), (0, "ask", 100.10, 2), (0, "ask", 100.30, 3)])
     got = sorted((r.bps_level, r.price, float(r.volume)) for r in depth.summary(rows).collect())

@@ -3,6 +3,7 @@ import importlib
 import json
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tidebook.api import Engine, check_frequency
 from tidebook.operators import chains, kernels, replay
 from tidebook.sources import messages, store
 from tidebook.streaming import fold
+from tidebook.streaming.metrics import Backlog, BacklogListener
 
 
 def lines(spark, values):
@@ -176,6 +178,19 @@ class Counting:
         return [(-self.n, None)]
 
 
+def test_backlogs_are_reported_when_they_change():
+    b = Backlog(1.25, 10)
+    assert [b.feed(x) for x in (5, 20, 24, 26, 22, 20, 3, 2)] == [False, True, False, True, False, True, True, False]
+    said = []
+    listener = BacklogListener(1.25, 10, lambda *x: said.append(x))
+    progress = lambda n: SimpleNamespace(progress=SimpleNamespace(id="q", name="name", stateOperators=[SimpleNamespace(numRowsTotal=n)], inputRowsPerSecond=2.0, processedRowsPerSecond=1.0))
+    listener.onQueryStarted(SimpleNamespace(id="q"))
+    for n in (5, 50, 55, 5):
+        listener.onQueryProgress(progress(n))
+    listener.onQueryTerminated(SimpleNamespace(id="q"))
+    assert said == [("name", 50, 2.0, 1.0), ("name", 5, 2.0, 1.0)]
+
+
 def test_kernels_of_streams():
     a = fold.Assembly()
     rows = [(1, 10, 100, 2), (1, 11, 101, -1), (2, 10, 0, 1), (3, 12, 99, 1), (2, 12, 0, 1), (5, 13, 98, 1)]
@@ -191,6 +206,7 @@ def test_kernels_of_streams():
 def test_entry_and_the_rest_without_the_llm_folders():
     code = """
 import sys
+from types import SimpleNamespace
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("tidebook.llm") or name == "corpus_pipeline":

@@ -44,11 +44,22 @@ def build(raw: DataFrame) -> DataFrame:
 
 
 def session_eras(raw: DataFrame, gap_seconds: float, key: tuple[str, ...] = ("exchange", "pair")) -> DataFrame:
-    """raw with ``era`` set: a new era begins after a gap of over ``gap_seconds`` without events."""
-    w = Window.partitionBy(*key).orderBy("ts", "seq")
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)
-    new = gap.isNull() | (gap > round(gap_seconds * 1e6))
-    return raw.drop("era").withColumn("era", F.last(F.when(new, F.col("ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """raw with ``era`` set: a new era begins after a gap of over ``gap_seconds`` without events.
+
+    Rows are looked at day by day; a day's first gap and the era that it begins in come from a table of days.
+    """
+    rows = raw.drop("era").withColumn("_day", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)))
+    day = Window.partitionBy(*key, "_day").orderBy("ts", "seq")
+    past = Window.partitionBy(*key).orderBy("_day")
+    last = rows.groupBy(*key, "_day").agg(F.max("ts").alias("_last")).select(*key, "_day", F.lag("_last").over(past).alias("_before"))
+    rows = rows.join(last, [*key, "_day"])
+    before = F.coalesce(F.lag("ts").over(day), F.col("_before"))
+    new = before.isNull() | (F.unix_micros("ts") - F.unix_micros(before) > round(gap_seconds * 1e6))
+    rows = rows.withColumn("_start", F.when(new, F.col("ts"))).drop("_before")
+    begun = rows.groupBy(*key, "_day").agg(F.max("_start").alias("_begun"))
+    begun = begun.select(*key, "_day", F.last("_begun", ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, -1)).alias("_begun"))
+    here = F.last("_start", ignorenulls=True).over(day.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(begun, [*key, "_day"]).withColumn("era", F.coalesce(here, F.col("_begun"))).drop("_day", "_start", "_begun")
 
 
 def assign_eras(raw: DataFrame, eras: DataFrame) -> DataFrame:

@@ -253,11 +253,12 @@ class Draws:
     """Rises and falls of a price path (ts, price): a draw ends when the price turns by over ``epsilon`` in log terms.
 
     By default a turn's confirming price is no turning point of the next draw, and the last draw ends at the last
-    price seen; ``strict`` takes the published definition, where draws meet at their extremes.
+    price seen; ``strict`` takes the published definition, where draws meet at their extremes. With ``theta`` the turn
+    that ends a draw falls with the seconds since the draw's last extreme, to epsilon / (1 + theta * seconds).
     """
 
-    def __init__(self, epsilon: float, strict: bool = False) -> None:
-        self.epsilon, self.strict = epsilon, strict
+    def __init__(self, epsilon: float, strict: bool = False, theta: float = 0.0) -> None:
+        self.epsilon, self.strict, self.theta = epsilon, strict, theta
         self.start = self.turn = self.last = None
 
     def feed(self, row: tuple) -> list[tuple]:
@@ -273,7 +274,7 @@ class Draws:
             return []
         if self.turn == self.start or (price > self.turn[1]) == (self.turn[1] > self.start[1]):
             self.turn = now
-        elif abs(math.log(price) - math.log(self.turn[1])) > self.epsilon:
+        elif abs(math.log(price) - math.log(self.turn[1])) > self.epsilon / (1 + self.theta * (ts - self.turn[0]) / 1e6):
             out = [returns(*self.start, *self.turn)]
             self.start = self.turn
             self.turn = now if self.strict else self.start

@@ -143,14 +143,19 @@ def trading_strategy(quotes: DataFrame, phi: float = 0.0, rho: float = 0.0, mode
     return _positions(fold(rows, ["exchange", "pair"], ["us"], ["us", "bid", "ask"], lambda: K.Strategy(phi, rho), POSITION))
 
 
-def drawupdowns(quotes: DataFrame, epsilon: float, strict: bool = False) -> DataFrame:
-    """Rises and falls of the mid price of quotes(exchange, pair, ts, bid_price, ask_price)."""
+def drawupdowns(quotes: DataFrame, epsilon: float, strict: bool = False, theta: float = 0.0) -> DataFrame:
+    """Rises and falls of the mid price of quotes(exchange, pair, ts, bid_price, ask_price); ``theta`` lets the threshold fall with time."""
     rows = quotes.select("exchange", "pair", F.unix_micros("ts").alias("us"), ((F.col("bid_price") + F.col("ask_price")) / 2).cast("double").alias("price"))
-    return _positions(fold(rows, ["exchange", "pair"], ["us"], ["us", "price"], lambda: K.Draws(epsilon, strict), POSITION))
+    return _positions(fold(rows, ["exchange", "pair"], ["us"], ["us", "price"], lambda: K.Draws(epsilon, strict, theta), POSITION))
 
 
 def infer_trades(level3: DataFrame, seconds: float = 0.5, scale: int = 2) -> DataFrame:
-    """Trades from the fills of level-3 events alone."""
+    """Trades from the fills of level-3 events alone.
+
+    A venue's fills are one sequence, since each may meet any that is pending: a task per venue, in memory that follows
+    the fills of the last ``seconds``. Events without a fill don't come along.
+    """
+    level3 = level3.where((F.col("fill") > 0) | F.col("fill").isNull() & ~((F.col("event_no") == 1) & ~F.col("deleted")))
     rows = level3.select(
         "exchange", "pair", F.unix_micros("ts").alias("us"), "order_id", "event_no", "side", F.col("price").cast("double").alias("price"),
         F.col("fill").cast("double").alias("fill"), ((F.col("event_no") == 1) & ~F.col("deleted")).alias("created"), F.unix_micros("price_ts").alias("price_us"),
