@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(source, text, ...) -> keep, size, source, source_size, target, copies, taken.
 
-    A source's documents in the order (size, first of keep) each expect target / source_size copies. The expected
+    A source's documents in the order (size, then keep) each expect target / source_size copies. The expected
     copies are summed up along that order, one random offset is added, and a document is taken once for each whole
     number that its own part crosses, so each gets the whole number below or above what it expects, and runs of
     documents of like size get their share. All of this is whole-number arithmetic in units of 2 ** -40 copies:
@@ -51,10 +51,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     A null or empty text has size 0; documents of an all-empty source are not taken. A null source is a source of its
     own, the last. Repeated rows count one by one. An empty table gives no rows. Columns not named are not read.
     """
-    rows = docs.select(*keep, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # sizes are counted once: the ranges are sampled from what is written
+    rows = cut(docs.select(*keep, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col(keep[0]).asc_nulls_last()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), *(F.col(k).asc_nulls_last() for k in keep)]
     rows = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     rows = rows.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at") - F.shiftleft("part", 33))
     # a row per partition and source: how many of the source come before
