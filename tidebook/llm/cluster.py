@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ def release(spark: SparkSession) -> None:
     Checkpoints stay until the folder is emptied, or Spark drops them too where
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.3, 0.0):  # what the first collection finds unreachable frees the rest for a second one
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
