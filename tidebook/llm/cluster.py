@@ -19,7 +19,7 @@ def release(spark: SparkSession) -> None:
     Checkpoints stay until the folder is emptied, or Spark drops them too where
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    for pause in (0.3, 0.0):  # what the first collection finds unreachable frees the rest for a second one
+    for pause in (1.0, 0.5, 0.0):  # threads that end a little later hold on to what they ran
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
@@ -36,7 +36,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(most):
+    for turn in range(most):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, both.a == low.n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -49,7 +49,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-        release(spark)
+        if turn % 8 == 7:
+            release(spark)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
