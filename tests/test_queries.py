@@ -12,8 +12,9 @@ FOLDER = "/root/testdata/sf0.001"
 NAMES = ["level3_chain", "depth_changes", "depth_multi_era", "book_flags", "spread", "depth_summary_pivot", "queues_absolute", "trading_period_volume", "events_classified", "match_exact_fill", "crossed_books", "missing_fill_backprop", "lead_lag_corr", "chain_id", "match_sum_of_fill", "trades"]
 
 NEWER = [
-    "trading_strategy", "epsilon_drawupdowns", "infer_trades", "top_spikes", "position_trellis", "depth_difference", "takers_checked", "starting_spread", "spread_by_episode", "books_by_episode", "maker_depth", "depth_summary_range",
+    "trading_strategy", "epsilon_drawupdowns", "top_spikes", "position_trellis", "depth_difference", "takers_checked", "starting_spread", "spread_by_episode", "books_by_episode", "maker_depth", "depth_summary_range",
     "spread_range", "depth_range_multi_era", "match_sequential", "match_rules", "coupling_candidates", "times_in_order", "revealed_episodes", "synthetic_creations", "deleted_events", "reconnected_chains", "queues_log", "raw_book_eras",
+    "book_arrays", "tick_levels", "price_segments", "order_flow_without_trades", "renumbered_chains", "time_jumps", "event_times", "session_eras",
 ]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import grid as G
-from tidebook.operators import analysis, book, depth, events, replay
+from tidebook.operators import analysis, book, depth, events, repair, replay
 
 #: Instruments: decimals of price and amount. Fixed values.
 PAIRS = {
@@ -190,3 +190,11 @@ class Engine:
 
     def position_trellis(self, positions: DataFrame, quotes: DataFrame, around_seconds: int = 0) -> DataFrame:
         return analysis.position_trellis(positions, quotes, around_seconds)
+
+    def time_jumps(self, rows: DataFrame, exchange: str) -> DataFrame:
+        """Events of an exchange (ts, original_ts) that were moved back, or further forward than it allows."""
+        return repair.time_jumps(rows.where(F.col("exchange") == exchange.lower()), MAX_MOVE[exchange.lower()])
+
+    def repaired(self, raw: DataFrame, exchange: str) -> DataFrame:
+        """Raw events of an exchange with its crossed books mended, moving events no further than it allows."""
+        return repair.fix_crossed_orders(raw.where(F.col("exchange") == exchange.lower()), MAX_MOVE[exchange.lower()])

@@ -172,11 +172,6 @@ def fix_premature_deletes(raw: DataFrame, seconds: float) -> DataFrame:
     return raw.withColumn("_w", F.coalesce(F.col("deleted") & same & soon, F.lit(False))).where("not _w").drop("_w")
 
 
-def without_era(rows: DataFrame, era: Column) -> DataFrame:
-    """rows of all eras but one, to rewrite their partitions with."""
-    return rows.where(F.col("era") != era)
-
-
 def in_order(rows: DataFrame) -> DataFrame:
     """rows(order_id, event_no, ts, fill, matched) with times that never fall along a chain; fails where matched events forbid it.
 

@@ -559,4 +559,16 @@ SELECT kind, round(regr_slope(ln(rate), ln(ticks)), 6) AS slope, round(regr_inte
 SELECT epoch_us(era) AS era_us, epoch_us(ts) AS ts_us, order_id, price::DOUBLE AS price, amount::DOUBLE AS amount FROM st WHERE NOT (goes_on AND snap AND coalesce(lp = price AND la = amount, false))
 UNION ALL SELECT epoch_us(st.era), epoch_us(g.ts), order_id, 0, sign(amount)::DOUBLE FROM st JOIN (SELECT ts, era FROM ee WHERE goes_on) g ON g.era = st.era AND g.ts > st.ts AND (st.nt IS NULL OR g.ts < st.nt)
   WHERE price > 0 AND g.ts = (SELECT min(x.ts) FROM ee x WHERE x.goes_on AND x.era = st.era AND x.ts > st.ts)""",
+    "book_arrays": f"""{standing(MIDDLE, crossed=True)} SELECT epoch_us((SELECT max(ts) FROM ob)) AS ts_us, (SELECT count(*) FROM ob)::INT AS n, (row_number() OVER (ORDER BY price, ts, order_id, event_no) - 1)::INT AS place,
+  order_id, price::DOUBLE AS price, amount::DOUBLE AS amount FROM ob""",
+    "tick_levels": f"""{standing(MIDDLE)} SELECT {side()} AS side, (CASE WHEN side = 'b' THEN floor(price / 25) ELSE ceil(price / 25) END * 25)::DOUBLE AS price, sum(amount)::DOUBLE AS volume FROM ob GROUP BY ALL""",
+    "price_segments": "WITH e AS (" + effective("500.0") + """), g AS (SELECT *, (count(*) FILTER (bid_price IS NULL) OVER (ORDER BY ts_us))::BIGINT AS run FROM e)
+SELECT ts_us, run, bid_price FROM g WHERE bid_price IS NOT NULL""",
+    "order_flow_without_trades": f"""WITH {chain()}, {levels()}, dl AS (SELECT ts, side, price, volume - coalesce(lag(volume) OVER (PARTITION BY side, price ORDER BY ts), 0) AS delta FROM chg), tk AS (
+  SELECT ts, side, price, sum(fill) AS took FROM l3 WHERE fill > 0 AND seq % 2 = 0 GROUP BY ALL
+)
+SELECT epoch_us(ts) AS ts_us, {side()} AS side, price::DOUBLE AS price, (delta + coalesce(took, 0))::DOUBLE AS delta FROM dl LEFT JOIN tk USING (ts, side, price) WHERE delta + coalesce(took, 0) <> 0""",
+    "renumbered_chains": f"WITH {chain(eras=ERAS)} SELECT epoch_us(era) AS era_us, epoch_us(ts) AS ts_us, order_id, event_no, price::DOUBLE AS price, amount::DOUBLE AS amount, status, next_event_no FROM l3",
+    "time_jumps": f"WITH {chain()}, {SHAKEN} SELECT seq, epoch_us(ts) AS ts_us FROM sh WHERE (seq % 5) * 10000000 - 10000000 NOT BETWEEN 0 AND 25000000",
+    "event_times": f"WITH {chain()} SELECT seq, epoch_us(ts) - 946684800000000 AS since_2000, printf('%d.%02d', epoch_us(ts) // 1000, (epoch_us(ts) % 1000) // 10) AS milliseconds FROM l3",
 }

@@ -559,6 +559,41 @@ def raw_book_eras(spark, d):
     return shown(messages.bitfinex_eras(rows, 180.0), "era", "ts", "order_id", "price", "amount")
 
 
+def book_arrays(spark, d):
+    rows = book.as_arrays(book.snapshot(level3(spark, d, crossed=True), instant(MIDDLE)))
+    rows = rows.select("ts", F.size("orders").alias("n"), F.posexplode("orders").alias("place", "o"))
+    return shown(rows.select("ts", "n", "place", "o.order_id", "o.price", "o.amount"))
+
+
+def tick_levels(spark, d):
+    return shown(book.tick_volume(_levels_at(spark, d, MIDDLE).withColumn("exchange", F.lit("venue0")).withColumn("pair", F.lit("AB")), 25), "side", "price", "volume")
+
+
+def price_segments(spark, d):
+    rows = analysis.segments(replay.trading_period(_changes(spark, d, 3600), 500.0), "bid_price")
+    return rows.select(F.unix_micros("ts").alias("ts_us"), "run", F.round("bid_price", 4).alias("bid_price"))
+
+
+def order_flow_without_trades(spark, d):
+    signed = depth.signed_changes(labelled(depth.changes(level3(spark, d))))
+    took = _fills(spark, d).where("seq % 2 = 0").select("exchange", "pair", "ts", "price", F.col("fill").alias("amount"), F.when(F.col("side") == "b", "s").otherwise("b").alias("side"))
+    return shown(analysis.without_market_orders(signed, took), "ts", "side", "price", "delta")
+
+
+def renumbered_chains(spark, d):
+    rows = chains.renumber(level3(spark, d), A.eras(spark))
+    return shown(rows, "era", "ts", "order_id", "event_no", "price", "amount", "status", "next_event_no")
+
+
+def time_jumps(spark, d):
+    rows = _shaken(spark, d).withColumn("original_ts", F.timestamp_micros(F.unix_micros("ts") - F.col("seq") % 5 * 10_000_000 + 10_000_000))
+    return shown(repair.time_jumps(rows, 25), "seq", "ts")
+
+
+def event_times(spark, d):
+    return level3(spark, d).select("seq", G.since_2000(F.col("ts")).alias("since_2000"), G.in_milliseconds(F.col("ts")).alias("milliseconds"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -570,6 +605,6 @@ QUERIES = {
         range_by_interval, top_spikes, takers_levels, limit_placements, arrival_rate_by_distance, placements_histogram, queue_profile, quote_events, position_trellis,
         depth_difference, depth_applied, takers_checked, starting_spread, spread_by_episode, books_by_episode, maker_depth, depth_summary_range, spread_range, depth_range_multi_era, depth_at_emptied_era,
         depth_window, match_sequential, match_rules, remaining_fill, coupling_candidates, monotone_times, aggressor_first, times_in_order, revealed_episodes, synthetic_creations, transferred_chains,
-        deleted_events, reconnected_chains, duplicates_fixed, queues_log, rate_fit, raw_book_eras,
+        deleted_events, reconnected_chains, duplicates_fixed, queues_log, rate_fit, raw_book_eras, book_arrays, tick_levels, price_segments, order_flow_without_trades, renumbered_chains, time_jumps, event_times,
     )
 }

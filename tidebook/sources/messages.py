@@ -27,6 +27,7 @@ def bitstamp_orders(lines: DataFrame, pair: str) -> DataFrame:
 
 
 def bitstamp_trades(lines: DataFrame, pair: str) -> DataFrame:
+    """lines(value, local_ts) -> trades with both orders' ids; works on batches and streams. Other messages are left out."""
     m = lines.select(F.from_json("value", TRADE).alias("m"), "local_ts").where("m.event = 'trade'")
     return m.select(
         F.lit("bitstamp").alias("exchange"), F.lit(pair).alias("pair"), F.timestamp_micros(F.col("m.data.microtimestamp").cast("long")).alias("ts"), F.col("m.data.id").alias("exchange_trade_id"),
