@@ -329,8 +329,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: with probability 1 - (1 - j ** ROWS) ** TABLES, 0.998 at 0.8, whatever the edit.
 TABLES, ROWS = 12, 4
 #: Lanes of 64 bits of the fingerprint that chooses candidates, and bits of it that may differ: at Jaccard similarity 0.8
-#: the angle between the sets is acos(1.6 / 1.8), 0.1515 of the bits, 310 with a deviation of 16; three of these are allowed.
-DECIDE, DIFFER = 32, 360
+#: the angle between the sets is acos(1.6 / 1.8), 0.1515 of the bits, 78 with a deviation of 8; three of these are allowed.
+DECIDE, DIFFER = 8, 103
 #: Shingles of one group of exact comparisons, and what a row weighs besides its own.
 SHINGLES, ROW = 500_000, 256
 
@@ -441,7 +441,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     Near-duplicates are linked texts and what links reach: equal word sequences (A-Z as a-z), and texts whose sets of
     5-word shingles have a similarity of 0.8 or more; no other texts are linked. Candidates share the key of one of the
     tables, each of a few least hashes of the set: 0.998 of pairs at 0.8 do, and more above, however the words that
-    differ lie. Their SimHash of 2048 bits, of the same set, says which of them may be similar; what these links join is
+    differ lie. Their SimHash of 512 bits, of the same set, says which of them may be similar; what these links join is
     compared by whole sets, and only links that hold there count. Groups give spanning forests, never their pairs.
 
     Texts without words, nulls too, are one group. Repeated rows and rows of equal id and text count once. A null
