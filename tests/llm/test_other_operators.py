@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import SCHEMA, components, documents, words
-from tidebook.llm import embedding, mixing, pii, queries, sharding, topk
+from tidebook.llm import embedding, hot, mixing, pii, queries, sharding, topk
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -184,6 +185,23 @@ def test_mixing_targets_and_whole_copies(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_reruns_agree_for_rows_alike_but_in_what_is_kept(spark):
+    rows = [(1, f"{chr(97 + k)} b c", "s", k) for k in range(9)] + [(2, "x " * 40, "t", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int")
+    once = sorted(map(str, mixing.mix(frame, keep=("doc_id", "tag")).collect()))
+    for parts in (1, 3, 7):
+        assert sorted(map(str, mixing.mix(frame.orderBy(F.rand(parts)).repartition(parts), keep=("doc_id", "tag")).collect())) == once
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(200)], "key long, n long")
+    values = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 2, 7)], "key long, v string")
+    common = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 20")
+    for most in (20, 1000):
+        got = hot.dealt_join(rows, values, ["key"], "n", common.where(F.col("rows") > most), most)
+        assert sorted(map(tuple, got.select("key", "n", "v").collect())) == sorted((k % 3 if k % 2 else 7, k, f"v{k % 3 if k % 2 else 7}") for k in range(200))
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     out = mixing.mix(spark.createDataFrame([(1, None, "en", None, None), (2, "", "en", "a", 0)], SCHEMA)).collect()

@@ -326,6 +326,36 @@ def test_quality_scores_and_held_out_accuracy(spark):
     assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in out}
 
 
+def test_quality_statistics_are_plain_counts():
+    texts = ["", None, "One two two, THREE 4 & a | b! $5 über\nline", "the the the of and", "x" * 50, " \t ", "Ends. Ends! Ends? #tag 100%"]
+    got = quality.statistics(pa.array(texts))
+    assert got.shape == (len(texts), len(quality.NAMES))
+    of = lambda name: got[:, quality.NAMES.index(name)]
+    for k, t in enumerate(texts):
+        data, w = (t or "").encode(), [x.lower() for x in words(t)]
+        some, count = max(len(w), 1), lambda name: sum(b in set(quality.CLASSES[name]) for b in data)  # noqa: B023
+        letters = max(1, count("upper") + count("lower") + count("wide"))
+        expected = {
+            "words": math.log1p(len(w)), "length": math.log1p((len(data) - len(w)) / some), "upper": math.sqrt(count("upper") / letters), "digit": math.sqrt(count("digit") / max(len(data), 1)),
+            **{n: math.sqrt(count(n) / some) for n in ("stop", "loud", "bar", "sign", "line")}, "same": math.sqrt(sum(a == b for a, b in zip(w, w[1:])) / some),
+            "distinct": math.log1p(len(set(w))) / math.log1p(max(len(w), 1)), "busiest": math.sqrt(max(max(Counter(w).values(), default=0) - 1, 0) / some),
+        }
+        for name, value in expected.items():
+            assert abs(of(name)[k] - value) < 1e-12, (t, name)
+
+
+def test_quality_learns_from_a_bounded_share(spark):
+    """Clashing columns are not read; a share of the labels gives a model like that of all."""
+    rows = [(k, f"the clean number{k} story of day{k % 13} goes on and ends well." if k % 2 else f"BUY$$$ now### {'spam ' * (5 + k % 9)} %%%") for k in range(600)]
+    docs = spark.createDataFrame([(*r, 9, "x", 0.0) for r in rows], "doc_id long, text string, quality int, x string, _x double")
+    labels = spark.createDataFrame([(k, k % 2, 0, "t") for k, _ in rows], "doc_id long, quality int, toxic int, text string")
+    every, some = quality.learn(docs, labels), quality.learn(docs, labels, most=150)
+    assert every is not None and some is not None and not np.allclose(every.mean, some.mean)
+    assert np.allclose(every.mean, quality.learn(docs, labels, most=10_000).mean)
+    for model in (every, some):
+        assert all((r.s >= 0.5) == (r.doc_id % 2 == 1) for r in quality.scored(docs, model, score="s").collect())
+
+
 def test_quality_without_both_classes(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.learn(docs, labels) is None

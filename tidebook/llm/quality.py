@@ -152,11 +152,17 @@ def fit(examples: DataFrame, shrink: float = 0.2, floor: float = 1e-3) -> Quadra
     return Quadratic.fit(count, total, products, shrink, floor)
 
 
-def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, statistics_of: DataFrame | None = None) -> Quadratic | None:
+def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, statistics_of: DataFrame | None = None, most: int | None = None) -> Quadratic | None:
     """A model from the documents outside the held-out part that ``labels`` (doc_id, quality) marks.
 
     A document with several labels has the lowest; null ids and null labels are left out. None without both classes.
+    ``most`` bounds the labelled rows that are learned from, about: of more, those stay whose id's hash falls in a share
+    of that size, and only their texts are looked at. Columns besides doc_id, text and quality are not read.
     """
+    if most is not None:
+        share = max(1, labels.count() // most)
+        sampled = F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
+        docs, labels = docs.where(sampled), labels.where(sampled)
     rows = statistics_of if statistics_of is not None else with_statistics(docs, "text", "doc_id")
     marks = labels.where(~apart(F.col("doc_id"), parts, held)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return fit(rows.join(marks, "doc_id").select("x", "quality"))
