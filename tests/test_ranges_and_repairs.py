@@ -55,7 +55,7 @@ def test_range_filters_reach_the_scan(spark, two_eras, tmp_path):
     engine = Engine.open(spark, str(tmp_path))
     rows = engine.depth("X", "ab", "2024-01-01 00:16:50", "2024-01-01 00:21:00")
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan" in line and "level3" in line]
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "price#" in line]
     assert scans and all("PushedFilters: [IsNotNull(ts)" in x and "LessThan" in x and "exchange#" in x.split("PartitionFilters")[1] for x in scans)
     assert shown(rows) == shown(Engine(two_eras).depth("X", "ab", "2024-01-01 00:16:50", "2024-01-01 00:21:00")) != []
     assert engine.spread("x", "AB", "2024-01-01 00:18:30", complete_cases=False).first().best_ask_price == 103
