@@ -20,11 +20,16 @@ def release(spark: SparkSession) -> None:
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     for pause in (1.0, 0.5, 0.0):  # threads that end a little later hold on to what they ran
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        collect(spark)
         time.sleep(pause)
 
 
+def collect(spark: SparkSession) -> None:
+    """One collection on both sides of the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for each node of links(a, b), both long: component is the smallest node reachable.
 
@@ -36,7 +41,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    for turn in range(most):
+    for _ in range(most):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, both.a == low.n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -49,8 +54,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-        if turn % 8 == 7:
-            release(spark)
+        collect(spark)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -17,7 +17,7 @@ from tidebook.llm.cluster import components, cut
 from tidebook.llm.hot import Forest, dealt_join, in_bounded_groups
 
 #: Bytes of text that the kernel takes at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: The binary Golay code: length, check bits, covering radius, generator polynomial x11+x9+x7+x6+x5+x+1.
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 #: Rows of one comparison group.
@@ -250,7 +250,7 @@ class Groups:
         return pa.RecordBatch.from_arrays([pa.array(self.values[tied]), pa.array(self.values[root[tied]])], names=["a", "b"])
 
 
-def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 200_000, most_bytes: int = 64 << 20) -> Callable:
+def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 100_000, most_bytes: int = 32 << 20) -> Callable:
     """A function of batches that come in the order of (anchor, part): ``within`` sees whole groups, several at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
