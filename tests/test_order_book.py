@@ -170,6 +170,35 @@ def test_inferred_trades_meet_opposite_fills(spark):
     assert [(r.price, r.amount, r.side, r.buy_order_id, r.sell_order_id) for r in got] == [(10.0, 2.0, "b", 2, 1)]
 
 
+def test_inference_compares_few_pending_fills(monkeypatch):
+    """A fill is found by its amount and price: thousands that wait cost no comparison each, and the pairs stay."""
+    compared = 0
+    fits = kernels.Pending.fits
+
+    def counted(self, row, entry):
+        nonlocal compared
+        compared += 1
+        return fits(self, row, entry)
+
+    monkeypatch.setattr(kernels.Pending, "fits", counted)
+    k = kernels.Inference(3600.0, 0)
+    asks = [(t, t, 1, "s", 100.0 + t % 50, 1.0 + t, False, t) for t in range(2000)]
+    assert not [x for row in asks for x in k.feed(row)]
+    got = [x for t in range(2000) for x in k.feed((10_000 + t, 5000 + t, 1, "b", 200.0, 1.0 + t, False, 10_000 + t))]
+    assert [(x[1], x[2], x[3], x[4], x[6]) for x in got] == [(100.0 + t % 50, 1.0 + t, "b", 5000 + t, t) for t in range(2000)]
+    assert compared <= 2000
+    assert not k.pending["s"].keys and not k.pending["s"].sizes
+
+
+def test_inference_takes_the_best_price_then_the_oldest():
+    """An unknown amount meets any, amounts meet within a unit of value at the maker's price, fills without a price none."""
+    k = kernels.Inference(1.0, 0)
+    waiting = [(0, 1, 1, "s", None, 5.0, False, 0), (0, 2, 1, "s", 10.0, 5.0, False, 0), (1, 3, 1, "s", 9.0, 5.2, False, 1), (2, 4, 1, "s", 9.0, None, False, 2), (3, 5, 1, "s", 9.0, 5.1, False, 3)]
+    assert not [x for row in waiting for x in k.feed(row)]
+    met = [k.feed((t, 10 + t, 1, "b", 11.0, fill, False, t)) for t, fill in ((10, 5.0), (11, 5.0), (12, 5.0), (13, None), (14, 5.2), (1_000_020, 5.2))]
+    assert [[(x[1], x[2], x[6]) for x in m] for m in met] == [[(9.0, 5.0, 4)], [(9.0, 5.0, 5)], [(10.0, 5.0, 2)], [(9.0, 5.2, 3)], [], []]
+
+
 def test_order_types(spark):
     rows = [
         (0, 90, "b", 100, 1), (0, 91, "s", 110, 1),

@@ -7,9 +7,12 @@ Prices and volumes of the book kernels are whole numbers of 1e-8; times are micr
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 
 UNIT = 100_000_000
+#: Amounts that are looked up one by one; of more that are near enough, the fills are gone through in order.
+NEAR = 32
 
 
 class Levels:
@@ -288,6 +291,99 @@ class Draws:
         return [returns(*self.start, *stop)] if stop != self.start else []
 
 
+class Pending:
+    """Fills of one side that wait, with the best price first and, within a price, the oldest.
+
+    Prices are negated where the highest is best. Each fill lies in the queue of its price and in that of its amount and
+    price; the queues drop at their heads what has met another or is too old, and fills of no price meet none.
+    """
+
+    def __init__(self, sign: int, age: int, unit: float) -> None:
+        self.sign, self.age, self.unit = sign, age, unit
+        self.line: deque[list] = deque()  # [row, place, waits], in order of arrival
+        self.queues: dict[float, deque[list]] = {}
+        self.keys: list[float] = []
+        self.sized: dict[float | None, tuple[list[float], dict[float, deque[list]]]] = {}
+        self.sizes: list[float] = []
+        self.place = 0
+
+    def put(self, row: tuple) -> None:
+        key, size = self.sign * row[4], row[5]
+        entry = [row, self.place, True]
+        self.place += 1
+        self.line.append(entry)
+        if size not in self.sized:
+            self.sized[size] = ([], {})
+            if size is not None:
+                insort(self.sizes, size)
+        for keys, queues in ((self.keys, self.queues), self.sized[size]):
+            if key not in queues:
+                queues[key] = deque()
+                insort(keys, key)
+            queues[key].append(entry)
+
+    def take(self, entry: list) -> None:
+        entry[2] = False
+        key, size = self.sign * entry[0][4], entry[0][5]
+        for keys, queues in ((self.keys, self.queues), self.sized[size]):
+            queue = queues[key]
+            while queue and not queue[0][2]:
+                queue.popleft()
+            if not queue:
+                del queues[key], keys[bisect_left(keys, key)]
+        if not self.sized[size][0]:
+            del self.sized[size]
+            if size is not None:
+                del self.sizes[bisect_left(self.sizes, size)]
+
+    def expire(self, ts: int) -> None:
+        while self.line and not (self.line[0][2] and ts - self.line[0][0][0] < self.age):
+            entry = self.line.popleft()
+            if entry[2]:
+                self.take(entry)
+
+    def fits(self, row: tuple, entry: list) -> bool:
+        p = entry[0]
+        maker = p if (p[7], p[1]) <= (row[7], row[1]) else row
+        return row[5] is None or p[5] is None or abs(row[5] - p[5]) * maker[4] <= self.unit
+
+    def first(self, row: tuple, keys: list[float], queues: dict[float, deque[list]], limit: float) -> list | None:
+        """The best one of some queues that the row can meet up to a limit of the price."""
+        for key in keys:
+            if key > limit:
+                return None
+            for entry in queues[key]:
+                if entry[2] and self.fits(row, entry):
+                    return entry
+        return None
+
+    def best(self, row: tuple) -> list | None:
+        """The entry that the row meets, if any."""
+        limit, size = self.sign * row[4], row[5]
+        if not self.keys or self.keys[0] > limit:
+            return None
+        if size is None:
+            return self.first(row, self.keys, self.queues, limit)
+        # the least price that can value a difference of amounts bounds it; fits() decides
+        low = min(row[4], self.sign * self.keys[0])
+        reach = self.unit / low if low > 0 else math.inf
+        slack = reach * 1e-9 + abs(size) * 1e-9
+        low, high = bisect_left(self.sizes, size - reach - slack), bisect_right(self.sizes, size + reach + slack)
+        if high - low > NEAR:  # most of them fit, so the first that does comes early
+            return self.first(row, self.keys, self.queues, limit)
+        near: list[float | None] = self.sizes[low:high]
+        if None in self.sized:
+            near.append(None)
+        found = None
+        for s in near:
+            entry = self.first(row, *self.sized[s], limit)
+            if entry is not None:
+                at = (self.sign * entry[0][4], entry[1])
+                if found is None or at < found[0]:
+                    found, limit = (at, entry), at[0]
+        return found and found[1]
+
+
 class Inference:
     """Trades from fills alone, rows (ts, order_id, event_no, side, price, fill, created): opposite fills paired greedily.
 
@@ -297,26 +393,22 @@ class Inference:
     """
 
     def __init__(self, seconds: float = 0.5, scale: int = 2) -> None:
-        self.age, self.unit = round(seconds * 1e6), 10.0**-scale
-        self.pending: dict[str, list[tuple]] = {"b": [], "s": []}
+        age, unit = round(seconds * 1e6), 10.0**-scale
+        self.pending = {"b": Pending(-1, age, unit), "s": Pending(1, age, unit)}
 
     def feed(self, row: tuple) -> list[tuple]:
         ts, order_id, event_no, side, price, fill, created, price_ts = row
-        if not ((fill is not None and fill > 0) or (fill is None and not created)):
+        if price is None or not ((fill is not None and fill > 0) or (fill is None and not created)):
             return []
-        other = "s" if side == "b" else "b"
-        self.pending[other] = [p for p in self.pending[other] if ts - p[0] < self.age]
-        fits = []
-        for p in self.pending[other]:
-            reach = price >= p[4] if side == "b" else price <= p[4]
-            maker = p if (p[7], p[1]) <= (price_ts, order_id) else row
-            if reach and (fill is None or p[5] is None or abs(fill - p[5]) * maker[4] <= self.unit):
-                fits.append(p)
-        if not fits:
-            self.pending[side].append(row)
+        for waiting in self.pending.values():
+            waiting.expire(ts)
+        other = self.pending["s" if side == "b" else "b"]
+        entry = other.best(row)
+        if entry is None:
+            self.pending[side].put(row)
             return []
-        best = min(fits, key=lambda p: (p[4] if side == "b" else -p[4], p[0], p[1]))
-        self.pending[other].remove(best)
+        other.take(entry)
+        best = entry[0]
         maker, taker = (best, row) if (best[7], best[1]) <= (price_ts, order_id) else (row, best)
         amount = fill if fill is not None else best[5]
         buy, sell = (row, best) if side == "b" else (best, row)

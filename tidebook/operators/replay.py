@@ -153,9 +153,10 @@ def infer_trades(level3: DataFrame, seconds: float = 0.5, scale: int = 2) -> Dat
     """Trades from the fills of level-3 events alone.
 
     A venue's fills are one sequence, since each may meet any that is pending: a task per venue, in memory that follows
-    the fills of the last ``seconds``. Events without a fill don't come along.
+    the fills of the last ``seconds``. A fill is looked up by its amount and price among the pending ones, so its time
+    doesn't follow their number. Events without a fill don't come along, nor those without a price.
     """
-    level3 = level3.where((F.col("fill") > 0) | F.col("fill").isNull() & ~((F.col("event_no") == 1) & ~F.col("deleted")))
+    level3 = level3.where("price is not null").where((F.col("fill") > 0) | F.col("fill").isNull() & ~((F.col("event_no") == 1) & ~F.col("deleted")))
     rows = level3.select(
         "exchange", "pair", F.unix_micros("ts").alias("us"), "order_id", "event_no", "side", F.col("price").cast("double").alias("price"),
         F.col("fill").cast("double").alias("fill"), ((F.col("event_no") == 1) & ~F.col("deleted")).alias("created"), F.unix_micros("price_ts").alias("price_us"),
