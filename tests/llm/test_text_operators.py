@@ -478,6 +478,26 @@ def test_seating_agrees_with_a_plain_sampler():
     assert np.abs(got / (expected / 600) - 1).max() < 0.03
 
 
+def test_a_sweep_seats_all_customers():
+    """One sweep brings dishes from one table, or from a table for each customer, towards the tables that belong there."""
+    rest, none = np.arange(200), np.zeros(0, np.int64)
+
+    def tables(c: int, strength: float, sweeps: int, seed: int) -> float:
+        count = np.full(len(rest), c)
+        level = pitman_yor.Level(rest, none, count, None, np.full(len(rest), 0.5), strength, 0.5, np.random.Generator(np.random.PCG64(seed)))
+        level.open(count)
+        level.strength, means = 20.0, []
+        for _ in range(sweeps):
+            level.sweep()
+            means.append(level.t.mean())
+        return float(np.mean(means[sweeps // 2 :]))
+
+    for c in (2, 3, 12, 40):
+        expected = tables(c, 20.0, 40, 1)
+        few, many = tables(c, -0.49, 1, 2), tables(c, 1e9, 1, 3)
+        assert 0.4 < few / expected < 1.1 and 0.9 < many / expected < 1.3
+
+
 def test_seating_keeps_its_books():
     """Customers stay, tables hold them, and every table is a customer of the parent, through sweeps and large counts."""
     r = np.random.Generator(np.random.PCG64(5))

@@ -24,10 +24,8 @@ from tidebook.llm.cluster import cut, release
 
 #: Words of a class, about; and training tokens of a context word beyond which its contexts are dealt to several parents.
 CLASS, PARENT = 1_000_000, 250_000
-#: Customers of a dish that a sweep seats anew, random ones: others of it keep their seats until a later sweep.
-REACH = 1
-#: Dishes of a restaurant that are seated one at a time.
-TURNS = 8
+#: Dishes of a restaurant that are seated one at a time, and the parts of a dish's customers that are, if it has more of them.
+TURNS, SHARE = 8, 16
 #: Ids of what stands before a document's first words, and of all words that training lacks; its words follow.
 OPENING, UNKNOWN, FIRST = 0, 1, 2
 #: The hashes of the end of a document.
@@ -54,6 +52,11 @@ def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place[new], out
 
 
+def series(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``many`` whole numbers from each ``first`` on, one after the other."""
+    return np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+
+
 class Level:
     """Restaurants of one depth: for each cell (restaurant, dish) its customers c and tables t, and the tables' sizes.
 
@@ -66,6 +69,11 @@ class Level:
         self.strength, self.discount, self.random = strength, discount, random
         self.start = np.cumsum(capacity) - capacity
         self.size = np.zeros(int(capacity.sum()) + 1, np.int32)
+        # customers of a cell take its first places in ``seat``, each with its table's id; ``ids`` and ``place`` lead from
+        # where a table lies in ``size`` to its id and back, those in use first
+        self.seat, self.taken = np.zeros(len(self.size), np.int32), np.zeros(len(self.size), bool)
+        self.ids = (np.arange(len(self.size)) - np.append(np.repeat(self.start, capacity), 0)).astype(np.int32)
+        self.place = self.ids.copy()
         self.t, self.c = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
         restaurants = int(rest.max(initial=-1)) + 1
         self.tables, self.customers = np.zeros(restaurants, np.int64), np.zeros(restaurants, np.int64)
@@ -80,21 +88,31 @@ class Level:
         own = self.c[cells] - self.discount * self.t[cells]
         return (own + (self.strength + self.discount * self.tables[r]) * self.above(cells)) / (self.strength + self.customers[r])
 
-    def laid(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, first, n): the places of the cells' tables one after the other, where each cell's begin, and how many it has."""
-        n = self.t[cells]
-        first = np.cumsum(n) - n
-        return np.arange(int(n.sum())) + np.repeat(self.start[cells] - first, n), first, n
-
-    def pick(self, cells: np.ndarray, times: np.ndarray, less: float) -> np.ndarray:
-        """Places of tables of the cells, ``times`` for each, with probability in proportion to their size less ``less``."""
-        place, first, n = self.laid(cells)
-        total = np.cumsum(self.size[place] - less)
-        high = total[first + n - 1]
-        low = np.where(first > 0, total[first - 1], 0)
-        drawn = np.repeat(low, times) + self.random.random(int(times.sum())) * np.repeat(high - low, times)
-        at = np.searchsorted(total, drawn, "right")
-        return place[np.clip(at, np.repeat(first, times), np.repeat(first + n - 1, times))]
+    def at(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where the tables of these ids lie in ``size``."""
+        start = self.start[cells]
+        return start + self.place[start + ids]
+
+    def pick(self, cells: np.ndarray, low: np.ndarray | None = None, absent: np.ndarray | None = None) -> np.ndarray:
+        """Ids of tables of the cells, with probability in proportion to their size less the discount.
+
+        A random customer's table is taken or not, until one is. ``absent`` customers from the ``low``-th on are away.
+        """
+        out = self.ids[self.start[cells]].astype(np.int64)
+        todo, tries = np.flatnonzero(self.t[cells] > 1), 2
+        while len(todo):
+            k = cells[todo, None]
+            customer = (self.random.random((len(todo), tries)) * self.c[k]).astype(np.int64)
+            if low is not None:
+                customer += np.where(customer >= low[todo, None], absent[todo, None], 0)
+            table = self.seat[self.start[k] + customer]
+            takes = self.random.random(table.shape) * self.size[self.at(k, table)] >= self.discount
+            first = takes.argmax(1)
+            rows = np.arange(len(todo))
+            found = takes[rows, first]
+            out[todo[found]] = table[rows, first][found]
+            todo, tries = todo[~found], min(64, 4 * tries)
+        return out
 
     def open(self, guests: np.ndarray) -> None:
         """Seats the first customers of empty restaurants, ``guests`` of each cell: the first of a dish has a table of its own."""
@@ -117,55 +135,86 @@ class Level:
             now = np.minimum(guests, np.maximum(1, c // 8))
             fresh = (self.strength + self.discount * self.tables[r]) * self.above(cells)
             fresh = self.random.binomial(now, np.where(c > 0, fresh / (fresh + np.maximum(c - self.discount * t, 1e-12)), 1.0))
+            first = self.start[cells] + c
             joins = now - fresh
             some = joins > 0
             if some.any():
-                np.add.at(self.size, self.pick(cells[some], joins[some], self.discount), 1)
+                who = np.repeat(cells[some], joins[some])
+                table = self.pick(who)
+                self.seat[series(first[some], joins[some])] = table
+                np.add.at(self.size, self.at(who, table), 1)
             opened = np.flatnonzero(fresh)
             many = fresh[opened]
-            place = np.arange(int(many.sum())) + np.repeat(self.start[cells[opened]] + t[opened] - (np.cumsum(many) - many), many)
+            place = series(self.start[cells[opened]] + t[opened], many)
             self.size[place] = 1
+            self.seat[series(first[opened] + joins[opened], many)] = self.ids[place]
             self.t[cells] += fresh
             self.c[cells] += now
             np.add.at(self.tables, r, fresh)
             np.add.at(self.customers, r, now)
             if self.up is not None and len(opened):
-                parent, which = np.unique(self.parent[cells[opened]], return_inverse=True)
-                self.up.add(parent, np.bincount(which, many).astype(np.int64))
+                self.up.add(*self.parents(cells[opened], many))
             guests = guests - now
             cells, guests = cells[guests > 0], guests[guests > 0]
 
     def remove(self, cells: np.ndarray, guests: np.ndarray) -> None:
-        """Takes ``guests`` random customers from each cell; cells differ, and have that many."""
+        """Takes ``guests`` random customers from each cell; cells rise, and have that many."""
         if not len(cells):
             return
-        place, first, n = self.laid(cells)
-        size = self.size[place]
-        total = np.cumsum(size)
-        leave = np.bincount(np.searchsorted(total, self.chosen(total[first] - size[first], self.c[cells], guests), "right"), minlength=len(place))
-        left = size - leave
-        self.size[place] = left
-        self.c[cells] -= guests
+        start, c, one = self.start[cells], self.c[cells], guests == 1
+        gone = start[one] + (self.random.random(int(one.sum())) * c[one]).astype(np.int64)
+        if not one.all():
+            gone = np.sort(np.concatenate((gone, self.chosen(start[~one], c[~one], guests[~one]))))
+        self.leave(cells, guests, gone)
         np.subtract.at(self.customers, self.rest[cells], guests)
-        owner = np.repeat(np.arange(len(cells)), n)
-        gone = np.bincount(owner[left == 0], minlength=len(cells))
-        if not gone.any():
+        # the last customers take the places of those who left
+        last = series(start + c - guests, guests)
+        self.taken[gone] = True
+        last = last[~self.taken[last]]
+        self.taken[gone] = False
+        self.seat[gone[gone < np.repeat(start + c - guests, guests)]] = self.seat[last]
+
+    def count(self, tables: np.ndarray, change: int, apart: int) -> None:
+        """Changes the sizes of the tables, which are all different if there are ``apart`` of them or fewer."""
+        if len(tables) <= apart:
+            self.size[tables] += change
+        else:
+            np.add.at(self.size, tables, change)
+
+    def leave(self, cells: np.ndarray, guests: np.ndarray, gone: np.ndarray) -> None:
+        """The customers at the places ``gone``, ``guests`` of each cell, leave their tables; both rise."""
+        table = self.at(np.repeat(cells, guests), self.seat[gone])
+        self.count(table, -1, len(cells))
+        self.c[cells] -= guests
+        empty = self.size[table] == 0
+        if not empty.any():
             return
-        # the tables that stay move up
-        moved = gone[owner] > 0
-        owner, place, left = owner[moved], place[moved], left[moved]
-        self.size[place] = 0
-        stay = left > 0
-        owner, left = owner[stay], left[stay]
-        head = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
-        rank = np.arange(len(owner)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-        self.size[self.start[cells[owner]] + rank] = left
-        self.t[cells] -= gone
-        np.subtract.at(self.tables, self.rest[cells], gone)
+        table, first = np.unique(table[empty], return_index=True)
+        owner = np.repeat(cells, guests)[empty][first]
+        head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        cells, many = owner[head], np.diff(np.r_[head, len(owner)])
+        start, end = self.start[cells], self.start[cells] + self.t[cells] - many
+        # the last tables take the places of those that are empty
+        last = series(end, many)
+        full = self.size[last] > 0
+        last, free = last[full], table < np.repeat(end, many)
+        hole, start = table[free], np.repeat(start, many)
+        self.size[hole], self.size[last] = self.size[last], 0
+        was, now, start = self.ids[hole], self.ids[last], start[free]
+        self.ids[hole], self.ids[last] = now, was
+        self.place[start + now], self.place[start + was] = hole - start, last - start
+        self.t[cells] -= many
+        np.subtract.at(self.tables, self.rest[cells], many)
         if self.up is not None:
-            some = np.flatnonzero(gone)
-            parent, which = np.unique(self.parent[cells[some]], return_inverse=True)
-            self.up.remove(parent, np.bincount(which, gone[some]).astype(np.int64))
+            self.up.remove(*self.parents(cells, many))
+
+    def parents(self, cells: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, n): the parents of the cells, rising, and the sums of ``many``."""
+        parent = self.parent[cells]
+        order = np.argsort(parent)
+        parent = parent[order]
+        head = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+        return parent[head], np.add.reduceat(many[order], head)
 
     def chosen(self, low: np.ndarray, of: np.ndarray, many: np.ndarray) -> np.ndarray:
         """``many`` different random whole numbers of [low, low + of) for each entry; the ranges don't overlap."""
@@ -191,27 +240,62 @@ class Level:
             out.append(drawn)
         return np.concatenate(out)
 
-    def sweep(self, reach: int = REACH, turns: int = TURNS) -> None:
-        """Takes customers from their tables, and seats each by what all others say, parents included.
+    def move(self, cells: np.ndarray, low: np.ndarray, guests: np.ndarray) -> None:
+        """Each cell's customers from the ``low``-th on, ``guests`` but not all, leave and sit down again; cells rise."""
+        if not len(cells):
+            return
+        places = series(self.start[cells] + low, guests)
+        self.leave(cells, guests, places)
+        t, r = self.t[cells], self.rest[cells]
+        fresh = (self.strength + self.discount * self.tables[r]) * self.above(cells)
+        fresh /= fresh + self.c[cells] - self.discount * t
+        who = np.repeat(np.arange(len(cells)), guests)
+        opens = self.random.random(len(who)) < fresh[who]
+        join, joins = who[~opens], places[~opens]
+        table = self.pick(cells[join], low[join], guests[join])
+        self.seat[joins] = table
+        self.count(self.at(cells[join], table), 1, len(cells) if len(who) == len(cells) else 0)
+        self.c[cells] += guests
+        if not opens.any():
+            return
+        opened, many = np.unique(who[opens], return_counts=True)
+        new = series(self.start[cells[opened]] + t[opened], many)
+        self.size[new] = 1
+        self.seat[places[opens]] = self.ids[new]
+        self.t[cells[opened]] += many
+        np.add.at(self.tables, r[opened], many)
+        if self.up is not None:
+            self.up.add(*self.parents(cells[opened], many))
+
+    def sweep(self, reach: int | None = None, turns: int = TURNS, share: int = SHARE) -> None:
+        """Takes all customers from their tables, and seats each by what all others say, parents included.
 
-        All customers of a dish go one after the other, or ``reach`` random ones of them. Restaurants are served side by
-        side. A restaurant's dishes take turns, so up to ``turns`` dishes that have anything to draw are seated one
-        customer at a time; of more, every ``turns``-th one leaves and sits down with each other.
+        Of a dish with two customers one is enough, since the other's table is its own then, whatever it had. With ``reach``,
+        no more than that of a dish leave. They go one after the other; of ``share`` customers and more, an equal part of one
+        in ``share`` at once. Restaurants are served side by side. A restaurant's dishes take turns, so up to ``turns`` dishes
+        that have anything to draw are seated one customer at a time; of more, every ``turns``-th one leaves and sits down
+        with each other.
         """
         cells = np.flatnonzero(self.c > 1)
         order = cells[np.argsort(self.rest[cells], kind="stable")]
         r = self.rest[order]
         head = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
-        turn = (np.arange(len(r)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % turns
-        groups = [order[turn == k] for k in range(turns)]
-        least = np.minimum(self.c, reach)
-        for k in range(reach):
-            groups = [g[least[g] > k] for g in groups]
-            for g in groups:
-                g = g[self.c[g] > 0]
-                one = np.ones(len(g), np.int64)
-                self.remove(g, one)
-                self.add(g, one)
+        turn = np.empty(len(self.c), np.int64)
+        turn[order] = (np.arange(len(r)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % turns
+        groups = [cells[turn[cells] == k] for k in range(turns)]
+        # a cell's customers stay as many while its own level is swept
+        low = np.where(self.c == 2, 1, 0)
+        end = self.c.copy()
+        if reach is not None:
+            low = (self.random.random(len(end)) * (np.maximum(end - reach, low) + 1)).astype(np.int64)
+            end = np.minimum(end, low + reach)
+        once = np.maximum(1, self.c // share)
+        while any(len(g) for g in groups):
+            for k, g in enumerate(groups):
+                guests = np.minimum(once[g], end[g] - low[g])
+                self.move(g, low[g], guests)
+                low[g] += guests
+                groups[k] = g[low[g] < end[g]]
 
 
 def discount_of(counts: np.ndarray) -> float:
@@ -404,8 +488,9 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
     with A-Z lower-cased, and an end per document; null texts have the end only. score sums log10 of the predictive
     probabilities after the two words before, each the mean of ``draws`` seatings after ``burn_in`` Gibbs sweeps, and
     perplexity is 10 ** (-score / n_tokens). base_score is the add-one model of single tokens, which is also the base of
-    the topmost restaurants, and what a token after an unknown word has. A sweep takes customers from their tables and
-    seats them anew by what all others say (``Level.sweep``). Discounts follow from how many dishes have one customer
+    the topmost restaurants, and what a token after an unknown word has. A sweep takes all customers from their tables
+    and seats them anew by what all others say (``Level.sweep``); since the first seating follows the model, too, few
+    sweeps bring scores close to those of many (README). Discounts follow from how many dishes have one customer
     and two. Without training documents the score is that of the base alone.
 
     Contexts are dealt to classes of about CLASS tokens by their last word, those of a word with over PARENT tokens by the
