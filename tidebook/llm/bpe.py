@@ -344,7 +344,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 made.append(pa.array(decode(found, first, vocabulary.value.tokens), pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(X.lean(run), schema)
 
 
 def decode_column(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -361,7 +361,7 @@ def decode_column(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "
             texts = decode(np.asarray(lists.flatten(), np.int64), first, tokens.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, decoded])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(X.lean(run), schema)
 
 
 def digests(rows: DataFrame, keep: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -278,7 +278,7 @@ def settle(entities: DataFrame, key: bytes, make: Callable[..., str] = surrogate
     # given away so far: a frame per attempt, joined to one at every eighth
     pending, settled = entities, []
     for attempt in itertools.count():
-        open_ = pending.select("kind", "canonical", "role").mapInArrow(propose(attempt), "kind string, canonical string, surrogate string")
+        open_ = pending.select("kind", "canonical", "role").mapInArrow(X.lean(propose(attempt)), "kind string, canonical string, surrogate string")
         for taken in (entities.select("kind", F.col("canonical").alias("surrogate")), *(x.select("kind", "surrogate") for x in settled)):
             open_ = open_.join(taken, ["kind", "surrogate"], "left_anti")
         settled.append(cut(open_.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).select("kind", "canonical", "surrogate")))
@@ -324,7 +324,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text", count: str | None =
             columns = [pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(7)]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "kind", "canonical", *"sfmn"])
 
-    found = likely.select(F.col("_k").alias("k"), F.col(text).alias("t")).mapInArrow(detect, "k string, kind string, canonical string, s long, f long, m long, n long")
+    found = likely.select(F.col("_k").alias("k"), F.col(text).alias("t")).mapInArrow(X.lean(detect), "k string, kind string, canonical string, s long, f long, m long, n long")
     mentions = cut(found.groupBy("k", "kind", "canonical").agg(F.count("*").alias("rows"), *(F.max(c).alias(c) for c in "sfmn")))
     # a name is a given name or a surname, a woman's or a man's, by most texts
     role = F.when(F.col("s") > F.col("f") + F.col("m") + F.col("n"), "s").when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").when(F.col("n") > 0, "n").otherwise("s")
@@ -351,7 +351,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text", count: str | None =
             columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(counts, pa.int64())] if count else [])], names=schema.names)
 
-    out = met.mapInArrow(rewrite, schema)
+    out = met.mapInArrow(X.lean(rewrite), schema)
     clear = clear.withColumn(count, F.lit(0).cast("long")) if count else clear
     order = [c for c in names if c != count] + ([count] if count else [])
     return clear.select(*order).union(out.select(*order))

@@ -128,7 +128,7 @@ def with_statistics(docs: DataFrame, text: str, *keep: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), lists], names=[*keep, "x"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(X.lean(run), schema)
 
 
 def fit(examples: DataFrame, shrink: float = 0.2, floor: float = 1e-3) -> Quadratic | None:
@@ -181,7 +181,7 @@ def scored(rows: DataFrame, model: Quadratic | None, text: str = "text", score:
             s = np.full(len(batch), 0.5) if model is None else model.score(statistics(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, score])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(X.lean(run), schema)
 
 
 def scored_statistics(rows: DataFrame, model: Quadratic | None, score: str = "score") -> DataFrame:
@@ -195,4 +195,4 @@ def scored_statistics(rows: DataFrame, model: Quadratic | None, score: str = "sc
             names = [n for n in batch.schema.names if n != "x"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s)], names=[*names, score])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(X.lean(run), schema)

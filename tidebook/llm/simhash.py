@@ -16,8 +16,8 @@ from tidebook.llm import text as X
 from tidebook.llm.cluster import components, cut
 from tidebook.llm.hot import Forest, dealt_join, in_bounded_groups
 
-#: Bytes of text that the kernel takes at a time.
-PIECE = 1 << 20
+#: Bytes of text that the kernel takes at a time, and that the signatures of near-duplicates do.
+PIECE, SIGNED = 1 << 20, 1 << 18
 #: The binary Golay code: length, check bits, covering radius, generator polynomial x11+x9+x7+x6+x5+x+1.
 LENGTH, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 #: Rows of one comparison group.
@@ -250,7 +250,7 @@ class Groups:
         return pa.RecordBatch.from_arrays([pa.array(self.values[tied]), pa.array(self.values[root[tied]])], names=["a", "b"])
 
 
-def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 100_000, most_bytes: int = 32 << 20) -> Callable:
+def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 100_000, most_bytes: int = 8 << 20) -> Callable:
     """A function of batches that come in the order of (anchor, part): ``within`` sees whole groups, several at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def by_group(within: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 100
         if count:
             yield within(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return run
+    return X.lean(run)
 
 
 def forest(rows: DataFrame, threshold: int, most: int = GROUP) -> DataFrame:
@@ -405,12 +405,12 @@ def compared(rows: DataFrame, most: int = SHINGLES) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.pieces(batches, "text", PIECE):
+        for batch in X.pieces(batches, "text", SIGNED):
             found = [shingle_set(t) for t in batch.column("text").to_pylist()]
             weight = pa.array([ROW + len(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), batch.column("keys"), pa.array([x.tobytes() for x in found], pa.binary()), weight], names=["anchor", "id", "keys", "shingles", "weight"])
 
-    rows = cut(rows.select("component", "node", "keys", "text").mapInArrow(sets, "anchor long, id long, keys binary, shingles binary, weight long"))
+    rows = cut(rows.select("component", "node", "keys", "text").mapInArrow(X.lean(sets), "anchor long, id long, keys binary, shingles binary, weight long"))
     rows = in_bounded_groups(rows, ["anchor"], "id", most, F.col("weight"))
     rows = rows.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part")
 
@@ -453,12 +453,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     plain = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), "_sk")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.pieces(batches, "text", PIECE):
+        for batch in X.pieces(batches, "text", SIGNED):
             sequence, decide, keys = signatures(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_sk"), pa.array(sequence, pa.binary()), eights(decide), eights(keys)], names=["doc_id", "_sk", "sequence", "bits", "keys"])
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    signed = cut(plain.mapInArrow(sign, f"doc_id {kind}, _sk string, sequence binary, bits binary, keys binary"))
+    signed = cut(plain.mapInArrow(X.lean(sign), f"doc_id {kind}, _sk string, sequence binary, bits binary, keys binary"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a sequence of words once, with its first document
     first = signed.groupBy("sequence").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sk")).alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
@@ -473,7 +473,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
                 took = batch.take(pa.array(np.repeat(np.arange(len(batch)), TABLES)))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), took.column("id"), took.column("bits")], names=["anchor", "id", "bits"])
 
-    spreaded = first.select("id", "bits", "keys").repartition(parts).mapInArrow(spread, "anchor long, id long, bits binary")
+    spreaded = first.select("id", "bits", "keys").repartition(parts).mapInArrow(X.lean(spread), "anchor long, id long, bits binary")
     maybe = components(cut(forest(spreaded, DIFFER, most)))
     asked = first.join(maybe, first.id == maybe.node).select("component", "node", "keys", F.col("low._sk").alias("_st"))
     met = plain.join(cut(asked), plain["_sk"] == F.col("_st")).groupBy("_sk").agg(*(F.first(c).alias(c) for c in ("component", "node", "keys", "text")))

@@ -6,16 +6,18 @@ version. Every kernel works on an Arrow string column's own buffer: no Python st
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 #: Bytes that one call of the hashing kernel takes at a time (its temporaries take about 40 times as much).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,12 +36,34 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, PIECE * 2), np.uint64(base & (1 << 64) - 1))
+        p = np.full(1 << max(n - 1, 0).bit_length(), np.uint64(base & (1 << 64) - 1))
         p[0] = 1
         have = _powers[base] = np.multiply.accumulate(p)
     return have[:n]
 
 
+def trim() -> None:
+    """Gives free memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; its worker, which waits for other tasks afterwards, keeps no free memory meanwhile."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit."""
     x = x ^ (x >> np.uint64(32))
