@@ -25,7 +25,7 @@ from tidebook.llm.cluster import cut, release
 #: Words of a class, about; and training tokens of a context word beyond which its contexts are dealt to several parents.
 CLASS, PARENT = 1_000_000, 250_000
 #: Dishes of a restaurant that are seated one at a time, and the parts of a dish's customers that are, if it has more of them.
-TURNS, SHARE = 8, 16
+TURNS, SHARE = 16, 16
 #: Ids of what stands before a document's first words, and of all words that training lacks; its words follow.
 OPENING, UNKNOWN, FIRST = 0, 1, 2
 #: A customer, in the type of the tables' sizes.
@@ -34,26 +34,56 @@ ONE = np.int32(1)
 END = (0x5BD1E9955BD1E995, 0xC2B2AE3D27D4EB4F)
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The order of whole numbers from 0, ties by place: keys are sorted with their places in their low bits, which takes a
+    fraction of the time of ``argsort``; long ones in pieces, the low bits first."""
+    low, bits = np.uint64(len(keys).bit_length()), int(keys.max(initial=0)).bit_length()
+    at, order = np.arange(len(keys), dtype=np.uint64), None
+    keys, room = keys.astype(np.uint64), 64 - int(low)
+    for shift in range(0, max(bits, 1), room):
+        piece = (keys if order is None else keys[order]) >> np.uint64(shift) << low | at
+        piece.sort()
+        piece &= (np.uint64(1) << low) - np.uint64(1)
+        place = piece.view(np.int64)
+        order = place if order is None else order[place]
+    return order
+
+
+def differ(*rising: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    new = np.ones(len(rising[0]), bool)
+    if len(new):
+        np.not_equal(rising[0][1:], rising[0][:-1], out=new[1:])
+    for c in rising[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(head, group): a row of each distinct one, in rising order, and each row's number among them. Numbers are from 0."""
-    place, group = np.arange(len(columns[0])), np.zeros(len(columns[0]), np.int64)
-    bits = max(int(c.max(initial=0)).bit_length() for c in columns)
-    for c in columns:
-        if len(columns[0]).bit_length() + bits < 64:
-            key = group << bits | c[place]
-            order = np.argsort(key)
-            key = key[order]
-            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    keys, bits = [], 64
+    for c in columns[::-1]:  # neighbours share a key while it holds them
+        wide = int(c.max(initial=0)).bit_length()
+        if bits + wide < 64:
+            keys[-1] = keys[-1] | c.astype(np.int64) << bits
         else:
-            order = np.lexsort((c[place], group))
-            g, x = group[order], c[place][order]
-            new = np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])] if len(g) else np.zeros(0, bool)
-        place, group = place[order], np.cumsum(new) - 1
+            keys, bits = [*keys, c], 0
+        bits += wide
+    place = ordered(keys[0])
+    for k in keys[1:]:
+        place = place[ordered(k[place])]
+    new = differ(*(k[place] for k in keys))
     out = np.empty(len(place), np.int64)
-    out[place] = group
+    out[place] = np.cumsum(new) - 1
     return place[new], out
 
 
+def rising(numbers: np.ndarray) -> np.ndarray:
+    """The distinct ones in rising order."""
+    numbers = np.sort(numbers)
+    return numbers[differ(numbers)]
+
+
 def series(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """``many`` whole numbers from each ``first`` on, one after the other; ``first`` itself if that is one of each."""
     total = int(many.sum())
@@ -98,7 +128,7 @@ class Level:
 
     def share(self, cells: np.ndarray) -> np.ndarray:
         """The predictive probability of the cells' dishes in their restaurants."""
-        r = self.rest[cells]
+        r = self.room(cells)
         own = self.c[cells] - self.discount * self.t[cells]
         return (own + (self.strength + self.discount * self.tables[r]) * self.above(cells)) / (self.strength + self.customers[r])
 
@@ -114,25 +144,40 @@ class Level:
         return start + self.place[start + ids]
 
     def pick(self, cells: np.ndarray, low: np.ndarray | None = None, absent: np.ndarray | None = None) -> np.ndarray:
-        """Ids of tables of the cells, with probability in proportion to their size less the discount.
+        """Where tables of the cells lie in ``size``, with probability in proportion to their size less the discount.
 
-        A random customer's table is taken or not, until one is. ``absent`` customers from the ``low``-th on are away.
+        Of two tables their sizes decide. Of more, a random customer's table is taken or not, until one is. ``absent``
+        customers from the ``low``-th on are away.
         """
-        out = self.ids[self.start[cells]].astype(np.int64)
-        todo, tries = np.flatnonzero(self.t[cells] > 1), 2
-        while len(todo):
-            k = cells[todo]
+        out, t = self.start[cells], self.t[cells]
+        todo = (t > 1).nonzero()[0]
+        if not len(todo):
+            return out
+        if len(todo) < len(cells):
+            t = t[todo]
+        two = t == 2
+        few, many = todo[two], todo[~two]
+        tries = 4
+        while len(many):
+            k = cells[many]
             start = self.start[k][:, None]
-            customer = (self.random.random((len(todo), tries)) * self.c[k][:, None]).astype(np.int64)
-            if low is not None:
-                customer += (customer >= low[todo][:, None]) * absent[todo][:, None]
+            customer = self.random.random((len(many), tries))
+            if low is None:
+                customer = (customer * self.c[k][:, None]).astype(np.int64)
+            else:
+                customer = (customer * (self.c[k] - absent[many])[:, None]).astype(np.int64)
+                customer += (customer >= low[many][:, None]) * absent[many][:, None]
             customer += start
-            table = self.seat[customer]
-            takes = self.random.random(table.shape) * self.size[start + self.place[start + table]] >= self.discount
+            table = start + self.place[start + self.seat[customer]]
+            takes = self.random.random(table.shape) * self.size[table] >= self.discount
             first = takes.argmax(1) + np.arange(0, takes.size, tries)
             found = takes.ravel()[first]
-            out[todo[found]] = table.ravel()[first[found]]
-            todo, tries = todo[~found], min(64, 4 * tries)
+            out[many[found]] = table.ravel()[first[found]]
+            many, tries = many[~found], min(64, 4 * tries)
+        if len(few):
+            here = self.c[cells[few]] if absent is None else self.c[cells[few]] - absent[few]
+            first = self.size[out[few]] - self.discount
+            out[few] += self.random.random(len(few)) * (here - 2 * self.discount) >= first
         return out
 
     def open(self, guests: np.ndarray) -> None:
@@ -150,50 +195,113 @@ class Level:
 
     def add(self, cells: np.ndarray, guests: np.ndarray) -> None:
         """Seats ``guests`` new customers of each cell; cells differ. Guests of a cell follow each other while there are few."""
-        cells, guests = cells[guests > 0], guests[guests > 0]
+        if not guests.all():
+            cells, guests = cells[guests > 0], guests[guests > 0]
         while len(cells):
-            c, t, r = self.c[cells], self.t[cells], self.rest[cells]
-            now = np.minimum(guests, np.maximum(1, c // 8))
-            fresh = (self.strength + self.discount * self.tables[r]) * self.above(cells)
-            fresh = self.random.binomial(now, np.where(c > 0, fresh / (fresh + np.maximum(c - self.discount * t, 1e-12)), 1.0))
-            first = self.start[cells] + c
-            joins = now - fresh
-            some = joins > 0
-            if some.any():
-                who = cells[some].repeat(joins[some])
-                table = self.pick(who)
-                self.seat[series(first[some], joins[some])] = table
-                np.add.at(self.size, self.at(who, table), ONE)
-            opened = np.flatnonzero(fresh)
-            many = fresh[opened]
-            place = series(self.start[cells[opened]] + t[opened], many)
+            c, t, start = self.c[cells], self.t[cells], self.start[cells]
+            fresh = self.opening(cells)
+            fresh /= fresh + np.maximum(c - self.discount * t, 1e-12)
+            fresh[c == 0] = 1.0
+            most = int(guests.max())
+            now = guests if most == 1 else np.minimum(guests, np.maximum(1, c // 8))
+            if most == 1 or int(now.max()) == 1:
+                opens = self.random.random(len(cells)) < fresh
+                joins, opened = (~opens).nonzero()[0], opens.nonzero()[0]
+                if len(joins):
+                    table = self.pick(cells[joins])
+                    self.seat[start[joins] + c[joins]] = self.ids[table]
+                    self.size[table] += ONE
+                many, place = np.ones(len(opened), np.int64), start[opened] + t[opened]
+                self.seat[start[opened] + c[opened]] = self.ids[place]
+                fresh = opens
+            else:
+                fresh = self.random.binomial(now, fresh)
+                joins = now - fresh
+                some = joins > 0
+                if some.any():
+                    table = self.pick(cells[some].repeat(joins[some]))
+                    self.seat[series((start + c)[some], joins[some])] = self.ids[table]
+                    np.add.at(self.size, table, ONE)
+                opened = fresh.nonzero()[0]
+                many = fresh[opened]
+                place = series(start[opened] + t[opened], many)
+                self.seat[series((start + c + joins)[opened], many)] = self.ids[place]
             self.size[place] = 1
-            self.seat[series(first[opened] + joins[opened], many)] = self.ids[place]
-            self.t[cells] += fresh
-            self.c[cells] += now
-            np.add.at(self.tables, r, fresh)
-            np.add.at(self.customers, r, now)
-            if self.up is not None and len(opened):
-                self.up.add(*self.parents(cells[opened], many))
+            self.c[cells] = c + now
+            self.tally(self.customers, cells, now)
+            if len(opened):
+                parents = cells[opened]
+                self.t[parents] += many
+                self.tally(self.tables, parents, many)
+                if self.up is not None:
+                    self.up.add(*self.parents(parents, many))
+            if most == 1:
+                return
             guests = guests - now
             cells, guests = cells[guests > 0], guests[guests > 0]
 
+    def opening(self, cells: np.ndarray) -> np.ndarray:
+        """The weight of a new table of each cell's dish."""
+        return (self.strength + self.discount * self.tables[self.room(cells)]) * self.above(cells)
+
+    def room(self, cells: np.ndarray) -> np.ndarray | int:
+        """The cells' restaurants, or that of all cells."""
+        return self.rest[cells] if len(self.tables) > 1 else 0
+
+    def tally(self, of: np.ndarray, cells: np.ndarray, many: np.ndarray) -> None:
+        """Adds each cell's number to its restaurant's."""
+        if len(of) > 1:
+            np.add.at(of, self.rest[cells], many)
+        else:
+            of += many.sum()
+
     def remove(self, cells: np.ndarray, guests: np.ndarray) -> None:
         """Takes ``guests`` random customers from each cell; cells rise, and have that many."""
         if not len(cells):
             return
-        start, c, one = self.start[cells], self.c[cells], guests == 1
-        gone = start[one] + (self.random.random(int(one.sum())) * c[one]).astype(np.int64)
-        if not one.all():
-            gone = np.sort(np.concatenate((gone, self.chosen(start[~one], c[~one], guests[~one]))))
-        self.leave(cells, guests, gone)
-        np.subtract.at(self.customers, self.rest[cells], guests)
+        start, c, t = self.start[cells], self.c[cells], self.t[cells]
+        stay = c - guests
+        self.c[cells] = stay
+        self.tally(self.customers, cells, -guests)
+        # of one table's customers it doesn't matter who leaves
+        one = t == 1
+        alone = one.nonzero()[0]
+        if len(alone):
+            self.size[start[alone]] = stay[alone]
+            closed = cells[alone[stay[alone] == 0]]
+            if len(alone) == len(cells):
+                self.close(closed, np.ones(len(closed), np.int64))
+                return
+            more = (~one).nonzero()[0]
+            cells, guests, start, c, stay = cells[more], guests[more], start[more], c[more], stay[more]
+        single = guests == 1
+        if single.all():
+            gone = start + (self.random.random(len(cells)) * c).astype(np.int64)
+        else:
+            gone = start[single] + (self.random.random(int(single.sum())) * c[single]).astype(np.int64)
+            gone = np.sort(np.concatenate((gone, self.chosen(start[~single], c[~single], guests[~single]))))
+        empty, many = self.leave(cells, guests, gone)
         # the last customers take the places of those who left
-        last = series(start + c - guests, guests)
-        self.taken[gone] = True
-        last = last[~self.taken[last]]
-        self.taken[gone] = False
-        self.seat[gone[gone < (start + c - guests).repeat(guests)]] = self.seat[last]
+        if len(gone) == len(cells):
+            self.seat[gone] = self.seat[start + stay]
+        else:
+            last = series(start + stay, guests)
+            self.taken[gone] = True
+            last = last[~self.taken[last]]
+            self.taken[gone] = False
+            self.seat[gone[gone < (start + stay).repeat(guests)]] = self.seat[last]
+        if len(alone) and len(closed):
+            empty, many = np.concatenate((empty, closed)), np.concatenate((many, np.ones(len(closed), np.int64)))
+        self.close(empty, many)
+
+    def close(self, cells: np.ndarray, many: np.ndarray) -> None:
+        """``many`` tables of each cell are gone, and leave the parents."""
+        if not len(cells):
+            return
+        self.t[cells] -= many
+        self.tally(self.tables, cells, -many)
+        if self.up is not None:
+            self.up.remove(*self.parents(cells, many))
 
     def count(self, tables: np.ndarray, change: int, apart: int) -> None:
         """Changes the sizes of the tables, which are all different if there are ``apart`` of them or fewer."""
@@ -202,40 +310,44 @@ class Level:
         else:
             np.add.at(self.size, tables, change * ONE)  # of the sizes' own type, which takes a twentieth of the time
 
-    def leave(self, cells: np.ndarray, guests: np.ndarray, gone: np.ndarray) -> None:
-        """The customers at the places ``gone``, ``guests`` of each cell, leave their tables; both rise."""
-        single = len(gone) == len(cells)
-        owner = cells if single else cells.repeat(guests)
-        table = self.at(owner, self.seat[gone])
-        self.count(table, -1, len(cells))
-        self.c[cells] -= guests
-        empty = self.size[table] == 0
-        if not empty.any():
-            return
-        table, owner = table[empty], owner[empty]
-        if single:  # tables rise with their cells
-            cells, many = owner, np.ones(len(owner), np.int64)
+    def leave(self, cells: np.ndarray, guests: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The customers at the places ``gone``, ``guests`` of each cell, leave their tables; both rise.
+
+        Returns the cells whose tables are empty, and how many of them; the last tables take the places of those.
+        """
+        if len(gone) == len(cells):
+            start = self.start[cells]
+            table = start + self.place[start + self.seat[gone]]
+            left = self.size[table] - ONE
+            self.size[table] = left
+            empty = (left == 0).nonzero()[0]
+            cells, hole, start = cells[empty], table[empty], start[empty]
+            many = np.ones(len(cells), np.int64)
+            last = start + self.t[cells] - 1
+            self.size[hole] = self.size[last]
+            self.size[last] = 0
         else:
+            owner = cells.repeat(guests)
+            table = self.at(owner, self.seat[gone])
+            self.count(table, -1, len(cells))
+            empty = self.size[table] == 0
+            table, owner = table[empty], owner[empty]
             order = table.argsort()
             table = table[order]
             first = counted(table)[0]
             table, owner = table[first], owner[order[first]]
             head, many = counted(owner)
             cells = owner[head]
-        start, end = self.start[cells], self.start[cells] + self.t[cells] - many
-        # the last tables take the places of those that are empty
-        last = series(end, many)
-        full = self.size[last] > 0
-        last, free = last[full], table < end.repeat(many)
-        hole, start = table[free], start.repeat(many)
-        self.size[hole], self.size[last] = self.size[last], 0
-        was, now, start = self.ids[hole], self.ids[last], start[free]
+            start, end = self.start[cells], self.start[cells] + self.t[cells] - many
+            last = series(end, many)
+            full = self.size[last] > 0
+            last, free = last[full], table < end.repeat(many)
+            hole, start = table[free], start.repeat(many)[free]
+            self.size[hole], self.size[last] = self.size[last], 0
+        was, now = self.ids[hole], self.ids[last]
         self.ids[hole], self.ids[last] = now, was
         self.place[start + now], self.place[start + was] = hole - start, last - start
-        self.t[cells] -= many
-        np.subtract.at(self.tables, self.rest[cells], many)
-        if self.up is not None:
-            self.up.remove(*self.parents(cells, many))
+        return cells, many
 
     def parents(self, cells: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, n): the parents of the cells, rising, and the sums of ``many``."""
@@ -273,61 +385,96 @@ class Level:
         """Each cell's customers from the ``low``-th on, ``guests`` but not all, leave and sit down again; cells rise."""
         if not len(cells):
             return
-        places = series(self.start[cells] + low, guests)
-        self.leave(cells, guests, places)
-        t, r = self.t[cells], self.rest[cells]
-        fresh = (self.strength + self.discount * self.tables[r]) * self.above(cells)
-        fresh /= fresh + self.c[cells] - self.discount * t
-        who = np.arange(len(cells))
-        who = who if len(places) == len(cells) else who.repeat(guests)
-        opens = self.random.random(len(who)) < fresh[who]
-        join, joins = who[~opens], places[~opens]
-        table = self.pick(cells[join], low[join], guests[join])
-        self.seat[joins] = table
-        self.count(self.at(cells[join], table), 1, len(cells) if len(who) == len(cells) else 0)
-        self.c[cells] += guests
-        if not opens.any():
+        start, t = self.start[cells], self.t[cells]
+        single = int(guests.max()) == 1
+        # who leaves a dish's only table and sits down there again changes nothing
+        some = (t > 1).nonzero()[0]
+        if len(some):
+            k = cells[some]
+            gone = (start + low)[some]
+            self.close(*self.leave(k, guests[some], gone if single else series(gone, guests[some])))
+            t[some] = self.t[k]
+        fresh = self.opening(cells)
+        fresh /= fresh + (self.c[cells] - guests - self.discount * t)
+        if single:
+            opens = self.random.random(len(cells)) < fresh
+            places, opened = start + low, opens.nonzero()[0]
+            new, many = (start + t)[opened], np.ones(len(opened), np.int64)
+            join = some[~opens[some]]
+            who, seats = join, places[join]
+        else:
+            who = np.arange(len(cells)).repeat(guests)
+            places = series(start + low, guests)
+            opens = self.random.random(len(who)) < fresh[who]
+            several = np.zeros(len(cells), bool)
+            several[some] = True
+            join = (several[who] & ~opens).nonzero()[0]
+            who, seats, opening = who[join], places[join], who[opens]
+            head, many = counted(opening)
+            opened = opening[head]
+            new = series((start + t)[opened], many)
+        if len(join):
+            table = self.pick(cells[who], low[who], guests[who])
+            self.seat[seats] = self.ids[table]
+            self.count(table, 1, len(table) if single else 0)
+        if not len(opened):
             return
-        opening = who[opens]
-        head, many = counted(opening)
-        opened = opening[head]
-        new = series(self.start[cells[opened]] + t[opened], many)
+        only = np.ones(len(cells), bool)
+        only[some] = False
+        lone = only[opened]
+        self.size[start[opened[lone]]] -= many[lone].astype(np.int32)
         self.size[new] = 1
         self.seat[places[opens]] = self.ids[new]
-        self.t[cells[opened]] += many
-        np.add.at(self.tables, r[opened], many)
+        opened = cells[opened]
+        self.t[opened] += many
+        self.tally(self.tables, opened, many)
         if self.up is not None:
-            self.up.add(*self.parents(cells[opened], many))
+            self.up.add(*self.parents(opened, many))
 
     def sweep(self, reach: int | None = None, turns: int = TURNS, share: int = SHARE) -> None:
         """Takes all customers from their tables, and seats each by what all others say, parents included.
 
         Of a dish with two customers one is enough, since the other's table is its own then, whatever it had. With ``reach``,
         no more than that of a dish leave. They go one after the other; of ``share`` customers and more, an equal part of one
-        in ``share`` at once. Restaurants are served side by side. A restaurant's dishes take turns, so up to ``turns`` dishes
-        that have anything to draw are seated one customer at a time; of more, every ``turns``-th one leaves and sits down
-        with each other.
+        in ``share`` at once. Restaurants are served side by side. Up to ``turns`` dishes of a restaurant that have anything to
+        draw are seated one customer at a time; of more, one in ``turns`` leaves and sits down with each other.
         """
         cells = np.flatnonzero(self.c > 1)
-        order = cells[np.argsort(self.rest[cells], kind="stable")]
-        r = self.rest[order]
-        head = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
-        turn = np.empty(len(self.c), np.int64)
-        turn[order] = (np.arange(len(r)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % turns
-        groups = [cells[turn[cells] == k] for k in range(turns)]
+        if not len(cells):
+            return
         # a cell's customers stay as many while its own level is swept
-        low = np.where(self.c == 2, 1, 0)
-        end = self.c.copy()
+        end = self.c[cells]
+        low, once = (end == 2).astype(np.int64), np.maximum(1, end // share)
         if reach is not None:
             low = (self.random.random(len(end)) * (np.maximum(end - reach, low) + 1)).astype(np.int64)
             end = np.minimum(end, low + reach)
-        once = np.maximum(1, self.c // share)
-        while any(len(g) for g in groups):
-            for k, g in enumerate(groups):
-                guests = np.minimum(once[g], end[g] - low[g])
-                self.move(g, low[g], guests)
-                low[g] += guests
-                groups[k] = g[low[g] < end[g]]
+        times = -((low - end) // once)
+        step = self.steps(self.rest[cells], times, turns)
+        who = np.arange(len(cells)).repeat(times)
+        once = once[who]
+        first = (np.arange(len(who)) - (times.cumsum() - times)[who]) * once + low[who]
+        order = ordered(step)
+        guests = np.minimum(once, end[who] - first)[order]
+        who, first = cells[who[order]], first[order]
+        edge = [0, *np.bincount(step).cumsum().tolist()]
+        for i, j in zip(edge, edge[1:], strict=False):
+            self.move(who[i:j], first[i:j], guests[i:j])
+
+    @staticmethod
+    def steps(rest: np.ndarray, times: np.ndarray, turns: int) -> np.ndarray:
+        """When each of the dishes' ``times`` comes: at no step a dish twice, nor more of a restaurant's dishes than one in ``turns``.
+
+        A restaurant's dishes follow each other in a line, which is cut into as many equal pieces as dishes may go at once.
+        """
+        order = ordered(rest)
+        line = times[order]
+        head, dishes = counted(rest[order])
+        total = np.add.reduceat(line, head)
+        long = np.maximum(np.maximum.reduceat(line, head), -(-total // -(-dishes // turns)))
+        first, length = np.empty_like(times), np.empty_like(times)
+        first[order] = line.cumsum() - line - (total.cumsum() - total).repeat(dishes)
+        length[order] = long.repeat(dishes)
+        return series(first, times) % length.repeat(times)
 
 
 def discount_of(counts: np.ndarray) -> float:
@@ -343,13 +490,14 @@ class Model:
     """
 
     def __init__(self, v: np.ndarray, w: np.ndarray, u: np.ndarray, count: np.ndarray, word: np.ndarray, base: np.ndarray, strength: float, random: np.random.Generator):
-        differ = lambda *columns: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])] if len(v) else np.zeros(0, bool)
-        pair = np.cumsum(differ(v, w)) - 1  # the parent's cell
-        heads = np.flatnonzero(differ(v, w))
-        dish = np.searchsorted(word, w[heads])
+        new = differ(v, w)
+        pair = np.cumsum(new) - 1  # the parent's cell
+        heads = np.flatnonzero(new)
+        dish = distinct(w[heads])[1]
         # restaurants are numbered; all cells of a context of two words lie apart, in the order of w
-        _, context = distinct(np.cumsum(differ(v)), u)
-        parent_rest = np.unique(v[heads], return_inverse=True)[1]
+        room = np.cumsum(differ(v)) - 1
+        _, context = distinct(room, u)
+        parent_rest = room[heads]
         total = np.bincount(pair, count, len(heads)).astype(np.int64)
         kinds = np.bincount(pair, count > 0, len(heads)).astype(np.int64)
         root_total = np.bincount(dish, total, len(word)).astype(np.int64)
@@ -387,13 +535,13 @@ class Tokens:
     def split(batch: pa.RecordBatch) -> tuple[Tokens, np.ndarray, np.ndarray]:
         """(tokens, hashes, checks) of rows (id, marked, text); distinct tokens are numbered by rising hashes."""
         data, offsets = X.buffer(batch.column("text"))
-        which, digests = X.distinct_words(data, offsets, fold=True)
-        _, _, first = X.words(data, offsets)
-        size = np.diff(first)
+        which, digests, size = X.distinct_words(data, offsets, fold=True)
         token = np.full(len(which) + len(size), len(digests))
         token[np.arange(len(which)) + np.repeat(np.arange(len(size)), size)] = which
         digests = np.concatenate((digests, np.array([END], np.uint64)))
-        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        order = ordered(digests[:, 0])
+        if not differ(digests[order, 0]).all():
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         digests = digests[order]
@@ -442,35 +590,44 @@ class Triples:
     @staticmethod
     def of(t: Tokens, ids: np.ndarray, count: np.ndarray, classes: int, parent: int = PARENT) -> Triples:
         # places of ids among the block's own take the ids' part: OPENING is 0, UNKNOWN 1
-        name = np.unique(np.concatenate(([OPENING, UNKNOWN], ids)))
-        w = np.searchsorted(name, ids)[t.which]
-        first = np.r_[True, t.doc[1:] != t.doc[:-1]] if len(w) else np.zeros(0, bool)
+        every = np.concatenate(([OPENING, UNKNOWN], ids))
+        head, place = distinct(every)
+        name, place = every[head], place[2:]
+        w = place[t.which]
+        first = differ(t.doc)
         before = lambda x: np.where(first, OPENING, np.r_[OPENING, x[:-1]]) if len(x) else x
         v = before(w)
         u = before(v)
         has = v != UNKNOWN
         v, w, u = v[has], w[has], u[has]
-        n = np.int64(len(name))
-        if len(name) < 1 << 21:
-            triple, which = np.unique((v * n + w) * n + u, return_inverse=True)
-            pair, u = triple // n, name[triple % n]
+        b = len(name).bit_length()
+        if b <= 21:
+            triple = (v << b | w) << b | u
+            order = ordered(triple)
+            triple = triple[order]
+            new = differ(triple)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            triple = triple[new]
+            v, w, u = triple >> 2 * b, triple >> b & (1 << b) - 1, triple & (1 << b) - 1
         else:
-            pair, at = np.unique(v * n + w, return_inverse=True)
-            triple, which = np.unique(at * n + u, return_inverse=True)
-            pair, u = pair[triple // n], name[triple % n]
-        v, w = pair // n, name[pair % n]
+            head, which = distinct(v, w, u)
+            v, w, u = v[head], w[head], u[head]
+        w, u = name[w], name[u]
         # contexts of a common word are dealt to several parents, by the word before
         size = np.zeros(len(name), np.int64)
-        size[np.searchsorted(name, ids[count > 0])] = count[count > 0]
-        parents = (1 + size[v] // parent).astype(np.uint64)
+        size[place[count > 0]] = count[count > 0]
+        parents, mixed = (1 + size // parent).astype(np.uint64), X.mix(name.astype(np.uint64))
+        part = (X.mix(mixed) % np.uint64(classes)).astype(np.int64)[v]
+        dealt = np.flatnonzero((parents > 1)[v])
+        half = X.mix(u[dealt].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % parents[v[dealt]]
+        part[dealt] = (X.mix(mixed[v[dealt]] + half) % np.uint64(classes)).astype(np.int64)
         v = name[v]
-        half = X.mix(u.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % parents
-        part = (X.mix(X.mix(v.astype(np.uint64)) + half) % np.uint64(classes)).astype(np.int64)
         return Triples(v, w, u, part, which, has)
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """(class, places), places rising."""
-        order = np.argsort(self.part, kind="stable")
+        order = ordered(self.part)
         cuts = np.flatnonzero(np.diff(self.part[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:
             yield int(self.part[at[0]]), at
@@ -586,10 +743,11 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
             ids, count = Tokens.known(answers)
             x = Triples.of(t, ids, count, classes, most)
             times = np.bincount(x.which, t.train[x.has], len(x.v)).astype(np.int64)
-            order = np.argsort(ids, kind="stable")
+            order = ordered(ids)
+            ids, count = ids[order], count[order]
             for part, at in x.parts():
-                words = np.unique(x.w[at])
-                of_word = count[order][np.searchsorted(ids[order], words)]
+                words = rising(x.w[at])
+                of_word = count[np.searchsorted(ids, words)]
                 out.append((part, row["block"], 2, pack_triples(x.v[at], x.w[at], x.u[at], times[at], of_word)))
         return messages(out)
 
@@ -598,7 +756,9 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
         senders = table["sender"].to_pylist()
         got = [unpack_triples(b) for b in table["body"].to_pylist()]
         v, w, u, count = (np.concatenate([g[i] for g in got]) for i in range(4))
-        word, at = np.unique(np.concatenate([np.unique(g[1]) for g in got]), return_index=True)
+        word = np.concatenate([rising(g[1]) for g in got])
+        at = distinct(word)[0]
+        word = word[at]
         base = (np.concatenate([g[4] for g in got])[at] + 1.0) / (tokens + 1.0 * (vocabulary + 1))
         head, group = distinct(v, w, u)
         count = np.bincount(group, count).astype(np.int64)
@@ -628,8 +788,7 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
             share = np.zeros(len(x.v))
             for part, at in x.parts():
                 share[at] = B.unpack(share_of[part])
-            of = count[t.which]
-            base = np.log10((of + 1.0) / (tokens + 1.0 * (vocabulary + 1)))
+            base = np.log10((count + 1.0) / (tokens + 1.0 * (vocabulary + 1)))[t.which]
             each = base.copy()
             if tokens:
                 each[x.has] = np.log10(share)[x.which]
@@ -642,7 +801,7 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
                         "doc_id": pa.array(t.ids, pa.int64(), mask=t.missing),
                         "training": pa.array(t.marked),
                         "n_tokens": size.astype(np.int64),
-                        "n_known": total(of > 0).astype(np.int64),
+                        "n_known": total((count > 0)[t.which]).astype(np.int64),
                         "train_tokens": np.full(docs_, tokens, np.int64),
                         "base_score": total(base),
                         "score": whole,

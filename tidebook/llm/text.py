@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import itertools
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -128,20 +127,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(number, digests): the number of each word's distinct word, in the order of ``words``, and the two halves of each
-    distinct word's XXH3 of 128 bits. Words are told apart by their bytes."""
-    raw = (FOLD[data] if fold else data).tobytes()
-    texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    found = b"\n".join(texts).split()
-    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-    return which, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), np.uint64).reshape(-1, 2)
+def distinct_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, digests, size): the number of each word's distinct word, in the order of ``words``, the two halves of each
+    distinct word's XXH3 of 128 bits, and the words of each text. Words are told apart by their bytes."""
+    starts, ends, first = words(data, offsets)
+    body = data[~SPACE[data]].tobytes()
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=edge[1:])
+    # bytes' lower() takes A-Z only
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(body.lower() if fold else body)]).dictionary_encode()
+    raw, edge = buffer(found.dictionary)
+    raw, edge = raw.tobytes(), edge.tolist()
+    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in itertools.pairwise(edge)])
+    return found.indices.to_numpy().astype(np.int64), np.frombuffer(digests, np.uint64).reshape(-1, 2), np.diff(first)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each word, in the order of ``words``."""
-    which, digests = distinct_words(data, offsets, fold)
+    which, digests, _ = distinct_words(data, offsets, fold)
     return digests[which, 0], digests[which, 1]
 
 
