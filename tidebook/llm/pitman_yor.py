@@ -586,6 +586,9 @@ class Triples:
     part: np.ndarray
     which: np.ndarray
     has: np.ndarray
+    dish: np.ndarray  # the place of each w in ``name``, which has the block's ids, rising, and their training counts in ``told``
+    name: np.ndarray
+    told: np.ndarray
 
     @staticmethod
     def of(t: Tokens, ids: np.ndarray, count: np.ndarray, classes: int, parent: int = PARENT) -> Triples:
@@ -613,7 +616,7 @@ class Triples:
         else:
             head, which = distinct(v, w, u)
             v, w, u = v[head], w[head], u[head]
-        w, u = name[w], name[u]
+        u = name[u]
         # contexts of a common word are dealt to several parents, by the word before
         size = np.zeros(len(name), np.int64)
         size[place[count > 0]] = count[count > 0]
@@ -622,8 +625,7 @@ class Triples:
         dealt = np.flatnonzero((parents > 1)[v])
         half = X.mix(u[dealt].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % parents[v[dealt]]
         part[dealt] = (X.mix(mixed[v[dealt]] + half) % np.uint64(classes)).astype(np.int64)
-        v = name[v]
-        return Triples(v, w, u, part, which, has)
+        return Triples(name[v], name[w], u, part, which, has, w, name, size)
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """(class, places), places rising."""
@@ -743,11 +745,8 @@ def scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text"
             ids, count = Tokens.known(answers)
             x = Triples.of(t, ids, count, classes, most)
             times = np.bincount(x.which, t.train[x.has], len(x.v)).astype(np.int64)
-            order = ordered(ids)
-            ids, count = ids[order], count[order]
             for part, at in x.parts():
-                words = rising(x.w[at])
-                of_word = count[np.searchsorted(ids, words)]
+                of_word = x.told[rising(x.dish[at])]
                 out.append((part, row["block"], 2, pack_triples(x.v[at], x.w[at], x.u[at], times[at], of_word)))
         return messages(out)
 

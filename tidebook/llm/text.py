@@ -131,11 +131,10 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) ->
     """(number, digests, size): the number of each word's distinct word, in the order of ``words``, the two halves of each
     distinct word's XXH3 of 128 bits, and the words of each text. Words are told apart by their bytes."""
     starts, ends, first = words(data, offsets)
-    body = data[~SPACE[data]].tobytes()
+    body = data.tobytes().translate(FOLD.tobytes() if fold else None, np.flatnonzero(SPACE).astype(np.uint8).tobytes())
     edge = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=edge[1:])
-    # bytes' lower() takes A-Z only
-    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(body.lower() if fold else body)]).dictionary_encode()
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(body)]).dictionary_encode()
     raw, edge = buffer(found.dictionary)
     raw, edge = raw.tobytes(), edge.tolist()
     digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in itertools.pairwise(edge)])
